@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontaminate import op4_decontaminate
+from millrace.llm.packing import op2_packing
 from millrace.llm.simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op4_decontaminate": op4_decontaminate,
     "op9_simhash": op9_simhash,
 }
 
