@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontaminate import op4_decontaminate
 from millrace.llm.packing import op2_packing
+from millrace.llm.pii import op10_pii
+from millrace.llm.secrets import op8_secrets
 from millrace.llm.simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {}
