@@ -11,8 +11,10 @@ from millrace.llm.packing import op2_packing
 from millrace.llm.pii import op10_pii
 from millrace.llm.secrets import op8_secrets
 from millrace.llm.simhash import op9_simhash
+from millrace.llm.suffix import op1_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op4_decontaminate": op4_decontaminate,
     "op8_secrets": op8_secrets,
