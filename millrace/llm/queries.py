@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.decontaminate import op4_decontaminate
 from millrace.llm.packing import op2_packing
 from millrace.llm.pii import op10_pii
+from millrace.llm.quality import op5_quality
 from millrace.llm.secrets import op8_secrets
 from millrace.llm.simhash import op9_simhash
 from millrace.llm.suffix import op1_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
