@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontaminate import op4_decontaminate
+from millrace.llm.html_text import op3_html
 from millrace.llm.packing import op2_packing
 from millrace.llm.pii import op10_pii
 from millrace.llm.quality import op5_quality
@@ -17,6 +18,7 @@ from millrace.llm.suffix import op1_suffix_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
+    "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op8_secrets": op8_secrets,
