@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontaminate import op4_decontaminate
 from millrace.llm.html_text import op3_html
+from millrace.llm.lines import SQL as LINES_SQL
+from millrace.llm.lines import op7_line_dedup
+from millrace.llm.nearest import op6_nearest
 from millrace.llm.packing import op2_packing
 from millrace.llm.pii import op10_pii
 from millrace.llm.quality import op5_quality
@@ -21,9 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
+    "op6_nearest": op6_nearest,
+    "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_dedup": LINES_SQL,
+}
