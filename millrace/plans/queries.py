@@ -391,7 +391,7 @@ def finish_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("vec_id", M.finish_reason(tokens, ends, F.lit(3)).alias("finish_reason"))
 
 
-@query("sequence_split", "SELECT vec_id, CAST(64 - vec_id % 60 AS INT) AS generated_length, CAST(round(embedding[CAST(vec_id % 60 + 1 AS INT)], 6) AS DOUBLE) AS first_generated FROM embeddings")
+@query("sequence_split", "SELECT vec_id, CAST(64 - vec_id % 60 AS INT) AS generated_length, coalesce(nullif(round(CAST(embedding[CAST(vec_id % 60 + 1 AS INT)] AS DOUBLE), 6), 0), 0) AS first_generated FROM embeddings")
 def sequence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = M.split_sequence(F.col("embedding"), (F.col("vec_id") % 60).cast("int"))
     return read_table(spark, sf_dir, "embeddings").withColumn("s", s).select("vec_id", F.col("s.generated_length").alias("generated_length"), F.round(F.get("s.generated_tokens", F.lit(0)).cast("double"), 6).alias("first_generated"))
@@ -415,7 +415,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_layer
 
 
-@query("mean_states", f"SELECT sample_idx, layer, dim, round(CAST(avg(x) AS DOUBLE), 5) AS value FROM {_states} GROUP BY ALL")
+@query("mean_states", f"SELECT sample_idx, layer, dim, coalesce(nullif(round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 5), 0), 0) AS value FROM {_states} GROUP BY ALL")
 def mean_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = H.mean_states(_tokens(spark, sf_dir))
     return means.select("sample_idx", "layer", F.posexplode("vec").alias("dim", "v")).select("sample_idx", "layer", "dim", F.round(F.col("v").cast("double"), 5).alias("value"))
@@ -433,14 +433,14 @@ def half_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).withColumn("vec", T.half_round("vec"))
 
 
-@query("pad_layers", f"SELECT s.sample_idx, CAST(l.layer AS INT) AS layer, round(CAST(coalesce(sum(x), 0) AS DOUBLE), 4) AS total FROM (SELECT DISTINCT sample_idx FROM {_states}) s CROSS JOIN (SELECT unnest(range(0, 6)) AS layer) l LEFT JOIN (SELECT * FROM {_states} WHERE token_idx = 0) t ON t.sample_idx = s.sample_idx AND t.layer = l.layer GROUP BY ALL")
+@query("pad_layers", f"SELECT s.sample_idx, CAST(l.layer AS INT) AS layer, coalesce(nullif(round(coalesce(sum(CAST(x AS DOUBLE)), 0), 4), 0), 0) AS total FROM (SELECT DISTINCT sample_idx FROM {_states}) s CROSS JOIN (SELECT unnest(range(0, 6)) AS layer) l LEFT JOIN (SELECT * FROM {_states} WHERE token_idx = 0) t ON t.sample_idx = s.sample_idx AND t.layer = l.layer GROUP BY ALL")
 def pad_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _tokens(spark, sf_dir).where("token_idx = 0").select("sample_idx", "layer", "vec")
     out = H.pad_layers(first, first.select("sample_idx").distinct(), 6, 16)
     return out.select("sample_idx", "layer", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("prompt_last_states", "SELECT vec_id AS sample_idx, CAST(layer AS INT) AS layer, CAST(round(embedding[CAST(layer * 16 + 16 AS INT)], 5) AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(0, 4)) AS layer)")
+@query("prompt_last_states", "SELECT vec_id AS sample_idx, CAST(layer AS INT) AS layer, coalesce(nullif(round(CAST(embedding[CAST(layer * 16 + 16 AS INT)] AS DOUBLE), 5), 0), 0) AS value FROM embeddings, (SELECT unnest(range(0, 4)) AS layer)")
 def prompt_last_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = F.transform(_layers(), lambda v: F.transform(v, lambda x: F.array(x)))
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_idx"), positions.alias("prompt_states"))
