@@ -13,7 +13,6 @@ rows are packed each; an empty table gives no pieces; other columns are left alo
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,8 @@ from millrace.llm.shared import table
 WINDOW = 1024
 #: Bytes of tails that are packed together.
 BLOCK_BYTES = 32 << 20
-#: Chunks whose ids a worker remembers before it starts anew.
-REMEMBER = 400_000
+#: Chunks whose ids a worker remembers.
+REMEMBER = 500_000
 PIECES = "id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,11 +90,9 @@ class ChunkEncoder:
 
     The tokenizer's pre-tokenization always breaks before a blank that follows a
     non-blank and precedes one, so a text whose blanks all stand so is the
-    concatenation of its chunks. Other texts are encoded whole.
+    concatenation of its chunks. A text with any other chunk is encoded whole.
     """
 
-    odd = re.compile(r" \s|\s | $|^ |<\|")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -103,14 +100,24 @@ class ChunkEncoder:
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)  # each character of a token stands for a byte
-        self.known: dict[str, bytes] = {}
+        #: None: a chunk that depends on what stands beside it.
+        self.known: dict[str, bytes | None] = {"": b""}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBER:
-            self.known.clear()
-        for k in range(0, len(chunks), 5000):
-            part = chunks[k : k + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        calm = []
+        for c in chunks:
+            if c == " " or c[-1].isspace() or (c[0] == " " and c[1].isspace()) or "<|" in c:
+                self.known[c] = None
+            elif c[0] != " ":
+                self.known[c] = self._ids(c).tobytes()  # begins a text
+            else:
+                calm.append(c)
+        for k in range(0, len(calm), 5000):
+            part = calm[k : k + 5000]
+            ids = self._ids("".join(part))
             ends = np.cumsum([len(c.encode()) for c in part])
             cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, side="left") + 1
             raw, a = ids.tobytes(), 0
@@ -120,32 +127,19 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            if not t or self.odd.search(t):
-                split.append(None)
-            else:
-                split.append(t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None)
-        need = {c for s in split if s for c in s}
-        new = [c for c in need if c not in self.known]
-        # The first chunk of a text has no blank before it and must not join another's end.
-        lead, rest = [c for c in new if c[0] != " "], [c for c in new if c[0] == " "]
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            lead, rest = [c for c in need if c[0] != " "], [c for c in need if c[0] == " "]
-        for c, e in zip(lead, self.tokenizer.encode_batch_fast(lead, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        self._learn_all(rest)
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split, strict=True) if s is None], add_special_tokens=False))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else np.array(next(whole).ids, "<u4").tobytes() for s in split]
-
-    def _learn_all(self, chunks: list[str]) -> None:
-        # A chunk that ends in white space would join the blank of the next.
-        calm = [c for c in chunks if not c[-1].isspace()]
-        for c, e in zip(odd := [c for c in chunks if c[-1].isspace()], self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        self._learn(calm)
+        split = [t.replace(" ", "\x00 ").split("\x00") for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        self._learn(new)
+        get, out = self.known.__getitem__, []
+        for t, s in zip(texts, split, strict=True):
+            try:
+                out.append(b"".join(map(get, s)) if "\x00" not in t else self._ids(t).tobytes())
+            except TypeError:
+                out.append(self._ids(t).tobytes())
+        if len(self.known) > REMEMBER:  # what came first is what comes often
+            for c in new:
+                del self.known[c]
+        return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}
