@@ -239,7 +239,7 @@ def _sort_chunk(rows: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = offs[seg] + at
     minimizer = np.cumsum(np.r_[False, low[1:] != low[:-1]]) if len(low) else low
-    index, _ = radix_groups(raw, start, minimizer[seg], depth)
+    index, group = radix_groups(raw, start, minimizer[seg], depth)
     repeated = np.zeros(len(start), bool)
     repeated[index] = True
     names = ["low", "content", "spans", "single", "a", "b"]
@@ -251,8 +251,10 @@ def _sort_chunk(rows: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
         out.append((int(low[k]), int(content[k]), _runs(at[hits[a:b]], depth)))
     nothing = pa.nulls(len(out), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], kind), nothing, nothing, nothing], names=names)
-    # Of a minimizer that other tasks hold too, every window found (a repeated one once) is matched on.
-    shared = np.nonzero(salts[seg] > 1)[0]
+    # Of a minimizer that other tasks hold too, each different window is matched on, once.
+    once = ~repeated
+    once[index[np.unique(group, return_index=True)[1]]] = True
+    shared = np.nonzero(once & (salts[seg] > 1))[0]
     for k in range(0, len(shared), 65536):
         w = shared[k : k + 65536]
         a, b = _digest(raw, start[w], depth)
@@ -262,11 +264,11 @@ def _sort_chunk(rows: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """``docs`` without the text and with n_bytes, spans (maximal removed byte runs) and kept
     (the other bytes, as binary: a cut may fall inside a character) in a struct column "repeats"."""
-    key, held = free_name(docs, "_key"), free_name(docs, "_spans")
+    key, held, other = free_name(docs, "_key"), free_name(docs, "_spans"), free_name(docs, "_k")
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    spans = repeated_spans(docs, text, depth).withColumnsRenamed({"key": "_k", "spans": held})
+    spans = repeated_spans(docs, text, depth).withColumnsRenamed({"key": other, "spans": held})
     keyed = docs.withColumns({text: value, key: text_digest(value)})
-    joined = keyed.join(spans, keyed[key] == spans["_k"], "left").drop("_k")
+    joined = keyed.join(spans, keyed[key] == spans[other], "left").drop(other)
     others = [c for c in docs.columns if c != text]
     schema = docs.select(*others, F.lit(None).cast(f"struct<n_bytes:bigint,spans:{SPANS},kept:binary>").alias("repeats")).schema
 
