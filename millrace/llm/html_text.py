@@ -242,10 +242,10 @@ def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url", into: str = "text") -> DataFrame:
     """``pages`` without the html and with the main text, never null."""
-    host, path, own = free_name(pages, "_host"), free_name(pages, "_path"), free_name(pages, "_main")
-    best = host_paths(pages, html, url).withColumnsRenamed({"host": "_h", "path": path})
+    host, path, own, other = (free_name(pages, n) for n in ("_host", "_path", "_main", "_h"))
+    best = host_paths(pages, html, url).withColumnsRenamed({"host": other, "path": path})
     keyed = pages.withColumn(host, host_of(F.col(url).cast("string")))
-    joined = keyed.join(best, keyed[host] == best["_h"], "left").drop("_h", host)
+    joined = keyed.join(best, keyed[host] == best[other], "left").drop(other, host)
     others = [c for c in pages.columns if c != html]
     schema = pages.select(*others, F.lit("").alias(own)).schema
 

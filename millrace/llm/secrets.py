@@ -47,7 +47,7 @@ def strong_and_weak(text: Column) -> tuple[Column, Column]:
 def scan_secrets(docs: DataFrame, text: str = "text", reach: int = REACH, into: str = "secrets") -> DataFrame:
     """``docs`` without the text, and with ``into``: array of (kind, start, end) in code
     points by start and kind, base and linked ones."""
-    key, strong, weak = free_name(docs, "_key"), free_name(docs, "_strong"), free_name(docs, "_weak")
+    key, strong, weak, other, more_spans = (free_name(docs, n) for n in ("_key", "_strong", "_weak", "_k", "_linked"))
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base, more = strong_and_weak(value)
     # One pass over the texts; what it finds is small.
@@ -64,9 +64,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = REACH, into:
     near = F.explode(F.sequence(F.floor(F.col("start") / reach) - 1, F.floor(F.col("end") / reach) + 1))
     asking = parts.where(F.col("kind").isin(list(WEAK))).select("k", "kind", "start", "end", F.explode(needs[F.col("kind")]).alias("need")).select("*", near.alias("cell"))
     meets = (F.col("k") == F.col("ok")) & (F.col("cell") == F.col("ocell")) & (F.col("need") == F.col("orole")) & (F.col("os") - F.col("end") <= reach) & (F.col("start") - F.col("oe") <= reach)
-    linked = asking.join(others, meets, "left_semi").groupBy(F.col("k").alias("_k")).agg(F.collect_set(F.struct("kind", "start", "end")).cast(SPAN).alias("_linked"))
-    out = scanned.join(linked, scanned[key] == linked["_k"], "left")
-    spans = in_order(F.concat(strong, F.coalesce("_linked", no_spans())), KINDS, kind_first=False)
+    linked = asking.join(others, meets, "left_semi").groupBy(F.col("k").alias(other)).agg(F.collect_set(F.struct("kind", "start", "end")).cast(SPAN).alias(more_spans))
+    out = scanned.join(linked, scanned[key] == linked[other], "left")
+    spans = in_order(F.concat(strong, F.coalesce(more_spans, no_spans())), KINDS, kind_first=False)
     return out.select(*(c for c in docs.columns if c != text), spans.alias(into))
 
 
