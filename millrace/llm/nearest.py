@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import materialize, table
 
 #: Trees, rows of a leaf at most, and the share of a block whose rows a query is compared with.
-TREES, LEAF, SHARE = 32, 48, 0.62
+TREES, LEAF, SHARE = 32, 48, 0.8
 BLOCK_ROWS, CHUNK_ROWS = 8192, 8192
 
 
