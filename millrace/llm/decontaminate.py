@@ -198,3 +198,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mark_contamination(docs, table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(c["spans"], F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", c["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", c["items"]), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+SQL = r"""
+WITH lower_docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), lower_items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM lower_items WHERE len(w) > 0)
+), doc_windows AS (
+  SELECT doc_id, k, s, array_to_string(w[s : s + k - 1], ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM lower_docs, (SELECT DISTINCT k FROM item_windows) WHERE len(w) >= k)
+), found AS (
+  SELECT d.doc_id, d.s, d.k, i.item_id FROM doc_windows d JOIN item_windows i ON d.k = i.k AND d.win = i.win
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT doc_id, s, k FROM found)) GROUP BY doc_id
+), owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(o.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(o.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM lower_docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN owners o ON d.doc_id = o.doc_id
+"""

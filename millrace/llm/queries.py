@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontaminate import SQL as WINDOWS_SQL
 from millrace.llm.decontaminate import op4_decontaminate
 from millrace.llm.html_text import op3_html
 from millrace.llm.lines import SQL as LINES_SQL
@@ -16,6 +17,7 @@ from millrace.llm.pii import op10_pii
 from millrace.llm.quality import op5_quality
 from millrace.llm.secrets import op8_secrets
 from millrace.llm.simhash import op9_simhash
+from millrace.llm.suffix import SQL as REPEATS_SQL
 from millrace.llm.suffix import op1_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,5 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_suffix_dedup": REPEATS_SQL,
+    "op4_decontaminate": WINDOWS_SQL,
     "op7_line_dedup": LINES_SQL,
 }

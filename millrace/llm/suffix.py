@@ -298,3 +298,31 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate(r["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", r["n_bytes"].alias("n_bytes"), removed.alias("n_removed"), F.size(r["spans"]).cast("long").alias("n_spans"), F.sha2(r["kept"], 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), windows AS (
+  SELECT doc_id, s, md5(b[s + 1 : s + 200]) AS win
+  FROM (SELECT doc_id, b, unnest(range(0, n - 199)) AS s FROM bytes)
+), repeated AS (
+  SELECT doc_id, s FROM windows WHERE win IN (SELECT win FROM windows GROUP BY win HAVING count(*) > 1)
+), runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 200 AS b
+  FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS run
+        FROM (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 200, true) AS fresh FROM repeated))
+  GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, a FROM runs
+  UNION ALL SELECT doc_id, max(b), NULL, max(b) FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT g.doc_id, string_agg(hex(b.b[g.f + 1 : coalesce(g.t, b.n)]), '' ORDER BY g.a) AS h
+  FROM gaps g JOIN bytes b ON g.doc_id = b.doc_id GROUP BY g.doc_id
+), counts AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, hex(b.b)))) AS kept_sha256
+FROM bytes b LEFT JOIN counts c ON b.doc_id = c.doc_id LEFT JOIN kept k ON b.doc_id = k.doc_id
+"""
