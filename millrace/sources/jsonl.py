@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import stringify_json
+from millrace.operators.order import index_in_blocks
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(file_name, line_idx, raw): every line with its 0-based index within its file.
 
-    Splits of a file are put in order by their offset; within a split the row id keeps the
-    order. A file's index needs its lines in order, so each file is one window.
+    A split of a file is numbered on its own, in the order of its rows, and the splits by
+    their offsets; so a large file is numbered by as many tasks as read it.
     """
     lines = spark.read.option("pathGlobFilter", glob).text(path)
     meta = lines.select(
         F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     )
-    w = Window.partitionBy("file_path").orderBy("block", "row")
-    return meta.withColumn("line_idx", F.row_number().over(w).cast("long") - 1).select("file_name", "line_idx", "raw")
+    indexed = index_in_blocks(meta, [F.col("block")], [F.col("row")], "line_idx", per=["file_path", "file_name"])
+    return indexed.select("file_name", "line_idx", "raw")
 
 
 def has_key(raw: Column, key: Column | str) -> Column:
@@ -58,7 +59,7 @@ def parse_samples(lines: DataFrame, dataset: str, language: str = "en", max_samp
         F.lit(dataset).alias("dataset"), F.lit(language).alias("language"), F.get_json_object(raw, "$.answer_type").alias("answer_type"),
     )
     kept = rows.where(F.coalesce("answer_gt", F.lit("")) != "")
-    return kept.withColumn("sample_idx", F.row_number().over(Window.partitionBy("dataset", "language").orderBy("sample_id")).cast("long") - 1)
+    return index_in_blocks(kept, [F.floor(F.col("sample_id") / 65536)], [F.col("sample_id")], "sample_idx")
 
 
 def load_samples(spark: SparkSession, root: str, dataset: str, language: str = "en", max_samples: int | None = None) -> DataFrame:
