@@ -37,8 +37,6 @@ WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "term", "removed"]
 REACH = 60
-#: Most terms that are sent to every task; above it the join is a shuffle.
-BROADCAST_TERMS = 100_000
 
 
 def _digits(m: Column) -> Column:
@@ -77,7 +75,7 @@ def entities(text: Column) -> Column:
 def scan_pii(docs: DataFrame, text: str = "text", reach: int = REACH, support: int = 3, generalise: float = 0.8, remove: float = 0.95, into: str = "pii") -> DataFrame:
     """``docs`` without the text, and with ``into``: array of (kind, start, end) in code
     points by kind and start, base ones and disclosing terms."""
-    key, ents, near = free_name(docs, "_key"), free_name(docs, "_entities"), free_name(docs, "_near")
+    key, ents, near, other, told_terms = (free_name(docs, n) for n in ("_key", "_entities", "_near", "_k", "_terms"))
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
     def around(e: Column) -> Column:
@@ -96,20 +94,21 @@ def scan_pii(docs: DataFrame, text: str = "text", reach: int = REACH, support: i
     holds = sides.select("k", "entity").distinct().join(times, "k").groupBy("entity").agg(F.sum("times").alias("n_e"))
     pairs = uses.select("k", "entity", "term").distinct().join(times, "k").groupBy("entity", "term").agg(F.sum("times").alias("n_et")).where(F.col("n_et") >= support)
     pairs = materialize(pairs.join(holds, "entity"), "pairs")
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    spread = docs.select(F.explode(F.array_distinct(F.split(F.lower(value), r"[^\p{L}\p{N}]+"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Every term is counted before the join: what is joined is one row a term, not one an
+    # occurrence. (An inner join; a semi-join would be moved below the count.)
+    each = docs.select(F.explode(F.array_distinct(F.split(F.lower(value), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term") >= 3)
+    spread = each.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
     total = F.lit(scanned.count()).cast("double")
     # A term can stand oftener near the entity than split words count it; never more than 1.
     told = F.log2(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log2(total / F.col("n_e"))
     strong = pairs.join(spread, "term").where(F.col("n_e") < total).withColumn("told", told).where(F.col("told") >= generalise)
     hits = uses.join(strong.select("entity", "term", "told"), ["entity", "term"])
     kind = F.when(F.col("told") >= remove, "removed").otherwise("term")
-    by_text = hits.groupBy("k", "start", "end").agg(F.max("told").alias("told")).groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).cast(SPAN).alias("_terms"))
+    by_text = hits.groupBy("k", "start", "end").agg(F.max("told").alias("told")).groupBy(F.col("k").alias(other)).agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).cast(SPAN).alias(told_terms))
 
-    out = scanned.join(by_text, scanned[key] == by_text["_k"], "left")
+    out = scanned.join(by_text, scanned[key] == by_text[other], "left")
     base = F.transform(ents, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"))).cast(SPAN)
-    apart = F.filter(F.coalesce("_terms", no_spans()), lambda t: ~F.exists(ents, lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"])))
+    apart = F.filter(F.coalesce(told_terms, no_spans()), lambda t: ~F.exists(ents, lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"])))
     return out.select(*(c for c in docs.columns if c != text), in_order(F.concat(base, apart), KINDS, kind_first=True).alias(into))
 
 
