@@ -9,32 +9,33 @@ from pyspark.sql import functions as F
 FLOOR = 1e-12
 
 
-def softmax(logits: Column) -> Column:
-    """Probabilities of one step, in double precision, shifted by the maximum."""
-    x = logits.cast("array<double>")
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _bound(value: Column, body) -> Column:  # noqa: ANN001
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def step_sums(logits: Column) -> Column:
-    """struct(top, z, s): maximum, sum of exp(x - top), and sum of exp(x - top) (x - top)."""
-    x = logits.cast("array<double>")
-    top = F.array_max(x)
-    zero = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("s"))
-    sums = F.aggregate(x, zero, lambda a, v: F.struct((a["z"] + F.exp(v - top)).alias("z"), (a["s"] + F.exp(v - top) * (v - top)).alias("s")))
-    return F.struct(top.alias("top"), sums["z"].alias("z"), sums["s"].alias("s"))
+def step_metrics(logits: Column, token: Column) -> Column:
+    """struct(top, bits, ln) of one step: the largest probability of its softmax, its entropy in
+    bits, and ln of the chosen token's probability.
 
+    In double precision, shifted by the maximum; one pass for the sum and one for the
+    entropy. Probabilities are floored inside logarithms only; a token outside the
+    vocabulary counts as the floor, no token gives a null.
+    """
 
-def entropy_bits(probabilities: Column) -> Column:
-    """Entropy of one step in bits; probabilities are floored inside the logarithm only."""
-    return -F.aggregate(probabilities, F.lit(0.0), lambda a, p: a + p * F.log2(F.greatest(p, F.lit(FLOOR))))
+    def with_sum(b: Column) -> Column:
+        z = F.aggregate(b["x"], F.lit(0.0), lambda acc, v: acc + F.exp(v - b["m"]))
+        return F.struct(b["x"].alias("x"), b["m"].alias("m"), z.alias("z"))
 
+    def measured(b: Column) -> Column:
+        p = lambda v: F.exp(v - b["m"]) / b["z"]
+        bits = -F.aggregate(b["x"], F.lit(0.0), lambda acc, v: acc + p(v) * F.log2(F.greatest(p(v), F.lit(FLOOR))))
+        chosen = F.when((token >= 0) & (token < F.size(b["x"])), p(F.get(b["x"], token.cast("int"))))
+        ln = F.when(token.isNotNull(), F.ln(F.greatest(F.coalesce(chosen, F.lit(0.0)), F.lit(FLOOR))))
+        return F.struct((1 / b["z"]).alias("top"), bits.alias("bits"), ln.alias("ln"))
 
-def chosen_log(probabilities: Column, token: Column) -> Column:
-    """ln of the chosen token's probability; a token outside the vocabulary counts as the floor."""
-    p = F.when((token >= 0) & (token < F.size(probabilities)), F.get(probabilities, token.cast("int")))
-    return F.ln(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(FLOOR)))
+    x = logits.cast("array<double>")
+    return _bound(_bound(F.struct(x.alias("x"), F.array_max(x).alias("m")), with_sum), measured)
 
 
 def generation_metrics(steps: DataFrame, keys: list[str], logits: str = "logits", token: str = "token") -> DataFrame:
@@ -45,8 +46,8 @@ def generation_metrics(steps: DataFrame, keys: list[str], logits: str = "logits"
     Each step is reduced to three numbers before the aggregation, so vocabularies are
     never shuffled.
     """
-    each = steps.select(*keys, softmax(F.col(logits)).alias("p"), F.col(token).alias("t"))
-    each = each.select(*keys, F.array_max("p").alias("top"), entropy_bits(F.col("p")).alias("bits"), F.when(F.col("t").isNotNull(), chosen_log(F.col("p"), F.col("t"))).alias("ln"))
+    each = steps.select(*keys, step_metrics(F.col(logits), F.col(token)).alias("s"))
+    each = each.select(*keys, F.col("s.top").alias("top"), F.col("s.bits").alias("bits"), F.col("s.ln").alias("ln"))
     return each.groupBy(*keys).agg(
         F.avg("top").alias("max_probability"),
         F.coalesce(F.exp(-F.avg("ln")), F.lit(float("inf"))).alias("perplexity"),
