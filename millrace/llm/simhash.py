@@ -94,12 +94,13 @@ class ShardTree:
                 d = distance(own, pivot)
                 todo += [(node * 2, own[d <= radius]), (node * 2 + 1, own[d > radius])]
 
-    def route(self, points: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, points: np.ndarray, within: int, foreign: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(point index, shard, owned): one owned row per point, and a query row for each
         further shard that may hold a point at most ``within`` away. A pair astride a
-        boundary is found from its left point, so right points are not sent left."""
+        boundary is found from its left point, so right points are not sent left; ``foreign``
+        points, which no shard owns, are sent to both sides."""
         index, node = np.arange(len(points)), np.ones(len(points), np.int64)
-        own = np.ones(len(points), bool)
+        own = np.full(len(points), not foreign)
         for _ in range(self.levels):
             d = distance(points[index], self.pivot[node])
             right = d > self.radius[node]
@@ -300,9 +301,10 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             fps = b.column("fp").to_numpy().astype(np.int64).view(np.uint64)
             i, shard, own = tree.route(fps, within)
             size_class = _bucket(b.column("n").to_numpy(), similarity)
-            # The next class gets every point as a query: at home where it would be there, and beyond.
-            at = np.r_[i, i]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[size_class[i], size_class[i] + 1]), pa.array(np.r_[shard, shard]), pa.array(np.r_[own, np.zeros(len(i), bool)]), *(b.column(c).take(pa.array(at)) for c in ("key", "fp", "low"))], names=["class", "shard", "own", "key", "fp", "low"])
+            # The next class gets every point as a query, on both sides of a boundary.
+            j, there, not_own = tree.route(fps, within, foreign=True)
+            at = np.r_[i, j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[size_class[i], size_class[j] + 1]), pa.array(np.r_[shard, there]), pa.array(np.r_[own, not_own]), *(b.column(c).take(pa.array(at)) for c in ("key", "fp", "low"))], names=["class", "shard", "own", "key", "fp", "low"])
 
     def pairs(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)

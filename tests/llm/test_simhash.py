@@ -97,3 +97,22 @@ def test_sketch_is_exact_for_small_sets():
     a, b = [f"x{i}" for i in range(100)], [f"x{i}" for i in range(10, 110)]
     sa, sb = (np.frombuffer(S.sketch(" ".join(t).encode(), 5, 256)[2], "<u4") for t in (a, b))
     assert abs(S.sketch_similarity(sa, sb, 256) - 86 / 106) < 1e-9
+
+
+def shingle_sets(rows, width=5):
+    words = [(t or "").lower().split() for _, t in rows]
+    return [{" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in words]
+
+
+def test_near_copies_across_size_classes(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "SHARD", 1)
+    r, rows = random.Random(3), []
+    for i in range(300):
+        t = [f"v{r.randrange(5000)}" for _ in range(r.randint(30, 70))]
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(t + [f"n{r.randrange(5000)}" for _ in range(r.randint(1, 7))]))]
+    keys, named = S.near_copy_classes(docs(*rows))
+    root = {x.id: x.root for x in keys.join(named, "key").collect()}
+    sets, prints = shingle_sets(rows), [slow_print(t, 5) for _, t in rows]
+    close = [i for i in range(0, 600, 2) if 10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]) and (prints[i] ^ prints[i + 1]).bit_count() <= 18]
+    assert len(close) > 200
+    assert [i for i in close if root[i] != root[i + 1]] == []
