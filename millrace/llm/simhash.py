@@ -250,8 +250,8 @@ def _bucket(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity) + 1e-9).astype(np.int64)
 
 
-def sketch(text: bytes, width: int, size: int) -> tuple[int, int, bytes]:
-    """(fingerprint, number of distinct shingles, the ``size`` smallest 32-bit hashes)."""
+def sketch(text: bytes, width: int, size: int | None = None) -> tuple[int, int, bytes]:
+    """(fingerprint, number of distinct shingles, the ``size`` smallest 32-bit hashes or all)."""
     words = text.lower().split()
     grams = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
     h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams))
@@ -262,17 +262,17 @@ def sketch(text: bytes, width: int, size: int) -> tuple[int, int, bytes]:
     return int(_UNITS[counts * 2 > len(h)].sum(dtype=np.uint64)), len(grams), low.tobytes()
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    """Jaccard similarity from the smallest hashes: exact where both sets fit in a sketch."""
+def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int | None = None) -> float:
+    """Jaccard similarity from the smallest hashes: exact where both sets fit in a sketch, or without ``size``."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.union1d(a, b)
-    if len(a) == size or len(b) == size:
+    if size is not None and (len(a) == size or len(b) == size):
         both = both[:size]
     return float((np.isin(both, a) & np.isin(both, b)).sum()) / len(both)
 
 
-def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, within: int = 18, size: int = 256) -> tuple[DataFrame, DataFrame]:
+def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, within: int = 18) -> tuple[DataFrame, DataFrame]:
     """((key, id) of every row, (key, root) of every distinct text).
 
     Texts link when their fingerprints over the set of ``width``-word shingles differ in
@@ -283,7 +283,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [sketch((t or "").encode(), width, size) for t in b.column(2).to_pylist()]
+            rows = [sketch((t or "").encode(), width) for t in b.column(2).to_pylist()]
             fps = np.array([r[0] for r in rows], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "id", "fp", "n", "low"])
 
@@ -318,7 +318,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                 open_ = label[q] != label[p]
                 q, p = q[open_], p[open_]
             for i, j in zip(q.tolist(), p.tolist(), strict=True):
-                if i != j and forest.find(i) != forest.find(j) and sketch_similarity(low[i], low[j], size) >= similarity:
+                if i != j and forest.find(i) != forest.find(j) and sketch_similarity(low[i], low[j]) >= similarity:
                     forest.join(i, j)
                     edges.append((keys[i], keys[j]))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})

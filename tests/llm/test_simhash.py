@@ -116,3 +116,17 @@ def test_near_copies_across_size_classes(spark, docs, monkeypatch):
     close = [i for i in range(0, 600, 2) if 10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]) and (prints[i] ^ prints[i + 1]).bit_count() <= 18]
     assert len(close) > 200
     assert [i for i in close if root[i] != root[i + 1]] == []
+
+
+def test_near_copies_are_decided_on_whole_sets(spark, docs):
+    r, rows = random.Random(5), []
+    for i in range(80):
+        t = [f"v{r.randrange(90000)}" for _ in range(r.randint(400, 900))]
+        more = len(t) // 4 + r.randint(-25, 25)
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(t + [f"n{r.randrange(90000)}" for _ in range(more)]))]
+    keys, named = S.near_copy_classes(docs(*rows))
+    root = {x.id: x.root for x in keys.join(named, "key").collect()}
+    sets = shingle_sets(rows)
+    want = [10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]) for i in range(0, 160, 2)]
+    assert 20 < sum(want) < 60
+    assert [root[i] == root[i + 1] for i in range(0, 160, 2)] == want
