@@ -31,6 +31,8 @@ SAMPLE = 8192
 SHARD = 2048
 #: Points below which a node is compared directly.
 LEAF = 192
+#: Texts with a hash in common above which not every two of them meet at once.
+MEET = 64
 _UNITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -94,13 +96,12 @@ class ShardTree:
                 d = distance(own, pivot)
                 todo += [(node * 2, own[d <= radius]), (node * 2 + 1, own[d > radius])]
 
-    def route(self, points: np.ndarray, within: int, foreign: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, points: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(point index, shard, owned): one owned row per point, and a query row for each
         further shard that may hold a point at most ``within`` away. A pair astride a
-        boundary is found from its left point, so right points are not sent left; ``foreign``
-        points, which no shard owns, are sent to both sides."""
+        boundary is found from its left point, so right points are not sent left."""
         index, node = np.arange(len(points)), np.ones(len(points), np.int64)
-        own = np.full(len(points), not foreign)
+        own = np.ones(len(points), bool)
         for _ in range(self.levels):
             d = distance(points[index], self.pivot[node])
             right = d > self.radius[node]
@@ -244,12 +245,6 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
-def _bucket(n: np.ndarray, similarity: float) -> np.ndarray:
-    """Size class of a set: sets of a Jaccard similarity of ``similarity`` or more are in
-    the same class or in neighbouring ones."""
-    return np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity) + 1e-9).astype(np.int64)
-
-
 def sketch(text: bytes, width: int, size: int | None = None) -> tuple[int, int, bytes]:
     """(fingerprint, number of distinct shingles, the ``size`` smallest 32-bit hashes or all)."""
     words = text.lower().split()
@@ -272,61 +267,146 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int | None = None) ->
     return float((np.isin(both, a) & np.isin(both, b)).sum()) / len(both)
 
 
-def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, within: int = 18) -> tuple[DataFrame, DataFrame]:
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; a text without words has the empty one."""
+    words = text.lower().split()
+    grams = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def _heads(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, hash, size, place) of the smallest hashes of every set: two sets of which each
+    holds ``similarity`` of the other have their smallest common hash among them."""
+    size = np.array([len(x) for x in sets], np.int64)
+    head = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    at = np.repeat(np.arange(len(sets)), head)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(head) - head, head)
+    return at, np.concatenate([x[:k] for x, k in zip(sets, head, strict=True)]) if sets else np.zeros(0, np.uint64), size[at], place
+
+
+def _group_pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (ordered by h and n) with the same hash, whose sizes, and whose hashes
+    from this one on, allow the similarity; with ``apart``, of different labels only."""
+    i = np.arange(len(h))
+    for lag in range(1, len(h)):
+        i = i[i + lag < len(h)]
+        # Sizes rise within a group: what is too large at this lag is so at the next.
+        i = i[(h[i] == h[i + lag]) & (n[i] >= similarity * n[i + lag] - 1e-9)]
+        if not len(i):
+            return
+        j = i + lag
+        most = np.minimum(n[i] - place[i], n[j] - place[j])
+        open_ = most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
+        if apart is not None:
+            open_ &= apart[i] != apart[j]
+        yield i[open_], j[open_]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches ordered by column h, cut where h changes."""
+    left: list[pa.RecordBatch] = []
+    for b in batches:
+        h = b.column("h").to_numpy()
+        if not len(h):
+            continue
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut or (left and left[-1].column("h")[0].as_py() != h[0].item()):
+            yield pa.Table.from_batches([*left, b.slice(0, cut)])
+            left = []
+        left.append(b.slice(cut))
+    if left:
+        yield pa.Table.from_batches(left)
+
+
+def _columns(group: pa.Table, *names: str) -> list[np.ndarray]:
+    return [group.column(c).to_numpy() for c in names]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) keys of the candidate pairs of short keys that are alike on their whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+            total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) - both
+            yield batch.select(["ka", "kb"]).filter(pa.array(both >= similarity * total - 1e-9)).rename_columns(["a", "b"])
+
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("set").alias("sa")), "a")
+    full = left.join(sets.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("set").alias("sb")), "b")
+    return full.select("ka", "kb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """((key, id) of every row, (key, root) of every distinct text).
 
-    Texts link when their fingerprints over the set of ``width``-word shingles differ in
-    ``within`` bits at most and their shingle sets are at least ``similarity`` alike.
-    Sets of so high a similarity have like sizes, so shards are kept per size class, and
-    a class also queries the next one; the vantage-point tree splits large classes.
+    Texts link when their sets of ``width``-word shingles are at least ``similarity`` alike.
+    Every such pair shares a hash among the first of both sets, so texts meet by those
+    hashes and no pair is lost; whole sets decide. Where more than MEET texts share a hash,
+    they first meet one of them only, and then those of other components.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [sketch((t or "").encode(), width) for t in b.column(2).to_pylist()]
-            fps = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "id", "fp", "n", "low"])
-
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(text_digest(value).alias("key"), F.col(id_col).alias("id"), value.alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    prints = materialize(rows.mapInArrow(run, f"key binary, id {kind}, fp long, n long, low binary"), "sketches")
-    texts = materialize(prints.select("key", "fp", "n", "low").dropDuplicates(["key"]), "texts")
-    most = texts.groupBy(F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-np.log(similarity)) + F.lit(1e-9))).count().agg(F.max("count")).first()[0] or 0
-    picked = texts.orderBy(F.xxhash64("key"), "key").select("fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = ShardTree(picked, min(12, max(0, int(np.ceil(np.log2(max(1, most) / (8 * SHARD)))))))
+            sets = [shingle_hashes(t.encode(), width).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-            i, shard, own = tree.route(fps, within)
-            size_class = _bucket(b.column("n").to_numpy(), similarity)
-            # The next class gets every point as a query, on both sides of a boundary.
-            j, there, not_own = tree.route(fps, within, foreign=True)
-            at = np.r_[i, j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[size_class[i], size_class[j] + 1]), pa.array(np.r_[shard, there]), pa.array(np.r_[own, not_own]), *(b.column(c).take(pa.array(at)) for c in ("key", "fp", "low"))], names=["class", "shard", "own", "key", "fp", "low"])
+            at, h, n, place = _heads([np.frombuffer(x, "<u8") for x in b.column("set").to_pylist()], similarity)
+            ids = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[at]), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "id", "n", "place"])
+
+    names = ["h", "a", "b", "n", "place"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches):
+            h, ids, n, place = _columns(group, "h", "id", "n", "place")
+            first, start, count = np.unique(h, return_index=True, return_counts=True)
+            many = np.repeat(count > MEET, count)
+            few = np.nonzero(~many & np.repeat(count > 1, count))[0]
+            for i, j in _group_pairs(h[few], n[few], place[few], similarity):
+                yield _meeting(None, ids[few[i]], ids[few[j]])
+            # The text of the median size stands for the group; the members are kept for later.
+            lead = np.repeat(ids[start + count // 2], count)[many]
+            if many.any():
+                yield _meeting(None, ids[many], lead)
+                yield _meeting(h[many], ids[many], ids[many], n[many], place[many])
+
+    def _meeting(h, a, b, n=None, place=None) -> pa.RecordBatch:  # noqa: ANN001
+        none = lambda kind: pa.nulls(len(a), kind)
+        columns = [none(pa.int64()) if h is None else pa.array(h), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none(pa.int32()) if n is None else pa.array(n), none(pa.int32()) if place is None else pa.array(place)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches):
+            h, ids, n, place = _columns(group, "h", "id", "n", "place")
+            label = np.unique(group.column("root").combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            for i, j in _group_pairs(h, n, place, similarity, label):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
-    def pairs(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        keys, own = group.column("key").to_pylist(), group.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        low = [np.frombuffer(x, "<u4") for x in group.column("low").to_pylist()]
-        points, forest, edges = np.nonzero(own)[0], Forest(len(fps)), []
-        for q, p in near_pairs(fps[points], fps, within):
-            p = points[p]
-            label = np.array([forest.find(i) for i in range(len(fps))]) if len(q) > len(fps) else None
-            if label is not None:
-                open_ = label[q] != label[p]
-                q, p = q[open_], p[open_]
-            for i, j in zip(q.tolist(), p.tolist(), strict=True):
-                if i != j and forest.find(i) != forest.find(j) and sketch_similarity(low[i], low[j]) >= similarity:
-                    forest.join(i, j)
-                    edges.append((keys[i], keys[j]))
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
-
-    dealt = texts.select("key", "fp", "n", "low").mapInArrow(deal, "class long, shard long, own boolean, key binary, fp long, low binary")
-    roots = materialize(components(dealt.groupBy("class", "shard").applyInArrow(pairs, "a binary, b binary")), "roots")
-    named = texts.join(roots, texts.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"))
-    return prints.select("key", "id"), named
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = materialize(docs.select(text_digest(value).alias("key"), F.col(id_col).alias("id")), "rows")
+    texts = docs.select(text_digest(value).alias("key"), value.alias("text")).dropDuplicates(["key"])
+    sets = materialize(texts.mapInArrow(whole, "key binary, set binary"), "sets")
+    # Candidates go by a 64-bit digest of the key.
+    sets = sets.select(F.xxhash64("key").alias("id"), "key", "set")
+    by_hash = sets.select("id", "set").mapInArrow(heads, "h long, id long, n int, place int").repartition("h").sortWithinPartitions("h", "n", "id")
+    met = materialize(by_hash.mapInArrow(meet, "h long, a long, b long, n int, place int"), "met")
+    edges = materialize(_alike(met.where("h IS NULL AND a <> b").select("a", "b").distinct(), sets, similarity), "edges")
+    roots = materialize(components(edges), "roots")
+    crowd = met.where("h IS NOT NULL").select("h", F.col("a").alias("id"), "n", "place")
+    if crowd.limit(1).count():
+        known = roots.select(F.xxhash64("node").alias("id"), "root").groupBy("id").agg(F.max("root").alias("root"))
+        crowd = crowd.join(known, "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("string").cast("binary")))
+        # Groups that are one component by now have nothing to compare.
+        split = crowd.groupBy("h").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("h")
+        again = crowd.join(split, "h").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(meet_again, "a long, b long")
+        more = materialize(_alike(again.distinct(), sets, similarity), "edges")
+        if more.limit(1).count():
+            roots = materialize(components(edges.union(more)), "roots")
+    named = sets.join(roots, sets.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"))
+    return rows, named
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

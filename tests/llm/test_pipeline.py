@@ -42,3 +42,10 @@ def test_run_and_empty(spark, tmp_path):
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == 1
     assert duckdb is not None
     assert quality.KEEP == 0.3
+
+
+def test_near_dedup_leaves_no_pair(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    words = [(x.text or "").lower().split() for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    assert [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])] == []

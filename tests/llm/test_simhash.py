@@ -130,3 +130,20 @@ def test_near_copies_are_decided_on_whole_sets(spark, docs):
     want = [10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]) for i in range(0, 160, 2)]
     assert 20 < sum(want) < 60
     assert [root[i] == root[i + 1] for i in range(0, 160, 2)] == want
+
+
+def test_no_near_copy_is_lost(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "MEET", 3)
+    r, rows = random.Random(6), []
+    for i in range(300):
+        t = [f"v{r.randrange(90000)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(t[:8])), (2 * i + 1, " ".join(t))]
+    base = [f"u{i}" for i in range(120)]
+    for i in range(120):
+        rows.append((600 + i, " ".join(f"x{i}" if r.random() < 0.02 else w for w in base[: r.randint(80, 120)])))
+    keys, named = S.near_copy_classes(docs(*rows))
+    root = {x.id: x.root for x in keys.join(named, "key").collect()}
+    sets = shingle_sets(rows)
+    want = groups(len(rows), lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    assert len(set(want[600:])) > 5
+    assert len({(g, root[i]) for i, g in enumerate(want)}) == len(set(want)) == len(set(root.values()))
