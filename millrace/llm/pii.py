@@ -3,15 +3,17 @@
 Protected entities are e-mail and IP addresses, payment cards and telephone numbers. A
 term near an entity may tell who is meant even when the entity is gone. How strongly is
 estimated from co-occurrence over all documents: with N documents, n(e) and n(t) that
-hold the entity and the term, and n(e,t) that hold the term within ``reach`` characters
-of the entity, the term discloses
+hold the entity and the term, and n(e,t) that hold both, anywhere, the term discloses
 
     log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e))
 
 of the entity's information (1: whoever sees the term knows the entity). Terms of at least
 ``support`` common documents whose disclosure reaches ``generalise`` are replaced by a
-class ("term"), those that reach ``remove`` are taken out ("removed"), in the
-neighbourhood of that entity only.
+class ("term"), those that reach ``remove`` are taken out ("removed"), wherever they
+stand in the texts that hold that entity.
+
+Only entities and terms of ``support`` documents are paired, and only where
+n(t) <= n(e)^g N^(1-g) with g = ``generalise``: as n(e,t) <= n(e), no other term reaches g.
 
 Defined results: a null text is empty; every row counts as a document, repeated ones
 too; equal texts get equal spans; an empty table gives no rows; other columns are kept,
@@ -20,7 +22,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.native import SPAN, found, in_order, kept, listed, no_spans
@@ -36,7 +38,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "term", "removed"]
-REACH = 60
 
 
 def _digits(m: Column) -> Column:
@@ -72,39 +73,46 @@ def entities(text: Column) -> Column:
     )
 
 
-def scan_pii(docs: DataFrame, text: str = "text", reach: int = REACH, support: int = 3, generalise: float = 0.8, remove: float = 0.95, into: str = "pii") -> DataFrame:
+def scan_pii(docs: DataFrame, text: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95, into: str = "pii") -> DataFrame:
     """``docs`` without the text, and with ``into``: array of (kind, start, end) in code
     points by kind and start, base ones and disclosing terms."""
-    key, ents, near, other, told_terms = (free_name(docs, n) for n in ("_key", "_entities", "_near", "_k", "_terms"))
+    key, ents, held_text, other, told_terms = (free_name(docs, n) for n in ("_key", "_entities", "_held_text", "_k", "_terms"))
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-
-    def around(e: Column) -> Column:
-        before = F.greatest(e["start"] - reach, F.lit(0))
-        return F.struct(F.concat_ws(":", e["kind"], F.lower(e["text"])).alias("entity"), before.alias("l"), value.substr((before + 1).cast("int"), (e["start"] - before).cast("int")).alias("left"), e["end"].alias("r"), value.substr((e["end"] + 1).cast("int"), F.lit(reach)).alias("right"))
-
-    seen = docs.withColumns({key: text_digest(value), ents: entities(value)}).withColumn(near, F.transform(ents, around))
+    # The text stays only where there is an entity.
+    seen = docs.withColumns({key: text_digest(value), ents: entities(value)}).withColumn(held_text, F.when(F.size(ents) > 0, value))
     scanned = materialize(seen.drop(text), "pii")
+    total = scanned.count()
 
-    sides = scanned.where(F.size(near) > 0).select(F.col(key).alias("k"), F.explode(near).alias("n")).select("k", "n.*")
-    both = sides.select("k", "entity", F.col("l").alias("from"), F.col("left").alias("t")).union(sides.select("k", "entity", "r", "right"))
-    words = both.select("k", "entity", "from", F.explode(found(F.col("t"), WORD)).alias("w")).select("k", "entity", F.lower("w.text").alias("term"), (F.col("from") + F.col("w.start")).alias("start"), (F.col("from") + F.col("w.end")).alias("end"))
+    names = F.array_distinct(F.transform(ents, lambda e: F.concat_ws(":", e["kind"], F.lower(e["text"]))))
     # Copies of a text count as often as it occurs.
-    times = scanned.where(F.size(near) > 0).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("times"))
-    uses = materialize(words.distinct(), "uses")
-    holds = sides.select("k", "entity").distinct().join(times, "k").groupBy("entity").agg(F.sum("times").alias("n_e"))
-    pairs = uses.select("k", "entity", "term").distinct().join(times, "k").groupBy("entity", "term").agg(F.sum("times").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = materialize(pairs.join(holds, "entity"), "pairs")
-    # Every term is counted before the join: what is joined is one row a term, not one an
-    # occurrence. (An inner join; a semi-join would be moved below the count.)
-    each = docs.select(F.explode(F.array_distinct(F.split(F.lower(value), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term") >= 3)
-    spread = each.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
-    total = F.lit(scanned.count()).cast("double")
-    # A term can stand oftener near the entity than split words count it; never more than 1.
-    told = F.log2(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log2(total / F.col("n_e"))
-    strong = pairs.join(spread, "term").where(F.col("n_e") < total).withColumn("told", told).where(F.col("told") >= generalise)
-    hits = uses.join(strong.select("entity", "term", "told"), ["entity", "term"])
+    texts = scanned.where(F.size(ents) > 0).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("times"), F.first(names).alias("names"))
+    held = texts.select("k", "times", F.explode("names").alias("entity"))
+    holds = held.groupBy("entity").agg(F.sum("times").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < total))
+    held = materialize(held.join(holds, "entity"), "held")
+    bound = lambda n: F.pow(n.cast("double"), F.lit(generalise)) * float(total) ** (1 - generalise) * (1 + 1e-9)
+    most = held.agg(F.max("n_e")).first()[0] or 0
+
+    words_of = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    terms_of = lambda t: F.array_distinct(F.transform(words_of(t), lambda w: F.lower(w)))
+    spread = docs.select(F.explode(terms_of(value)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where((F.col("n_t") >= support) & (F.col("n_t") <= bound(F.lit(most))))
+    # One row a text that holds a counted entity.
+    whole = scanned.where(F.size(ents) > 0).select(F.col(key).alias("k"), F.col(held_text).alias("t")).join(held.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    used = materialize(whole.select("k", F.explode(terms_of(F.col("t"))).alias("term")).join(spread, "term"), "used")
+    near = held.join(used, "k").where(F.col("n_t") <= bound(F.col("n_e")))
+    pairs = near.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("times").alias("n_et")).where(F.col("n_et") >= support)
+    told = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
+    strong = materialize(pairs.withColumn("told", told).where(F.col("told") >= generalise).select("entity", "term", "told"), "strong")
+    hits = held.select("k", "entity").join(strong, "entity").join(used.select("k", "term"), ["k", "term"]).groupBy("k", "term").agg(F.max("told").alias("told"))
+    hits = materialize(hits, "hits")
+
+    # A word starts after all gaps and words before it.
+    told_texts = whole.join(hits.select("k").distinct(), "k", "left_semi")
+    gaps = F.transform(F.split("t", WORD, -1), lambda x: F.length(x).cast("long"))
+    placed = told_texts.select("k", F.posexplode(F.arrays_zip(words_of(F.col("t")).alias("w"), gaps.alias("gap")))).select("k", "pos", "col.w", "col.gap").where("w IS NOT NULL")
+    end = F.sum(F.col("gap") + F.length("w")).over(Window.partitionBy("k").orderBy("pos"))
+    placed = placed.withColumn("end", end).select("k", F.lower("w").alias("term"), (F.col("end") - F.length("w")).alias("start"), "end")
     kind = F.when(F.col("told") >= remove, "removed").otherwise("term")
-    by_text = hits.groupBy("k", "start", "end").agg(F.max("told").alias("told")).groupBy(F.col("k").alias(other)).agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).cast(SPAN).alias(told_terms))
+    by_text = placed.join(hits, ["k", "term"]).groupBy(F.col("k").alias(other)).agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).cast(SPAN).alias(told_terms))
 
     out = scanned.join(by_text, scanned[key] == by_text[other], "left")
     base = F.transform(ents, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"))).cast(SPAN)

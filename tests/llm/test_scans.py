@@ -79,6 +79,18 @@ def test_terms_that_disclose(docs):
     assert all(out[10 + i] == [] for i in range(60))
 
 
+def test_terms_far_from_the_entity_disclose(docs):
+    far = " and more of the weather" * 10 + " "
+    rows = [(i, f"Dear Zebulon,{far}zeb@example.org{far}ZEBULON \U0001f600 Zebulon {i}") for i in range(4)]
+    rows += [(10 + i, f"and more of the weather {i}") for i in range(60)]
+    out = {r.doc_id: r.pii for r in P.scan_pii(docs(*rows)).collect()}
+    for i in range(4):
+        told = [rows[i][1][s.start : s.end] for s in out[i] if s.kind == "removed"]
+        assert [w for w in told if w.lower() == "zebulon"] == ["Zebulon", "ZEBULON", "Zebulon"]
+        assert "weather" not in told
+    assert all(out[10 + i] == [] for i in range(60))
+
+
 def test_redact(spark):
     df = spark.createDataFrame([("ab\U0001f600cdef", [("x", 1, 3), ("y", 2, 4), ("z", 5, 6)]), ("q", [])], f"t string, s {native.SPAN}")
     assert [r[0] for r in df.select(native.redact(F.col("t"), F.col("s"))).collect()] == ["a[x]d[z]f", "q"]
