@@ -138,6 +138,13 @@ def test_lines(docs, clash, monkeypatch, broadcast):
     assert L.drop_lines(df.limit(0)).collect() == []
 
 
+def test_long_lines_recur_from_two_documents_on(docs):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(i, f"own {'abcdefghijkl'[i]}\n{passage if i < 2 else 'another line of seven plain words' if i < 4 else ''}") for i in range(12)]
+    got = {r.doc_id: r.text for r in L.dedup_lines(docs(*rows)).collect()}
+    assert got == {**dict(rows), 1: "own b"}
+
+
 def test_lines_like_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
