@@ -145,6 +145,13 @@ def test_long_lines_recur_from_two_documents_on(docs):
     assert got == {**dict(rows), 1: "own b"}
 
 
+def test_short_lines_recur_too(docs):
+    blankless = "\u6587" * 45
+    rows = [(i, f"own {'abcdefghijkl'[i]}\nAll rights reserved.\n{i}" + (f"\n{blankless}" if i < 3 else "\nOnly five" if i < 8 else "")) for i in range(12)]
+    got = {r.doc_id: r.text for r in L.dedup_lines(docs(*rows)).collect()}
+    assert got == {i: t if i == 0 else t.replace("\nAll rights reserved.", "").replace("\n" + blankless, "") for i, t in rows}
+
+
 def test_lines_like_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
