@@ -27,7 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 USER = r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
 #: Unnamed: a long run of letters and digits that has both cases and digits.
-KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{20,64}+(?![A-Za-z0-9+/])"
+KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}+"
 ENDPOINT = r"""\bhttps?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?i:\b(?:host|endpoint|server|db_?url))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,}"""
 KINDS = ["assign", "access", "hex", "user", "short", "key", "endpoint"]
 BASE = KINDS[:3]

@@ -68,6 +68,12 @@ def test_weak_parts_need_their_complement(docs):
     assert got == {1: ["user", "short"], 2: [], 3: [], 4: ["endpoint", "assign"], 5: [], 6: ["user", "key"], 7: [], 8: ["user", "short"] * 40}
 
 
+def test_long_keys_are_linked(docs):
+    key = "Zx8QpL0mNb7Vc5Xs2Qw9Er4T" * 4
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in S.scan_secrets(docs((1, f"login: bob key {key}=="), (2, f"{key} alone"))).collect()}
+    assert got == {1: [("user", 0, 10), ("key", 15, 15 + len(key))], 2: []}
+
+
 def test_terms_that_disclose(docs):
     rows = [(i, f"Then Zebulon wrote to zeb@example.org about the weather in the town {i}") for i in range(4)]
     rows += [(10 + i, f"about the weather in the town and then some {i}") for i in range(60)]
