@@ -1,123 +1,170 @@
-"""Approximate nearest neighbours: forests of random-projection trees.
-
-Rows are dealt into blocks by a hash of their id, queries into chunks; each (block, chunk)
-is a task. A task grows a forest over all rows of its block: a tree splits at the median
-along the difference of two random rows. A query descends all trees through one shared
-priority queue, nearest boundary first, until the leaves it has reached hold ``share`` of
-the block; these candidates are ranked by the exact inner product on the original
-vectors. Inner products become angles by one added component that makes all rows equally
-long. The best of each block meet in a window per query.
+"""Approximate nearest neighbours: a forest of random-projection trees.
+
+One forest serves the whole table. Its planes are fitted on at most ``SAMPLE_ROWS``
+vectors, picked by a hash of their content: a tree splits at the median along the
+difference of two random vectors. Every vector is indexed by its leaf in every tree. A
+query descends all trees through one shared priority queue, nearest boundary first,
+until the leaves it has reached hold ``share`` of the sample, and at least ``least``
+vectors where the sample is the table; as the order of that queue is the order of a
+leaf's farthest boundary, the leaves are found for many queries at once.
+
+Vectors are dealt into blocks by a hash of their id, queries into chunks; each (block,
+chunk) is a task. For every leaf it ranks the block's vectors in that leaf against the
+queries that reached it by one product of the original vectors; the best of each block
+meet in a window per query. Inner products become angles in the trees by one added
+component that makes all vectors equally long.
 
 Equal vectors are kept once with their ``k + 1`` smallest ids, which is all that can ever
 be reported of them, so a very common vector is one row.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component
-take no part, nor do rows with a null id or of another length than most; repeated rows
-count once; ties go to the smaller id; an empty table gives no rows.
+take no part, nor do rows with a null id or of another length than most; an id with
+several vectors has the first of them in the order of arrays; repeated rows count once;
+ties go to the smaller id; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialize, table
+from millrace.llm.shared import hash_sample, materialize, table
 
-#: Trees, rows of a leaf at most, and the share of a block whose rows a query is compared with.
-TREES, LEAF, SHARE = 32, 48, 0.8
+#: Trees, rows of a leaf at most, and rows of which the planes are fitted.
+TREES, LEAF, SAMPLE_ROWS = 16, 64, 8192
+#: Share of the rows, and least number of them, with which a query is compared.
+SHARE, LEAST = 0.55, 4096
 BLOCK_ROWS, CHUNK_ROWS = 8192, 8192
+#: Queries that a task scores at once.
+AT_ONCE = 512
 
 
 class Forest:
     def __init__(self, rows: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11):
         self.normals: list[np.ndarray] = []
         self.cuts: list[float] = []
-        #: Children of each node; a leaf is ~(index in leaves).
+        #: Children of each node; a leaf is ~(its number).
         self.sides: list[tuple[int, int]] = []
-        self.leaves: list[np.ndarray] = []
+        self.leaves = 0
         r = np.random.default_rng(seed)
         self.roots = [self._grow(rows, np.arange(len(rows)), leaf, r) for _ in range(trees)]
 
     def _grow(self, rows: np.ndarray, own: np.ndarray, leaf: int, r: np.random.Generator) -> int:
-        if len(own) > leaf:
-            for _ in range(4):
-                a, b = r.choice(len(own), 2, replace=False)
-                normal = rows[own[a]] - rows[own[b]]
-                length = np.linalg.norm(normal)
-                if length == 0:
-                    continue
-                normal = normal / length
-                at = rows[own] @ normal
-                cut = float(np.median(at))
-                left = at <= cut
-                if left.all():
-                    continue
-                node = len(self.sides)
-                self.normals.append(normal)
-                self.cuts.append(cut)
-                self.sides.append((0, 0))
-                self.sides[node] = (self._grow(rows, own[left], leaf, r), self._grow(rows, own[~left], leaf, r))
-                return node
-        self.leaves.append(own)
-        return ~(len(self.leaves) - 1)
-
-    def margins(self, queries: np.ndarray) -> np.ndarray:
-        """Distance of each query from each node's boundary; positive on the right."""
-        if not self.normals:
-            return np.zeros((len(queries), 0))
-        return queries @ np.array(self.normals).T - np.array(self.cuts)
-
-    def candidates(self, margin: np.ndarray, wanted: int, n: int) -> np.ndarray:
-        """Rows of the leaves that the shared queue reaches until ``wanted`` rows are found."""
-        seen, found = np.zeros(n, bool), 0
-        heap = [(0.0, node) for node in self.roots]
-        sides, leaves, margin = self.sides, self.leaves, margin.tolist()
-        while heap and found < wanted:
-            bound, node = heapq.heappop(heap)
-            while node >= 0:
-                m, (left, right) = margin[node], sides[node]
-                near, far = (right, left) if m > 0 else (left, right)
-                heapq.heappush(heap, (max(bound, abs(m)), far))
-                node = near
-            leaf = leaves[~node]
-            found += len(leaf) - int(seen[leaf].sum())
-            seen[leaf] = True
-        return np.nonzero(seen)[0]
-
-
-def search_block(ids: list[list[int]], rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, longest: float, k: int, share: float) -> list[tuple[int, int, float]]:
+        for _ in range(4 if len(own) > leaf else 0):
+            a, b = r.choice(len(own), 2, replace=False)
+            normal = rows[own[a]] - rows[own[b]]
+            length = np.linalg.norm(normal)
+            if length == 0:
+                continue
+            normal = normal / length
+            at = rows[own] @ normal
+            cut = float(np.median(at))
+            left = at <= cut
+            if left.all():
+                continue
+            node = len(self.sides)
+            self.normals.append(normal)
+            self.cuts.append(cut)
+            self.sides.append((0, 0))
+            self.sides[node] = (self._grow(rows, own[left], leaf, r), self._grow(rows, own[~left], leaf, r))
+            return node
+        self.leaves += 1
+        return ~(self.leaves - 1)
+
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """The leaf of each row in each tree."""
+        out = np.zeros((len(self.roots), len(rows)), np.int32)
+        todo = [(t, root, np.arange(len(rows))) for t, root in enumerate(self.roots)]
+        while todo:
+            t, node, own = todo.pop()
+            if node < 0:
+                out[t, own] = ~node
+            elif len(own):
+                left = rows[own] @ self.normals[node] <= self.cuts[node]
+                todo += [(t, self.sides[node][0], own[left]), (t, self.sides[node][1], own[~left])]
+        return out
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and leaf: how far the queue is from its front when the leaf's turn comes,
+        which is the farthest boundary that the query has on the wrong side."""
+        out = np.zeros((len(queries), self.leaves), np.float32)
+        margin = queries @ np.array(self.normals).T - np.array(self.cuts) if self.normals else None
+        todo = [(root, np.zeros(len(queries), np.float32)) for root in self.roots]
+        while todo:
+            node, far = todo.pop()
+            if node < 0:
+                out[:, ~node] = far
+                continue
+            m = margin[:, node].astype(np.float32)
+            todo += [(self.sides[node][0], np.maximum(far, m)), (self.sides[node][1], np.maximum(far, -m))]
+        return out
+
+    def reached(self, queries: np.ndarray, placed: np.ndarray, wanted: int) -> np.ndarray:
+        """For each query and leaf, whether the leaf is among the first that hold ``wanted``
+        of the rows whose leaves are ``placed``."""
+        bounds = self.bounds(queries)
+        if wanted >= placed.shape[1]:
+            return np.ones(bounds.shape, bool)
+        last = np.empty(len(queries), np.float32)
+        for i, own in enumerate(bounds):
+            first = own[placed].min(axis=0)  # a row is found by the first tree that comes to it
+            last[i] = np.partition(first, wanted - 1)[wanted - 1]
+        return bounds <= last[:, None]
+
+
+def longer(rows: np.ndarray, longest: float) -> np.ndarray:
+    """Rows with a component that makes them ``longest`` long."""
+    return np.c_[rows, np.sqrt(np.maximum(longest**2 - (rows**2).sum(1), 0))]
+
+
+def scores(rows: np.ndarray, placed: np.ndarray, queries: np.ndarray, reached: np.ndarray) -> np.ndarray:
+    """Products of queries and the rows in leaves that they reached; -inf elsewhere."""
+    out = np.full((len(queries), len(rows)), -np.inf)
+    for own in placed:
+        order = np.argsort(own, kind="stable")
+        leaf, start = np.unique(own[order], return_index=True)
+        for n, a, b in zip(leaf.tolist(), start.tolist(), [*start[1:].tolist(), len(own)], strict=True):
+            q = np.nonzero(reached[:, n])[0]
+            if len(q):
+                out[q[:, None], order[a:b]] = queries[q] @ rows[order[a:b]].T
+    return out
+
+
+def search_block(forest: Forest, ids: list[list[int]], rows: np.ndarray, longest: float, query_ids: np.ndarray, queries: np.ndarray, reached: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query id, id, score) of the best ``k`` found in a block for each query."""
-    extra = np.sqrt(np.maximum(longest**2 - (rows**2).sum(1), 0))
-    forest = Forest(np.c_[rows, extra])
-    flat = np.concatenate([np.asarray(i) for i in ids])
-    first = np.cumsum([0] + [len(i) for i in ids])
-    wanted, out = min(len(rows), max(4 * k, int(np.ceil(share * len(rows))))), []
-    for b in range(0, len(queries), 256):
-        part = queries[b : b + 256]
-        for q, v, m in zip(query_ids[b : b + 256].tolist(), part, forest.margins(np.c_[part, np.zeros(len(part))]), strict=True):
-            found = forest.candidates(m, wanted, len(rows))
-            score = rows[found] @ v
-            if len(score) > 2 * k + 2:  # ties at the border stay
-                border = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                found, score = found[score >= border], score[score >= border]
-            own = [(-float(s), int(i)) for f, s in zip(found.tolist(), score, strict=True) for i in flat[first[f] : first[f + 1]] if i != q]
-            out += [(q, i, -s) for s, i in heapq.nsmallest(k, own)]
+    placed, out = forest.place(longer(rows, longest)), []
+    for b in range(0, len(queries), AT_ONCE):
+        part = queries[b : b + AT_ONCE]
+        all_scores = scores(rows, placed, part, reached[b : b + AT_ONCE])
+        # One more than k, as the query itself may be among them; ties at the border stay.
+        border = np.partition(all_scores, -k - 1, axis=1)[:, -k - 1] if len(rows) > k + 1 else np.full(len(part), -np.inf)
+        slack = 1e-12 * longest * np.linalg.norm(part, axis=1)
+        for q, v, own, least in zip(query_ids[b : b + AT_ONCE].tolist(), part, all_scores, border - slack, strict=True):
+            found = np.nonzero((own >= least) & (own > -np.inf))[0]
+            exact = np.einsum("ij,j->i", rows[found], v).tolist()
+            near = [(-s, i) for f, s in zip(found.tolist(), exact, strict=True) for i in ids[f] if i != q]
+            out += [(q, i, -s) for s, i in heapq.nsmallest(k, near)]
     return out
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, v): rows that take part, as arrays of doubles; repeated rows once."""
+    """(id, v): rows that take part, as arrays of doubles."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
-    return good
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
+
 
+def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, share: float = SHARE) -> DataFrame:
+
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(query_id, rank, id, score): for each row that ``is_query`` (an expression over the column
     "id") its ``k`` nearest others by inner product, as far as found."""
     spark = vectors.sparkSession
@@ -126,24 +173,36 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     size = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return spark.createDataFrame([], schema)
-    good = good.where(F.size("v") == size.d)
+    d = size.d
+    good = materialize(good.where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     # The k + 1 smallest ids of each distinct vector; the rank limit works before the shuffle too.
-    w = Window.partitionBy("v").orderBy("id")
-    few = good.dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
-    rows = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    few = good.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    rows = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
     n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    queries = materialize(good.where(is_query).dropDuplicates(["id", "v"]), "queries")
+    sample = longer(np.array([r.v for r in hash_sample(rows.select("v"), "v", n, SAMPLE_ROWS).collect()]), longest)
+    forest = Forest(sample)
+    placed = forest.place(sample)
+    wanted = int(np.ceil(max(share * len(sample), least * len(sample) / n)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(i, AT_ONCE)
+                v = _matrix(part.column(1), d)
+                leaves = np.packbits(forest.reached(np.c_[v, np.zeros(len(v))], placed, wanted), axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in leaves], pa.binary())], names=["id", "v", "leaves"])
+
+    queries = materialize(good.where(is_query).select("id", "v").mapInArrow(ask, "id long, v array<double>, leaves binary"), "queries")
     blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-queries.count() // CHUNK_ROWS))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.select("ids", "v", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int").alias("block"), each(chunks).alias("chunk"))
-    right = queries.select("id", "v", each(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
-    d = size.d
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    right = queries.select("id", "v", "leaves", each(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        got = search_block(a.column("ids").to_pylist(), matrix(a), b.column("id").to_numpy(), matrix(b), longest, k, share) if a.num_rows and b.num_rows else []
+        got = []
+        if a.num_rows and b.num_rows:
+            leaves = np.unpackbits(np.frombuffer(b"".join(b.column("leaves").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, count=forest.leaves).astype(bool)
+            got = search_block(forest, a.column("ids").to_pylist(), _matrix(a.column("v"), d), longest, b.column("id").to_numpy(), _matrix(b.column("v"), d), leaves, k)
         return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "id": pa.array([g[1] for g in got], pa.int64()), "score": pa.array([g[2] for g in got], pa.float64())})
 
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, "query_id long, id long, score double")
