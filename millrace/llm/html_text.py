@@ -3,223 +3,316 @@
 1. Each page is parsed (a tolerant parser: unclosed and stray tags are fine) and its
    containers are scored by the running text they hold.
 2. A container is named by its generalised path: tags and classes from the root, digits
-   taken out. Pages vote for the paths of their best containers; Spark adds the votes up
-   per host and path, and each host gets one winning path.
-3. Each page is extracted again: from the elements on its host's winning path, or from
-   its own best container where it has none there.
+   taken out. Pages vote for the path of their best container; Spark adds the votes up
+   per host and path. A host's paths are those with ``LEAST_SHARE`` of its votes or more,
+   best first, so a host may have several templates.
+3. Each page is extracted again: from the elements on the first of its host's paths that
+   it has text on, or from its own best container where it has none of them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-are left out wherever they stand; headings in an article's own header stay.
+are left out wherever they stand, by their tag or role, or by a class or id that names
+one and nothing else; an article's own header stays.
+
+Parsing takes time in proportion to a page's length: the scan never goes back, open
+elements are found by tag, paths and containers are known from the parent, and an
+element's blocks are a range. The host paths go to the pages, not the pages to the
+hosts: they are broadcast while they are few, and beyond that joined with the pages
+dealt over ``SALTS`` parts of a host.
 
 Defined results: a null page is empty and gives an empty text; a null or odd address
-makes the host the empty one; repeated rows are extracted each; an empty table gives no
-rows; other columns are kept, whatever their names.
+makes the host the empty one; containers of equal score rank by their place in the page,
+paths of equal votes by depth (deeper first) and then name; repeated rows vote and are
+extracted each; an empty table gives no rows; other columns are kept, whatever their
+names (a new column whose name is taken gets underscores before it).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from millrace.llm.shared import free_name, table
+from millrace.llm.shared import free_name, materialize, table
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas title select xmp noframes audio video".split())
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDERS = frozenset("article main section div td body".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: An open element of the first kind ends where one of the others begins, unless a bound stands between.
+#: Open elements that end where one of the first kind begins, unless a bound stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("html body table ul ol dl td th div article section main aside".split())
 LEFT_OUT = frozenset("head nav footer aside form menu dialog button label fieldset".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words of a class or id that mark what is not the article.
+#: Words of a class or id that mark what is not the article, whatever stands beside them ...
 NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices notification alert popup modal overlay"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer foot masthead topbar header"
-    " comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar pagination pager tags".split()
+    "ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal navbar breadcrumb breadcrumbs"
+    " sidebar sidebars masthead topbar comments commentlist disqus newsletter subscribe subscription signup login toolbar pagination pager".split()
+)
+#: ... and those that do so alone or beside words of a page's frame.
+WEAK = frozenset(
+    "ad aside banner notice notices notification alert overlay nav navigation menu menus rail widget widgets footer foot header comment discussion respond reply replies"
+    " share sharing social related recommended recommendations search tags".split()
+)
+FRAME = frozenset(
+    "site page main global top bottom left right primary secondary inner outer wrapper wrap container box block slot area section list item items bar unit link links posts row col column"
+    " holder module panel region view group post entry user reader author body text title form content message signup button buttons icon icons small large sticky fixed mobile desktop web privacy legal policy info js".split()
 )
 GOOD = frozenset("article content post entry story main body text page".split())
+#: Share of a host's votes from which on a path is one of its own.
+LEAST_SHARE = 0.05
+#: Most bytes of host paths that are broadcast, and parts of a host beyond that.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+
+
+@lru_cache(4096)
+def _step(tag: str, names: tuple[str, ...]) -> str:
+    return ".".join([tag, *sorted({re.sub(r"\d+", "", n) for n in names} - {""})]).replace("/", "_")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "out", "score", "at")
+    """An element: its number in page order, the last number inside it, whether it is left out,
+    the key of its path, and the nearest block and container around it."""
+
+    __slots__ = ("tag", "names", "parent", "out", "score", "at", "last", "key", "block", "holder")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, out: bool, at: int):
-        self.tag, self.names, self.parent, self.out, self.score, self.at = tag, names, parent, out, 0.0, at
+        self.tag, self.names, self.parent, self.out, self.score, self.at, self.last = tag, names, parent, out, 0.0, at, at
+        self.key = xxh64_intdigest(f"{parent.key} {self.step()}") if parent is not None else 0
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.holder = self if parent is None or tag in HOLDERS else parent.holder
+
+    def step(self) -> str:
+        return _step(self.tag, self.names) if self.names else self.tag
 
     def path(self) -> str:
         """Generalised path: tags and classes, without digits."""
         steps, node = [], self
         while node.parent is not None:
-            steps.append(".".join([node.tag, *sorted({re.sub(r"\d+", "", n) for n in node.names} - {""})]))
+            steps.append(node.step())
             node = node.parent
         return "/".join(reversed(steps))
 
 
+def path_key(path: str) -> int:
+    key = 0
+    for step in path.split("/"):
+        key = xxh64_intdigest(f"{key} {step}")
+    return key
+
+
+def names_noise(value: str) -> bool:
+    """Whether a class or id names what is not the article."""
+    for name in value.lower().split():
+        words = set(re.split(r"[^a-z]+", name)) - {""}
+        if words & NOISE or (words & WEAK and words <= WEAK | FRAME | GOOD and not (words & GOOD and words & WEAK <= {"header"})):
+            return True
+    return False
+
+
+@lru_cache(4096)
 def _classes(tag: str, rest: str) -> tuple[tuple[str, ...], bool]:
     """(class names, whether the element is left out)."""
     out, names = tag in LEFT_OUT, ()
     if rest.strip():
-        words: set[str] = set()
         for m in ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "class":
                 names = tuple(value.lower().split())
             if key in ("class", "id"):
-                words.update(re.split(r"[^a-z]+", value.lower()))
+                # A page's frame may be called after what it holds; only its parts are judged by name.
+                out = out or (tag not in ("html", "body", "main", "article") and names_noise(value))
             elif key == "role":
                 out = out or value.lower() in LEFT_OUT_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 out = True
-        # A page's frame may be called after what it holds; only its parts are judged by name.
-        if tag not in ("html", "body", "main", "article") and words & NOISE and not (words & GOOD and words & NOISE <= {"page", "header", "text"}):
-            out = True
     return names, out
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
-    """(elements in page order, blocks): a block is (its element, text, length of link text)."""
-    root = Node("", (), None, False, 0)
-    nodes, blocks, stack = [root], [], [root]
-    text: list[str] = []
-    links = linked = 0
-    holder = root
-
-    def flush() -> None:
-        nonlocal text, linked
-        if text:
-            t = " ".join(unescape("".join(text)).split())
-            if t and not holder.out:
-                blocks.append((holder, t, min(linked, len(t))))
-            text, linked = [], 0
-
-    def close(i: int) -> None:
-        nonlocal links, holder
-        for n in stack[i:]:
-            if n.tag == "a":
-                links -= 1
-            if n.tag in BLOCK:
-                flush()
-        del stack[i:]
-        holder = next((n for n in reversed(stack) if n.tag in BLOCK or n.out), root)
-
-    at, end = 0, len(html)
-    while at < end:
-        m = MARKUP.search(html, at)
-        if m is None:
-            text.append(html[at:])
-            break
-        if m.start() > at:
-            text.append(html[at : m.start()])
-            if links:
-                linked += m.start() - at
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
+def markup(html: str) -> Iterator[tuple[str, int, int, bool, str, str]]:
+    """(kind, text begin, text end, end tag, name, attributes) in page order: kind "text", "tag"
+    or "raw" (an element whose content is passed over). What is no tag is text; comments and
+    declarations are neither."""
+    at, size, last_gt = 0, len(html), html.rfind(">")
+    quotes = True  # until a quote is left open: then quotes mean nothing
+    while at < size:
+        lt = html.find("<", at)
+        while lt >= 0 and not (html.startswith(("!--", "![CDATA["), lt + 1) or (lt < last_gt and (html.startswith(("!", "?"), lt + 1) or NAME.match(html, lt + 1 + html.startswith("/", lt + 1))))):
+            lt = html.find("<", lt + 1)
+        if lt < 0:
+            yield "text", at, size, False, "", ""
+            return
+        if lt > at:
+            yield "text", at, lt, False, "", ""
+        for opens, closes in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if html.startswith(opens, lt):
+                stop = html.find(closes, lt + len(opens))
+                at = size if stop < 0 else stop + len(closes)
+                break
+        else:
+            if html[lt + 1] in "!?":
+                at = html.find(">", lt) + 1
+                continue
+            ends = html.startswith("/", lt + 1)
+            name = NAME.match(html, lt + 1 + ends)
+            at = name.end()
+            while quotes:
+                at = PLAIN.match(html, at).end()
+                if at < size and html[at] == ">":
                     break
-                if tag not in BLOCK and stack[i].tag in BLOCK and tag not in ("a",):
-                    break  # an inline end tag does not end a block
-            continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = stop.end() if stop else end
-            text.append(" ")
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                flush()
+                at = html.find(html[at], at + 1) + 1 if at < size else 0
+                quotes = at > 0
+            if not quotes:
+                at = html.find(">", name.end())
+            tag, rest = name[0].lower(), html[name.end() : at]
+            at += 1
+            if tag in RAW and not ends:
+                if not rest.endswith("/"):
+                    stop = RAW_END[tag].search(html, at)
+                    at = stop.end() if stop else size
+                yield "raw", at, at, False, tag, rest
+            else:
+                yield "tag", at, at, ends, tag, rest
+
+
+class Page:
+    """The elements of a page in order, and its blocks: (element, text, length of link text)."""
+
+    def __init__(self, html: str):
+        self.root = Node("", (), None, False, 0)
+        self.nodes, self.blocks = [self.root], []
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements, by tag
+        self.block_places, self.bound_places = [0], [0]
+        self.text: list[str] = []
+        self.linked = 0
+        for kind, begin, end, ends, tag, rest in markup(html):
+            if kind == "text":
+                if not self.stack[-1].out:
+                    self.text.append(html[begin:end])
+                    self.linked += (end - begin) * bool(self.places["a"])
+            elif kind == "raw":
+                self.text.append(" ")
+            elif ends:
+                self._end(tag)
+            elif tag in VOID:
+                if tag == "hr":
+                    self._flush()
+                elif tag == "br":
+                    self.text.append(" ")
             else:
-                text.append(" " if tag == "br" else "")
-            continue
-        ends = {"p"} if tag in BLOCK else set()
-        for kind, by in ENDS.items():
-            if tag in by:
-                ends = ends | {kind}
+                self._begin(tag, rest)
+        self._close(1)
+        self._flush()
+        self.root.last = len(self.nodes) - 1
+
+    def _flush(self) -> None:
+        if self.text:
+            if t := " ".join(unescape("".join(self.text)).split()):
+                self.blocks.append((self.stack[-1].block, t, min(self.linked, len(t))))
+            self.text, self.linked = [], 0
+
+    def _close(self, i: int) -> None:
+        """End the open elements from place ``i`` on."""
+        while len(self.stack) > i:
+            node = self.stack[-1]
+            if node.tag in BLOCK:
+                self._flush()
+                self.block_places.pop()
+            if node.tag in BOUNDS:
+                self.bound_places.pop()
+            self.places[node.tag].pop()
+            node.last = len(self.nodes) - 1
+            self.stack.pop()
+
+    def _end(self, tag: str) -> None:
+        # An inline end tag does not end a block.
+        if self.places[tag] and (tag in BLOCK or tag == "a" or self.places[tag][-1] > self.block_places[-1]):
+            self._close(self.places[tag][-1])
+
+    def _begin(self, tag: str, rest: str) -> None:
+        ends = ENDS.get(tag, frozenset()) | ({"p"} if tag in BLOCK else frozenset())
         if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    close(i)
-                    if tag not in ENDS:
-                        break
-                elif stack[i].tag in BOUNDS:
-                    break
-        names, out = _classes(tag, m[3])
-        parent = stack[-1]
-        if tag == "header":  # a page's header; an article's own keeps its headings
-            out = out or not any(n.tag in ("article", "main") for n in stack)
-        if parent.tag == "header" and not parent.out and tag not in HEADINGS and tag not in ("div", "hgroup"):
-            out = True
-        node = Node(tag, names, parent, out or parent.out, len(nodes))
-        if tag in BLOCK or (node.out and not parent.out):
-            flush()
-            holder = node
-        if tag == "a":
-            links += 1
-        nodes.append(node)
-        if m[3].endswith("/") and tag not in BLOCK:
-            if tag == "a":
-                links -= 1
-            continue
-        stack.append(node)
-    close(1)
-    flush()
-    return nodes, blocks
-
-
-def score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[Node]:
-    """Containers that hold running text, best first."""
-    seen: dict[int, Node] = {}
-    for node, t, links in blocks:
-        own = len(t) - links
-        if own < 20 or links * 2 > len(t):
-            continue
-        share, n = float(own), node
-        while n is not None and share >= own / 4:
-            if n.tag in HOLDERS or n.parent is None:
+            k = len(self.bound_places) - 1
+            while k > 0 and self.stack[self.bound_places[k]].tag in ends:
+                k -= 1
+            bound = self.bound_places[k]
+            after = [own[bisect_right(own, bound)] for kind in ends if (own := self.places[kind]) and own[-1] > bound]
+            if after:
+                self._close(min(after))
+        names, out = _classes(tag, rest) if rest else ((), tag in LEFT_OUT)
+        parent = self.stack[-1]
+        if tag == "header":  # a page's header; an article's own stays
+            out = out or not (self.places["article"] or self.places["main"])
+        if tag in BLOCK:
+            self._flush()
+        node = Node(tag, names, parent, out or parent.out, len(self.nodes))
+        self.nodes.append(node)
+        if rest.endswith("/") and tag not in BLOCK:
+            return
+        place = len(self.stack)
+        self.stack.append(node)
+        self.places[tag].append(place)
+        if tag in BLOCK:
+            self.block_places.append(place)
+        if tag in BOUNDS:
+            self.bound_places.append(place)
+
+    def containers(self) -> list[Node]:
+        """Containers that hold running text, best first."""
+        seen: dict[int, Node] = {}
+        for node, t, links in self.blocks:
+            own = len(t) - links
+            if own < 20 or links * 2 > len(t):
+                continue
+            share, n = float(own), node.holder
+            while n is not None and share >= own / 4:
                 n.score += share * (1.5 if n.tag in ("article", "main") or GOOD.intersection(n.names) else 1.0)
                 seen[n.at] = n
                 share /= 2
-            n = n.parent
-    return sorted(seen.values(), key=lambda n: (-n.score, n.at))
-
-
-def _inside(node: Node | None, roots: set[int]) -> bool:
-    while node is not None:
-        if node.at in roots:
-            return True
-        node = node.parent
-    return False
-
-
-def main_text(html: str | None, path: str | None) -> str:
-    """The text under the elements on ``path``, or else under the page's best container."""
-    nodes, blocks = parse(html or "")
-    roots = {n.at for n in nodes[1:] if not n.out and n.path() == path} if path is not None else set()
-    if not any(_inside(b[0], roots) for b in blocks):
-        best = score(nodes, blocks)
-        roots = {best[0].at} if best else {0}
-    return "\n".join(t for n, t, _ in blocks if _inside(n, roots))
-
-
-def votes(html: str | None, most: int = 3) -> list[tuple[str, int]]:
-    """(path, thousandths of the best score) of a page's best containers."""
-    best = score(*parse(html or ""))[:most]
-    return [(n.path(), round(1000 * n.score / best[0].score)) for n in best if n.parent is not None]
+                n = n.parent.holder if n.parent is not None else None
+        return sorted(seen.values(), key=lambda n: (-n.score, n.at))
+
+    def under(self, roots: list[Node]) -> list[str]:
+        """Texts of the blocks inside any of ``roots``, which are in page order."""
+        inside, last = bytearray(len(self.nodes)), -1
+        for r in roots:
+            if r.at > last:
+                last = r.last
+                inside[r.at : last + 1] = b"\1" * (last + 1 - r.at)
+        return [t for node, t, _ in self.blocks if inside[node.at]]
+
+
+def main_text(html: str | None, paths: list[str] = ()) -> str:
+    """The text under the elements on the first of ``paths`` that has some, or else under the
+    page's best container."""
+    page = Page(html or "")
+    on: dict[int, list[Node]] = {path_key(p): [] for p in paths}
+    for n in page.nodes[1:]:
+        if n.key in on and not n.out:
+            on[n.key].append(n)
+    for roots in on.values():
+        if roots and (found := page.under(roots)):
+            return "\n".join(found)
+    return "\n".join(page.under(page.containers()[:1] or [page.root]))
+
+
+def best_path(html: str | None) -> str | None:
+    """Path of a page's best container."""
+    best = Page(html or "").containers()
+    return best[0].path() if best and best[0].parent is not None else None
 
 
 def host_of(url: Column) -> Column:
@@ -227,35 +320,43 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, path): the path that most of a host's pages vote for."""
+    """(host, paths): the paths for which a host's pages vote, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, p, v) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p, v in votes(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(best_path, b.column(1).to_pylist()), pa.string())], names=["host", "path"])
 
     cast = pages.select(host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
-    each = cast.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    # Ties go to the deeper, then to the greater path.
-    return each.groupBy("host").agg(F.max(F.struct("votes", F.length("path").alias("l"), "path")).alias("m")).select("host", F.col("m.path").alias("path"))
+    each = cast.mapInArrow(run, "host string, path string").where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    each = materialize(each, "votes")
+    total = each.groupBy("host").agg(F.sum("votes").alias("total"))
+    own = each.join(total, "host").where(F.col("votes") >= LEAST_SHARE * F.col("total"))
+    # At most 1 / LEAST_SHARE paths a host. Ties go to the deeper, then to the greater path.
+    ranked = F.struct("votes", F.size(F.split("path", "/")).alias("depth"), "path")
+    return own.groupBy("host").agg(F.sort_array(F.collect_list(ranked), asc=False)["path"].alias("paths"))
 
 
-def extract_text(pages: DataFrame, html: str = "html", url: str = "url", into: str = "text") -> DataFrame:
+def extract_text(pages: DataFrame, html: str = "html", url: str = "url", into: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` without the html and with the main text, never null."""
-    host, path, own, other = (free_name(pages, n) for n in ("_host", "_path", "_main", "_h"))
-    best = host_paths(pages, html, url).withColumnsRenamed({"host": other, "path": path})
+    host, paths, other, salt, into = (free_name(pages, n) for n in ("_host", "_paths", "_h", "_salt", into))
+    best = materialize(host_paths(pages, html, url).withColumnsRenamed({"host": other, "paths": paths}), "host-paths")
+    size = best.agg(F.sum(F.octet_length(other) + F.octet_length(F.array_join(paths, "/")))).first()[0] or 0
     keyed = pages.withColumn(host, host_of(F.col(url).cast("string")))
-    joined = keyed.join(best, keyed[host] == best[other], "left").drop(other, host)
+    if size <= broadcast_bytes:
+        joined = keyed.join(F.broadcast(best), keyed[host] == best[other], "left")
+    else:  # a host's pages are dealt by their content, and its one row goes to each part
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(html), F.lit(SALTS)))
+        best = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = keyed.join(best, (keyed[host] == best[other]) & (keyed[salt] == best["salt"]), "left").drop(best["salt"])
     others = [c for c in pages.columns if c != html]
-    schema = pages.select(*others, F.lit("").alias(own)).schema
+    schema = pages.select(*others, F.lit("").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [main_text(h, p) for h, p in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], names=[*others, own])
+            out = [main_text(h, p or ()) for h, p in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], names=[*others, into])
 
-    done = joined.select(*others, F.col(html).cast("string"), path).mapInArrow(run, schema)
-    return done.withColumnRenamed(own, into) if into not in others else done.withColumn(into, F.col(own)).drop(own)
+    return joined.select(*(keyed[c] for c in others), keyed[html].cast("string"), joined[paths]).mapInArrow(run, schema)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

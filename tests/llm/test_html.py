@@ -1,7 +1,10 @@
 import html
 import re
+import time
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import html_text as H
 
@@ -15,18 +18,19 @@ line with enough text so that it counts as well.<ul><li>one<li>two</ul><form>You
 
 
 def test_page():
-    assert H.votes(PAGE)[0][0].endswith("div.entry-content.post-")
+    assert H.best_path(PAGE).endswith("div.entry-content.post-")
     want = "Long text a < b and link & more to make it count.\nSecond para line with enough text so that it counts as well.\none\ntwo"
-    assert H.main_text(PAGE, None) == want
-    assert H.main_text(PAGE, "no/such/path") == want
+    assert H.main_text(PAGE) == want
+    assert H.main_text(PAGE, ["no/such/path"]) == want
 
 
 def test_odd_pages():
-    for page, want in {None: "", "": "", "<a<b>": "", "plain text": "plain text", "</div></p><b>x": "x", "<script>x": "", "<p>&#x41;&nbsp;&lt;b&gt;</p>": "A <b>", "<div>" * 3000 + "deep": "deep", "<!-- a": "", "<p>a<!-- b --> c</p><hr>d": "a c\nd"}.items():
-        assert H.main_text(page, None) == want
+    for page, want in {None: "", "": "", "<a<b>": "", "plain text": "plain text", "</div></p><b>x": "x", "<script>x": "", "<p>&#x41;&nbsp;&lt;b&gt;</p>": "A <b>", "<div>" * 3000 + "deep": "deep", "<!-- a": "", "<p>a<!-- b --> c</p><hr>d": "a c\nd", "a < b > c <3 <": "a < b > c <3 <", "<p title='a>b'>x": "x", "<p title='a>b>x": "b>x", "<table><tr><td>a<td>b<tr><td>c</table>": "a\nb\nc", "<p>a <button>no</button>b": "a b"}.items():
+        assert H.main_text(page) == want
 
 
-def test_hosts_vote(spark, clash):
+@pytest.mark.parametrize("size", [0, 1 << 20])
+def test_hosts_vote(spark, clash, size):
     body = "<p>Running text that is long enough to count for this page, number {i}.</p>"
     rows = [(i, f"https://Host.example/{i}", f"<div class='x'><div class='story{i}'>{body.format(i=i)}</div></div>") for i in range(6)]
     # On this page alone the long list would win; its host knows better.
@@ -34,10 +38,11 @@ def test_hosts_vote(spark, clash):
     rows += [(7, None, rows[0][2]), (8, "no address", None), (None, None, None), (6, *rows[6][1:])]
     pages = clash(spark.createDataFrame(rows, "page_id long, url string, html string"))
     paths = dict(H.host_paths(pages).collect())
-    assert paths["host.example"] == "div.x/div.story"
-    out = H.extract_text(pages)
-    assert out.columns == [*(c for c in pages.columns if c != "html"), "text"]
-    got = sorted((r.page_id is None, r.page_id or 0, r.text) for r in out.collect())
+    assert paths["host.example"] == ["div.x/div.story", "div.list"]
+    pages = pages.withColumn("text", F.lit("own"))
+    out = H.extract_text(pages, broadcast_bytes=size)
+    assert out.columns == [*(c for c in pages.columns if c != "html"), "_text"]
+    got = sorted((r.page_id is None, r.page_id or 0, r["_text"]) for r in out.collect())
     want = [(False, i, f"Running text that is long enough to count for this page, number {i}.") for i in range(6)]
     want += [(False, 6, "Short."), (False, 6, "Short."), (False, 7, want[0][2]), (False, 8, ""), (True, 0, "")]
     assert got == sorted(want)
@@ -53,3 +58,25 @@ def test_query_finds_the_articles(spark, sf_dir):
     got = H.op3_html(spark, sf_dir).collect()
     assert {r.page_id: r.text for r in got} == truth
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_names_that_only_sound_like_noise():
+    words = "Words that run on for long enough to be the text of this page, and then some."
+    for kept in ("notice-period", "share-price", "header-of-state"):
+        assert H.main_text(f"<article><p>{words}</p><div class='{kept}'>{words}</div></article>") == f"{words}\n{words}"
+    for out in ("notice", "site-notice", "cookie-law", "ad", "ad-top", "reader-comments", "share-buttons", "Sidebar left", "related-posts"):
+        assert H.main_text(f"<article><p>{words}</p><div class='{out}'>{words}</div></article>") == words
+    assert H.main_text(f"<body><header>Site</header><article><header><h1>Head</h1><p>Standfirst.</p></header><p>{words}</p></article>") == f"Head\nStandfirst.\n{words}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "<a " * 350_000 + ">", "<a \"" * 250_000, "<a \"><" * 150_000, "<a title='" * 100_000 + ">", "<div>" * 200_000 + "deep", "<div class='x1'>" * 60_000 + "a running text that counts as such" + "</div>" * 60_000,
+        "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000, "<table>" + "<tr><td>x" * 100_000, "<ul><li>" * 100_000, "<span>" * 100_000 + "<p>words of a paragraph that is text" * 1000, "<!--" * 250_000, "&" * 1_000_000, "<p>" * 300_000, "<script>" * 125_000,
+    ],
+)
+def test_long_odd_pages_take_linear_time(page):
+    began = time.process_time()
+    H.main_text(page, ["no/such/path", H.best_path(page) or ""])
+    assert time.process_time() - began < 12
