@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that were running, not
@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +57,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
+    """At most ``most`` of the ``rows`` rows of ``df``, those of the smallest hashes of column ``key``.
+
+    A row takes part by its hash before anything is ordered, so that what the tasks send on
+    stays near ``most`` rows in all.
+    """
+    hashed = F.xxhash64(key)
+    if rows > 4 * most:
+        df = df.where(F.pmod(hashed, F.lit(1 << 30)) < int(2 * most / rows * (1 << 30)) + 1)
+    return df.orderBy(F.pmod(hashed, F.lit(1 << 30)), hashed, key).limit(most)
+
+
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without copying; null is empty.
 

@@ -20,6 +20,6 @@ def clash():
     def add(df):
         from pyspark.sql import functions as F
 
-        return df.withColumns({c: F.lit(f"own {c}") for c in ("_key", "_spans", "_k", "_hits", "_strong", "_weak", "_entities", "_near", "_score", "_host", "_path", "key", "id", "fp", "contamination_", "_gone", "_i")})
+        return df.withColumns({c: F.lit(f"own {c}") for c in ("_key", "_spans", "_k", "_hits", "_strong", "_weak", "_entities", "_near", "_score", "_host", "_path", "key", "id", "fp", "contamination_", "_gone", "_i", "_x", "score", "contamination", "repeats", "line_dedup", "secrets", "pii")})
 
     return add
