@@ -2,13 +2,18 @@
 
 Bytes are embedded; learned filters of ``KERNEL`` bytes run over the whole text; their
 responses are max-pooled within overlapping chunks, and the chunks' maxima and means
-are combined by one logistic unit. Training takes a bounded sample of labelled rows
-(``SAMPLE_ROWS``, of each at most ``SAMPLE_CHUNKS`` chunks spread over the text);
-scoring takes every byte of every text and nothing else of a row.
+are combined by one logistic unit. Training takes the whole texts of a bounded sample of
+labelled rows: in the order of a hash of their ids, at most ``SAMPLE_ROWS`` rows, less
+the longest of them where all take more than ``SAMPLE_BYTES`` bytes. Scoring takes every byte of every text
+and nothing else of a row; a long text is scored in parts of whole chunks, whose maxima
+and sums are put together.
 
 Defined results: a null text is empty, and an empty text is scored like a text of
-padding; without labelled rows every score is 0.5; repeated rows get equal scores; a
-null id is never held out; an empty table gives no rows; other columns are kept.
+padding; without labelled rows every score is 0.5; of several labels of an id the least
+counts; repeated rows are learned from and scored each, and get equal scores; a score of
+exactly the threshold is accepted; a null id is never held out; an empty table gives no
+rows; other columns are kept, whatever their names (a new column whose name is taken
+gets underscores before it).
 """
 
 from __future__ import annotations
@@ -20,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import column_bytes, free_name, slices, table
+from millrace.llm.shared import column_bytes, free_name, hash_sample, materialize, slices, table
 
 #: Chunks of CHUNK bytes begin every HOP bytes; both are multiples of STRIDE.
 CHUNK, HOP, KERNEL, STRIDE = 1024, 896, 8, 4
 WIDTH, FILTERS = 6, 32
-#: Labelled rows that are learned from, and chunks of each.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 5000, 3
+#: Labelled rows that are learned from, and bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 5000, 16 << 20
 #: Optimisation steps; few rows are gone over more often.
 STEPS, BATCH, RATE, DECAY = 1000, 64, 4e-3, 1e-4
 KEEP = 0.3
-STEP = 1 << 18
+#: Bytes that are scored at once, and chunks that are learned from at once.
+STEP, AT_ONCE = 1 << 18, 64
 Model = dict[str, np.ndarray]
 
 
@@ -52,8 +58,12 @@ def _windows(model: Model, padded: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(flat, (n, KERNEL * WIDTH), (STRIDE * WIDTH * step, step))
 
 
-def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Probability of label 1 for each text of a buffer."""
+def _chunk_count(size: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-(size - (CHUNK - HOP)) // HOP))
+
+
+def _pooled(model: Model, raw: np.ndarray, offsets: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """Maxima of the filters over the first ``chunks`` chunks of each text of a buffer."""
     size = np.diff(offsets)
     # Every text gets room of its own, closed by padding that its last window needs.
     room = -(-np.maximum(size, 1) // STRIDE) * STRIDE + KERNEL
@@ -61,29 +71,44 @@ def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarra
     padded = np.zeros(at[-1], np.uint8)
     padded[np.arange(len(raw)) + np.repeat(at[:-1] - offsets[:-1], size)] = raw
     h = np.maximum(_windows(model, padded) @ model["filter"] + model["bias"], 0)
-    chunks = np.maximum(1, -(-(size - (CHUNK - HOP)) // HOP))
     text = np.repeat(np.arange(len(size)), chunks)
     k = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
     begin = (at[text] + k * HOP) // STRIDE
     end = np.minimum(begin + CHUNK // STRIDE, (at[text] + np.maximum(size[text], 1) - 1) // STRIDE + 1)
     # Chunks overlap: reduceat over (begin, end) pairs, of which every other result counts.
     pairs = np.stack([begin, np.minimum(end, len(h) - 1)], 1).ravel()
-    pooled = np.maximum.reduceat(h, pairs, axis=0)[::2]
-    first = np.cumsum(chunks) - chunks
-    top = np.maximum.reduceat(pooled, first, axis=0)
-    mean = np.add.reduceat(pooled, first, axis=0) / chunks[:, None]
+    return np.maximum.reduceat(h, pairs, axis=0)[::2]
+
+
+def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Probability of label 1 for each text of a buffer."""
+    chunks = _chunk_count(np.diff(offsets))
+    if len(chunks) == 1 and chunks[0] * HOP > 2 * step:
+        each, most = max(1, step // HOP), int(chunks[0])
+        top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS)
+        for k in range(0, most, each):
+            # A part ends with the last window of its last chunk.
+            part = raw[k * HOP : (k + each) * HOP + CHUNK - HOP + KERNEL]
+            own = _pooled(model, part, np.array([0, len(part)]), np.array([min(each, most - k)]))
+            top, total = np.maximum(top, own.max(axis=0)), total + own.sum(axis=0)
+        top, mean = top[None], total[None] / most
+    else:
+        pooled, first = _pooled(model, raw, offsets, chunks), np.cumsum(chunks) - chunks
+        top = np.maximum.reduceat(pooled, first, axis=0)
+        mean = np.add.reduceat(pooled, first, axis=0) / chunks[:, None]
     z = top.astype(np.float64) @ model["top"] + mean.astype(np.float64) @ model["mean"] + float(model["base"][0])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
-    """Adam on the log loss. ``texts``: the chunks of each row."""
+    """Adam on the log loss. ``texts``: the chunks of each row (``chunks_of``)."""
     model, r = fresh_model(seed), np.random.default_rng(seed)
     x = np.zeros((sum(map(len, texts)), CHUNK), np.uint8)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     for i, c in enumerate(c for t in texts for c in t):
         x[i, : len(c)] = np.frombuffer(c, np.uint8)
-    rows = [np.nonzero(owner == i)[0] for i in range(len(texts))]
+    valid = np.array([max(1, -(-len(c) // STRIDE)) for t in texts for c in t])
+    rows = np.split(np.arange(len(owner)), np.cumsum([len(t) for t in texts])[:-1])
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     model["base"][0] = np.log(share / (1 - share))
     m1, m2 = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
@@ -93,7 +118,7 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
         order = r.permutation(len(texts))
         for b in range(0, len(order), BATCH):
             docs = order[b : b + BATCH]
-            grads = _gradients(model, x, [rows[i] for i in docs], labels[docs])
+            grads = _gradients(model, x, [rows[i] for i in docs], labels[docs], valid)
             t += 1
             rate = RATE * (1 - epoch / epochs) + 2e-4
             for k, g in grads.items():
@@ -105,17 +130,24 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def _gradients(model: Model, x: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> Model:
+def _gradients(model: Model, x: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, valid: np.ndarray | None = None) -> Model:
+    """Gradients of the mean log loss; ``valid``: windows of each chunk that begin in its text."""
     chunk = np.concatenate(rows)
     n = np.array([len(i) for i in rows])
     first = np.cumsum(n) - n
     own = x[chunk]
+    arg, pooled = np.zeros((len(own), FILTERS), np.int64), np.zeros((len(own), FILTERS), model["filter"].dtype)
     per = (CHUNK - KERNEL) // STRIDE + 1
-    windows = np.stack([_windows(model, c) for c in own])
-    h = windows.reshape(-1, KERNEL * WIDTH) @ model["filter"] + model["bias"]
-    h = h.reshape(len(own), per, FILTERS)
-    arg = h.argmax(axis=1)
-    pooled = np.maximum(np.take_along_axis(h, arg[:, None], 1)[:, 0], 0)
+    for k in range(0, len(own), AT_ONCE):
+        flat = model["embed"][own[k : k + AT_ONCE]]
+        step = flat.strides
+        windows = np.lib.stride_tricks.as_strided(flat, (len(flat), per, KERNEL * WIDTH), (step[0], STRIDE * step[1], step[2]))
+        h = (windows.reshape(-1, KERNEL * WIDTH) @ model["filter"]).reshape(len(flat), per, FILTERS)
+        if valid is not None:
+            h[np.arange(per) >= valid[chunk[k : k + AT_ONCE], None]] = -np.inf
+        arg[k : k + AT_ONCE] = a = h.argmax(axis=1)
+        pooled[k : k + AT_ONCE] = np.take_along_axis(h, a[:, None], 1)[:, 0]
+    pooled = np.maximum(pooled + model["bias"], 0)
     doc = np.repeat(np.arange(len(rows)), n)
     top = np.maximum.reduceat(pooled, first, axis=0)
     mean = np.add.reduceat(pooled, first, axis=0) / n[:, None]
@@ -124,10 +156,10 @@ def _gradients(model: Model, x: np.ndarray, rows: list[np.ndarray], labels: np.n
     is_top = pooled == top[doc]
     dp = (is_top * model["top"] + model["mean"] / n[doc, None]) * dz[doc, None] * (pooled > 0)
     # Only the window that gave a maximum gets a gradient.
-    won = np.take_along_axis(windows, arg[:, :, None], 1)  # chunk, filter, window
+    places = own[np.arange(len(own))[:, None, None], arg[:, :, None] * STRIDE + np.arange(KERNEL)]
+    won = model["embed"][places].reshape(len(own), FILTERS, KERNEL * WIDTH)  # chunk, filter, window
     grads = {"filter": np.einsum("cf,cfw->wf", dp, won), "bias": dp.sum(0), "top": dz @ top, "mean": dz @ mean, "base": np.array([dz.sum()])}
     into = (dp[:, :, None] * model["filter"].T[None]).reshape(len(own), FILTERS, KERNEL, WIDTH)
-    places = own[np.arange(len(own))[:, None, None], arg[:, :, None] * STRIDE + np.arange(KERNEL)]
     embed = np.zeros_like(model["embed"])
     np.add.at(embed, places.ravel(), into.reshape(-1, WIDTH))
     return grads | {"embed": embed}
@@ -137,26 +169,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[list[list[bytes]], np.ndarray]:
-    """Chunks and labels of at most ``rows`` labelled rows that are not held out, by a hash
-    of their ids. Only these chunks reach the driver."""
-    own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    own = own.groupBy(F.col(id_col).alias("_id")).agg(F.min(label).cast("double").alias("_label"))
-    picked = own.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+def chunks_of(text: bytes) -> list[bytes]:
+    """The chunks of a text as in scoring."""
+    return [text[k * HOP : k * HOP + CHUNK] for k in range(int(_chunk_count(np.array(len(text)))))]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                raw = (t or "").encode()
-                starts = np.unique(np.linspace(0, max(0, len(raw) - CHUNK), SAMPLE_CHUNKS).astype(int))
-                out.append([raw[s : s + CHUNK] for s in starts.tolist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], names=["id", "label", "chunks"])
 
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text).cast("string").alias("_text"))
-    joined = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select(F.xxhash64("_id").alias("order"), "_label", "_text")
-    got = joined.mapInArrow(spread, "id long, label double, chunks array<binary>").orderBy("id", "label", "chunks").limit(rows).collect()
-    return [[bytes(c) for c in r.chunks] for r in got], np.array([r.label for r in got], np.float32)
+def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[list[bytes]], np.ndarray]:
+    """Chunks and labels of at most ``rows`` labelled rows that are not held out, by a hash of
+    their ids; where their texts take more than ``size`` bytes, the longest are passed over."""
+    own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    own = own.groupBy(F.col(id_col).alias("_id")).agg(F.min(label).cast("double").alias("_label"))
+    picked = materialize(hash_sample(own, "_id", own.count(), rows), "labelled")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    order = F.struct(F.xxhash64("_id").alias("h"), F.col("_id").alias("i"), F.xxhash64("_text").alias("t"))
+    joined = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select(order.alias("_order"), "_label", F.octet_length("_text").alias("_n"), "_text")
+    # Repeated ids may make more rows than were picked.
+    first = joined.select("_order", "_label", "_n").orderBy("_order", "_label").limit(rows).collect()
+    left, most = size, -1
+    for n in sorted(r["_n"] for r in first):
+        if n > left:
+            break
+        left, most = left - n, n
+    got = joined.where(F.col("_n") <= most).orderBy("_order", "_label").limit(sum(r["_n"] <= most for r in first)).collect()
+    return [chunks_of(r["_text"].encode()) for r in got], np.array([r["_label"] for r in got], np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model | None:
@@ -167,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model | None:
 
 def add_scores(docs: DataFrame, model: Model | None, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for each row."""
+    into = free_name(docs, into)
     if model is None:
         return docs.withColumn(into, F.lit(0.5))
 

@@ -30,6 +30,11 @@ def test_scores_cover_the_whole_text():
     offsets = np.cumsum([0, *map(len, texts)])
     got = Q.score_texts(model, np.frombuffer(b"".join(texts), np.uint8), offsets)
     assert np.allclose(got, [slow_score(model, t) for t in texts], atol=1e-5)
+    # A long text is scored in parts.
+    for n in (5000, 896 * 4, 896 * 4 + 128, 896 * 4 + 129, 896 * 4 + 135, 896 * 6 + 1):
+        own = np.frombuffer(bytes(r.randrange(1, 256) for _ in range(n)), np.uint8)
+        parts = Q.score_texts(model, own, np.array([0, n]), step=896)
+        assert np.allclose(parts, slow_score(model, own.tobytes()), atol=1e-5)
 
 
 def test_gradients_match_differences():
@@ -64,8 +69,8 @@ def test_learns_and_filters(spark, docs, clash):
     odd = [(None, None), (1000, ""), (1001, None), (7, rows[7][1])]
     table = clash(docs(*rows, *odd))
     scored = Q.add_scores(table, Q.fit(table, labels))
-    assert scored.columns == [*table.columns, "score"]
-    got = [(x.doc_id, x.score) for x in scored.collect()]
+    assert scored.columns == [*table.columns, "__score"]
+    got = [(x.doc_id, x["__score"]) for x in scored.collect()]
     assert len(got) == 404
     assert all(0 <= s <= 1 for _, s in got)
     held = [(i, s) for i, s in got if i is not None and i < 400 and zlib.crc32(str(i).encode()) % 5 == 0]
@@ -75,6 +80,18 @@ def test_learns_and_filters(spark, docs, clash):
     assert 250 < kept.count() < 330
 
 
+def test_training_takes_whole_texts(spark, docs):
+    long = "".join(chr(33 + i % 90) for i in range(4000))
+    table = docs((1, long), (2, "short"), (3, None), (3, "twin"), (4, "x" * 100))
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int")
+    texts = lambda **k: sorted(t[0] + b"".join(c[Q.CHUNK - Q.HOP :] for c in t[1:]) for t in Q.training_rows(table, labels, **k)[0])
+    kept = [i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5]
+    want = sorted(t.encode() for i, t in [(1, long), (2, "short"), (3, ""), (3, "twin"), (4, "x" * 100)] if i in kept)
+    assert texts() == want
+    assert texts(size=200) == [t for t in want if len(t) < 200]
+    assert len(texts(rows=1)) == 1
+
+
 def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     table = docs((1, "a"), (2, None))
