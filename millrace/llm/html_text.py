@@ -95,7 +95,7 @@ class Node:
         self.holder = self if parent is None or tag in HOLDERS else parent.holder
 
     def step(self) -> str:
-        return _step(self.tag, self.names) if self.names else self.tag
+        return (_step if len(self.names) <= 8 else _step.__wrapped__)(self.tag, self.names) if self.names else self.tag.replace("/", "_")
 
     def path(self) -> str:
         """Generalised path: tags and classes, without digits."""
@@ -252,7 +252,8 @@ class Page:
             after = [own[bisect_right(own, bound)] for kind in ends if (own := self.places[kind]) and own[-1] > bound]
             if after:
                 self._close(min(after))
-        names, out = _classes(tag, rest) if rest else ((), tag in LEFT_OUT)
+        # Only short attribute lists are worth remembering.
+        names, out = (_classes if len(rest) <= 200 else _classes.__wrapped__)(tag, rest) if rest else ((), tag in LEFT_OUT)
         parent = self.stack[-1]
         if tag == "header":  # a page's header; an article's own stays
             out = out or not (self.places["article"] or self.places["main"])
