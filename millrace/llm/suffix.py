@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bytewise import BYTE_CODE, mix, prefix_hash, span_hash
+from millrace.llm.bytewise import mix, prefix_hash, span_hash
 from millrace.llm.shared import column_bytes, free_name, materialize, slices, table, text_digest
 
 DEPTH = 200
@@ -85,7 +85,8 @@ def segments(raw: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
     edges = np.r_[np.nonzero(fresh)[0], len(low)]
     stop = edges[np.searchsorted(edges, start, side="right")]
     stop = np.minimum(stop, offsets[row[start] + 1] - depth + 1)
-    content = span_hash(prefix_hash(BYTE_CODE[raw]), start, stop + depth - 1)
+    # Over the hashes of all strings of GRAM bytes in the segment: no polynomial in its bytes.
+    content = span_hash(prefix_hash(grams), start, stop + depth - GRAM)
     # Where some window's minimizer stands: the largest minimum of the windows over a place is its own hash.
     wide = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     place = np.nonzero(~_window_minima(~wide, width)[: len(grams)] == grams)[0]
@@ -264,13 +265,13 @@ def _sort_chunk(rows: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """``docs`` without the text and with n_bytes, spans (maximal removed byte runs) and kept
     (the other bytes, as binary: a cut may fall inside a character) in a struct column "repeats"."""
-    key, held, other = free_name(docs, "_key"), free_name(docs, "_spans"), free_name(docs, "_k")
+    key, held, other, into = (free_name(docs, n) for n in ("_key", "_spans", "_k", "repeats"))
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     spans = repeated_spans(docs, text, depth).withColumnsRenamed({"key": other, "spans": held})
     keyed = docs.withColumns({text: value, key: text_digest(value)})
     joined = keyed.join(spans, keyed[key] == spans[other], "left").drop(other)
     others = [c for c in docs.columns if c != text]
-    schema = docs.select(*others, F.lit(None).cast(f"struct<n_bytes:bigint,spans:{SPANS},kept:binary>").alias("repeats")).schema
+    schema = docs.select(*others, F.lit(None).cast(f"struct<n_bytes:bigint,spans:{SPANS},kept:binary>").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> D
                     kept.append(raw[at : c["start"]])
                     at = c["end"]
                 out.append({"n_bytes": len(raw), "spans": cuts, "kept": b"".join([*kept, raw[at:]])})
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(out, kind)], names=[*others, "repeats"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(out, kind)], names=[*others, into])
 
     return joined.select(*others, text, held).mapInArrow(run, schema)
 
