@@ -8,14 +8,18 @@ where the window would begin; places before the document's first word or that le
 few words after them are dropped (positional and length bound), the rest is compared by
 hash and then word for word.
 
-The benchmark is the query set: it is taken in blocks of at most ``block_bytes`` of text,
-each sent to the tasks and joined in the same pass over the documents, so what a task
-holds is bounded whatever the benchmark's size, and the documents are never shuffled.
+The benchmark is the query set: it is taken in blocks of about ``block_bytes`` of text.
+A block's index is sent to the tasks of one pass over the documents, whose result is
+written before the next block is read, so the driver, a plan and a task hold one index
+at a time (some 45 bytes a byte of a block) whatever the benchmark's size, and the
+documents are never shuffled. A benchmark of one block is joined without a written table.
 
 Defined results: a null text has no words and no hits; items without words match
 nothing; an item that occurs several times counts once, items with a null id count as
 no id but still hit; repeated document rows each give a row; an empty benchmark or
-table gives no hits or no rows; other columns of both tables are left alone.
+table gives no hits or no rows; of equally rare words the smaller is looked up; other
+columns of both tables are left alone (a new column whose name is taken gets
+underscores before it).
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewise import BYTE_CODE, mix, prefix_hash, span_hash, words
-from millrace.llm.shared import column_bytes, free_name, slices, table
+from millrace.llm.shared import column_bytes, free_name, materialize, slices, table
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text that a task handles at once.
 STEP = 1 << 20
 
@@ -145,8 +149,10 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
         block = [(r.id, item_words(r.text)) for r in part.toLocalIterator()]
         vocabulary = sorted({w for _, ws in block for w in ws})
         index = WindowIndex(block, window, vocabulary_counts(docs, text, vocabulary))
+        if k:
+            out = materialize(out, "marked")
         out = out.mapInArrow(_marker(index, text, state), out.schema)
-    return out.withColumnRenamed(state, into)
+    return out.withColumnRenamed(state, free_name(docs, into))
 
 
 def _marker(index: WindowIndex, text: str, state: str):  # noqa: ANN202
