@@ -117,7 +117,7 @@ def scan_pii(docs: DataFrame, text: str = "text", support: int = 3, generalise:
     out = scanned.join(by_text, scanned[key] == by_text[other], "left")
     base = F.transform(ents, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"))).cast(SPAN)
     apart = F.filter(F.coalesce(told_terms, no_spans()), lambda t: ~F.exists(ents, lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"])))
-    return out.select(*(c for c in docs.columns if c != text), in_order(F.concat(base, apart), KINDS, kind_first=True).alias(into))
+    return out.select(*(c for c in docs.columns if c != text), in_order(F.concat(base, apart), KINDS, kind_first=True).alias(free_name(docs, into)))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = REACH, into:
     linked = asking.join(others, meets, "left_semi").groupBy(F.col("k").alias(other)).agg(F.collect_set(F.struct("kind", "start", "end")).cast(SPAN).alias(more_spans))
     out = scanned.join(linked, scanned[key] == linked[other], "left")
     spans = in_order(F.concat(strong, F.coalesce(more_spans, no_spans())), KINDS, kind_first=False)
-    return out.select(*(c for c in docs.columns if c != text), spans.alias(into))
+    return out.select(*(c for c in docs.columns if c != text), spans.alias(free_name(docs, into)))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
