@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_latex, first_match, last_match, nfkc, strip, strip_end
+from millrace.functions.text import ascii_digits, bound, clean_latex, first_match, last_match, nfkc, strip, strip_end
 
 # Word lists and patterns that results depend on.
 ANSWER_PREFIXES = {
@@ -30,7 +30,7 @@ BOXED = r"(?s)\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
 HOTPOT = (r"(?idU)Answer:\s*(.+?)(?:\.|$)", r"(?idU)answer is\s*(.+?)(?:\.|$)")
 YES, NO = ("yes", "true", "correct"), ("no", "false", "incorrect")
 
-#: Dataset to the name of its extractor; others are generic.
+# Dataset to the name of its extractor; others are generic.
 EXTRACTORS = {
     "mgsm": "numeric",
     "gsm8k": "numeric",
@@ -103,17 +103,20 @@ def hotpot(text: Column) -> Column:
 
 def theorem(text: Column, answer_type: Column) -> Column:
     """The first boxed content, else the first "answer is", by answer type; else the last number."""
+
+    def by_type(clean: Column) -> Column:
+        low = F.lower(clean)
+        return (
+            F.when(answer_type == "bool", F.when(low.contains("true") | low.contains("yes"), "True").when(low.contains("false") | low.contains("no"), "False").otherwise(""))
+            .when(answer_type.isin("integer", "float"), last_number(clean))
+            .when(answer_type.isin("list of integer", "list of float"), strip(first_match(clean, r"\[([^\]]+)\]")))
+            .when(answer_type == "option", F.upper(first_match(clean, r"(?i)\(([a-d])\)")))
+            .otherwise(clean)
+        )
+
     candidate = _first_of(strip(first_match(text, BOXED)), strip(first_match(text, ANSWER_IS)))
-    clean = clean_latex(candidate)
-    low = F.lower(clean)
-    by_type = (
-        F.when(answer_type == "bool", F.when(low.contains("true") | low.contains("yes"), "True").when(low.contains("false") | low.contains("no"), "False").otherwise(""))
-        .when(answer_type.isin("integer", "float"), last_number(clean))
-        .when(answer_type.isin("list of integer", "list of float"), strip(first_match(clean, r"\[([^\]]+)\]")))
-        .when(answer_type == "option", F.upper(first_match(clean, r"(?i)\(([a-d])\)")))
-        .otherwise(clean)
-    )
-    return F.when(candidate == "", last_number(text)).otherwise(by_type)
+    # Of the branches one is worked out.
+    return F.coalesce(bound(F.struct(candidate.alias("c"), text.alias("t")), lambda x: F.when(x["c"] == "", last_number(x["t"]))), by_type(clean_latex(candidate)))
 
 
 def generic(text: Column) -> Column:
@@ -145,7 +148,7 @@ def same_number(a: Column, b: Column, within: float = 1e-6) -> Column:
     """Whether both read as finite numbers less than ``within`` apart."""
 
     def number(c: Column) -> Column:
-        c = strip(c)
+        c = ascii_digits(strip(c))
         digits = r"[0-9]+(?:_[0-9]+)*"
         ok = c.rlike(rf"^[+-]?(?:{digits}\.?(?:{digits})?|\.{digits})(?:[eE][+-]?{digits})?$")
         return F.when(ok, F.replace(c, F.lit("_"), F.lit(""))).try_cast("double")

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bound
+
 #: Probabilities are kept from zero by this inside logarithms.
 FLOOR = 1e-12
 
 
-def _bound(value: Column, body) -> Column:  # noqa: ANN001
-    """``body(value)`` with the value worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def step_metrics(logits: Column, token: Column) -> Column:
     """struct(top, bits, ln) of one step: the largest probability of its softmax, its entropy in
     bits, and ln of the chosen token's probability.
@@ -35,7 +32,7 @@ def step_metrics(logits: Column, token: Column) -> Column:
         return F.struct((1 / b["z"]).alias("top"), bits.alias("bits"), ln.alias("ln"))
 
     x = logits.cast("array<double>")
-    return _bound(_bound(F.struct(x.alias("x"), F.array_max(x).alias("m")), with_sum), measured)
+    return bound(bound(F.struct(x.alias("x"), F.array_max(x).alias("m")), with_sum), measured)
 
 
 def generation_metrics(steps: DataFrame, keys: list[str], logits: str = "logits", token: str = "token") -> DataFrame:

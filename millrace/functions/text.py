@@ -24,6 +24,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
 
 
+#: The decimal digits of all scripts, by value.
+DIGITS = "".join(c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c) == "Nd")
+DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
+def ascii_digits(c: Column) -> Column:
+    """The digits of any script as ASCII ones."""
+    return F.when(c.rlike(ASCII_ONLY), c).otherwise(F.translate(c, DIGITS, DIGIT_VALUES))
+
+
 def strip_end(c: Column, char: str) -> Column:
     return F.rtrim(c, F.lit(char))
 
@@ -137,10 +147,23 @@ def _latex(s: pd.Series) -> pd.Series:
     return s.map(latex_to_plain, na_action="ignore")
 
 
+def bound(value: Column, body) -> Column:  # noqa: ANN001
+    """``body(value)`` with the value worked out once, however often the body names it; the
+    optimiser does not copy it into the places that name it, as it does with a column."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_latex(c: Column) -> Column:
     """``latex_to_plain``; only texts with a fraction, a product or pi reach Python."""
-    hard = c.contains("\\frac") | c.contains("*") | c.contains("pi")
-    easy = F.regexp_replace(F.replace(c, F.lit("$"), F.lit("")), r"\\[a-zA-Z]+", "")
-    easy = F.regexp_replace(F.regexp_replace(F.regexp_replace(easy, r"\\\(", ""), r"\\\)", ""), r"[{}]", "")
-    # What is left when a command goes can spell pi.
-    return F.when(hard | easy.contains("pi"), _latex(F.when(hard | easy.contains("pi"), c))).otherwise(strip(easy))
+
+    def native(x: Column) -> Column:
+        easy = F.regexp_replace(F.replace(x, F.lit("$"), F.lit("")), r"\\[a-zA-Z]+", "")
+        easy = F.regexp_replace(easy, r"\\\(|\\\)", "")
+        easy = F.regexp_replace(easy, r"[{}]", "")
+        # What is left when a command goes can spell pi.
+        hard = x.contains("\\frac") | x.contains("*") | x.contains("pi") | easy.contains("pi")
+        return F.struct(F.when(~hard, strip(easy)).alias("easy"))
+
+    split = bound(c, native)
+    # The argument names the text itself: Spark cannot take a function of ``bound`` out to Python.
+    return F.coalesce(split["easy"], _latex(F.when(c.rlike(r"(?s)\\frac|\*|p.*i"), c)))

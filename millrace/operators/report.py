@@ -21,14 +21,21 @@ def total_accuracy(stats: DataFrame) -> DataFrame:
     return stats.agg(F.sum("n_samples").alias("n_samples"), F.sum("n_correct").alias("n_correct"), F.try_divide(F.sum("n_correct").cast("double"), F.sum("n_samples").cast("double")).alias("accuracy"))
 
 
-def running_accuracy(rows: DataFrame, keys: list[str], order: str = "sample_idx") -> DataFrame:
+def running_accuracy(rows: DataFrame, keys: list[str], order: str = "sample_idx", block: int = 65536) -> DataFrame:
     """Per processed row the percentage correct up to it.
 
-    A running figure needs its group in order; groups are one model and dataset of one
-    run, and the frame only grows, so memory stays constant.
+    A prefix sum in two levels: within blocks of ``block`` positions, each a window of its
+    own, plus the sums of the blocks before; only these meet in one task a group.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running_accuracy", F.avg(F.col("correct").cast("double")).over(w) * 100)
+    columns, right = rows.columns, F.coalesce(F.col("correct").cast("long"), F.lit(0))
+    own = rows.withColumns({"_b": F.floor(F.col(order) / block), "_c": right, "_k": F.when(F.col("correct").isNotNull(), 1).otherwise(0)})
+    sums = own.groupBy(*keys, "_b").agg(F.sum("_c").alias("_sc"), F.sum("_k").alias("_sk"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, "_b", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in ("_sc", "_sk")))
+    upto = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = own.withColumns({"_c": F.sum("_c").over(upto), "_k": F.sum("_k").over(upto)}).join(base, [*keys, "_b"])
+    share = F.try_divide((F.col("_sc") + F.col("_c")).cast("double"), (F.col("_sk") + F.col("_k")).cast("double"))
+    return inner.select(*columns, (share * 100).alias("running_accuracy"))
 
 
 def line_counts(lines: DataFrame, file: str = "file_name") -> DataFrame:
@@ -36,6 +43,17 @@ def line_counts(lines: DataFrame, file: str = "file_name") -> DataFrame:
     return lines.rollup(file).agg(F.count("*").alias("n"))
 
 
+def summary(result: dict) -> str:
+    """A report as lines for a console: a table of models and datasets, then the total."""
+    lines = [f"run {result['run_id']}", f"{'model':<28} {'dataset':<16} {'samples':>8} {'done':>8} {'right':>8} {'errors':>7} {'accuracy':>9}"]
+    samples = right = 0
+    for model, own in sorted(result["models"].items()):
+        for dataset, s in sorted(own["datasets"].items()):
+            lines.append(f"{model:<28} {dataset:<16} {s['n_samples']:>8} {s['n_processed']:>8} {s['n_correct']:>8} {s['n_errors']:>7} {s['accuracy']:>9.2%}")
+            samples, right = samples + s["n_samples"], right + s["n_correct"]
+    return "\n".join([*lines, f"total {right} of {samples}" + (f" ({right / samples:.2%})" if samples else "")])
+
+
 def report(stats: DataFrame, run_id: str, **more: object) -> dict:
     """The nested report of a run; ``stats`` has a row per model and dataset."""
     models: dict[str, dict] = {}

@@ -53,6 +53,21 @@ def prompt_last_states(prompts: DataFrame, layers: int, width: int, key: str = "
     return pad_layers(own, prompts, layers, width, key)
 
 
+def state_tables(records: DataFrame, layers: int, width: int, key: str = "sample_idx", steps: str = "step_states", prompt: str = "prompt_states") -> dict[str, DataFrame]:
+    """The three tables of a run's hidden states, by name, from one row a sample that holds the
+    (step, layer) vectors of its generation and the (layer, position) vectors of its prompt.
+
+    A sample without steps has no token states and zeros as its means; one without prompt
+    states has zeros there.
+    """
+    tokens = token_states(records, key, steps)
+    return {
+        "token_states": tokens,
+        "mean_states": pad_layers(mean_states(tokens, key), records, layers, width, key),
+        "prompt_last_states": prompt_last_states(records, layers, width, key, prompt),
+    }
+
+
 def layer_probe(states: DataFrame, models: DataFrame) -> DataFrame:
     """(model_name, n_layers): layers seen in a model's states, else its configured number + 1."""
     seen = states.groupBy("model_name").agg((F.max("layer") + 1).alias("seen"))

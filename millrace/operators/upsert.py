@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.schemas import SAMPLE_KEY
+from millrace.schemas import SAMPLE_KEY, TOKEN_STATES
 
 OUTPUT_COLUMNS = ["sample_id", "prompt", "generated_text", "extracted_answer", "max_probability", "perplexity", "entropy"]
 
@@ -40,12 +40,13 @@ def write_swapped(df: DataFrame, path: str, partition_by: list[str] | None = Non
 def keep_last(old: DataFrame | None, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Union by name; of each key the row of the newer table and, there, of the greatest ``seq``.
 
-    ``seq`` orders the rows of a batch and is not kept.
+    ``seq`` orders the rows of a batch and is not kept; a batch without it is in the order of
+    its rows, of which the later wins.
     """
+    if seq not in new.columns:
+        new = new.withColumn(seq, F.monotonically_increasing_id())
     fresh = new.withColumn("_gen", F.lit(1))
     both = fresh if old is None else old.withColumn("_gen", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-    if seq not in both.columns:
-        both = both.withColumn(seq, F.lit(0))
     order = F.struct("_gen", F.coalesce(seq, F.lit(-1)).alias("s"))
     columns = [c for c in both.columns if c not in ("_gen", seq)]
     # max_by aggregates before the shuffle: a key that was written very often is one row a task.
@@ -79,24 +80,56 @@ def output_rows(processed: DataFrame) -> DataFrame:
 class StateStore:
     """Hidden states and sample status of a run, as appended Parquet tables.
 
-    A sample's status is written after its states, so a status says that they are whole.
+    Every write is an attempt with a number of its own. A sample's status is written after
+    its states, so a status says that those of its attempt are whole; of several attempts
+    the last counts, and states of others are passed over. Ragged tables need no empty
+    slices: a sample without tokens has no rows, and pointers are derived (``finalize``).
     """
 
     TABLES = ("token_states", "mean_states", "prompt_last_states")
+    STATUS = "sample_idx long, sample_id long, valid boolean, error string, attempt long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def status(self) -> DataFrame:
+        """The last status of each sample."""
+        rows = self.read("sample_status", self.STATUS)
+        last = F.max_by(F.struct(*rows.columns), "attempt").alias("_row")
+        return rows.groupBy("sample_idx").agg(last).select("_row.*")
+
+    def states(self, name: str, schema: str) -> DataFrame:
+        """The states of the last attempt of each valid sample."""
+        done = self.status().where("valid").select("sample_idx", "attempt")
+        return self.read(name, f"{schema}, attempt long").join(done, ["sample_idx", "attempt"], "left_semi").drop("attempt")
+
+    def remaining(self, samples: DataFrame) -> DataFrame:
+        """Samples (by sample_idx) from the first one on that is not valid."""
+        known = samples.select("sample_idx").join(self.status(), "sample_idx", "left")
+        return remaining(samples, known)
+
+    def finalize(self) -> DataFrame:
+        """(sample_idx, ptr) over the token states, written beside them."""
+        counts = self.states("token_states", TOKEN_STATES).where("layer = 0").groupBy("sample_idx").agg(F.count("*").alias("n"))
+        write_swapped(csr_pointers(self.status(), counts), f"{self.path}/pointers")
+        return self.spark.read.parquet(f"{self.path}/pointers")
+
     def read(self, name: str, schema: str) -> DataFrame:
         where = f"{self.path}/{name}"
         return self.spark.read.schema(schema).parquet(where) if exists(self.spark, where) else self.spark.createDataFrame([], schema)
 
     def save(self, status: DataFrame, **states: DataFrame) -> None:
+        """Append states and then the status (sample_idx, sample_id, valid, and an error where it
+        failed) of the samples of one attempt."""
+        if unknown := set(states) - set(self.TABLES):
+            raise ValueError(str(sorted(unknown)))
+        last = self.read("sample_status", self.STATUS).agg(F.max("attempt")).first()[0]
+        attempt = F.lit(0 if last is None else last + 1).cast("long")
         for name, df in states.items():
-            if name not in self.TABLES:
-                raise ValueError(name)
-            df.write.mode("append").parquet(f"{self.path}/{name}")
-        status.write.mode("append").parquet(f"{self.path}/sample_status")
+            df.withColumn("attempt", attempt).write.mode("append").parquet(f"{self.path}/{name}")
+        error = F.col("error") if "error" in status.columns else F.lit(None).cast("string")
+        rows = status.select("sample_idx", "sample_id", "valid", error.alias("error"), attempt.alias("attempt"))
+        rows.write.mode("append").parquet(f"{self.path}/sample_status")
 
 
 def csr_pointers(status: DataFrame, counts: DataFrame, idx: str = "sample_idx", block: int = 65536) -> DataFrame:

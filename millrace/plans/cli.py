@@ -6,10 +6,12 @@ import argparse
 import json
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.report import accuracy, report
-from millrace.operators.upsert import OUTPUT_COLUMNS, exists, metadata_rows, upsert
+from millrace.operators.report import accuracy, report, summary
+from millrace.operators.states import state_tables
+from millrace.operators.upsert import OUTPUT_COLUMNS, StateStore, exists, metadata_rows, upsert, write_swapped
 from millrace.plans.process import process
 from millrace.schemas import GENERATIONS, SAMPLE_KEY
 from millrace.session import session
@@ -25,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data-root", default="storage/datasets")
     p.add_argument("--generations", required=True, help="Parquet table of recorded generations")
     p.add_argument("--output-dir", default="storage/results")
+    p.add_argument("--steps", help="Parquet table of recorded steps: sample key, step, logits, token")
+    p.add_argument("--states", help="Parquet table of recorded hidden states: sample key, step_states, prompt_states")
     p.add_argument("--models", nargs="+", default=MODELS)
     p.add_argument("--datasets", nargs="+", default=DATASETS)
     p.add_argument("--max-samples", type=int)
@@ -43,23 +47,53 @@ def run_name(models: list[str], datasets: list[str], now: datetime) -> str:
     return f"run_{now:%Y%m%d_%H%M%S}_m{len(models)}_d{len(datasets)}"
 
 
+def run_dataset(out: str, model: str, samples: DataFrame, generations: DataFrame, steps: DataFrame | None, states: DataFrame | None, save: list[str], resume: bool) -> None:
+    """Process and store one model's samples of a dataset; with ``resume``, those from the first
+    on that is not stored as valid."""
+    store = StateStore(samples.sparkSession, f"{out}/states/{model}/{samples.first()['dataset']}") if not samples.isEmpty() else None
+    if store is None:
+        return
+    todo = store.remaining(samples) if resume else samples
+    rows = process(todo, generations, steps).persist()
+    good, failed = rows.where("error IS NULL"), rows.where("error IS NOT NULL").select(*SAMPLE_KEY, "error")
+    try:
+        dataset = store.path.rsplit("/", 1)[1]
+        upsert(metadata_rows(good), f"{out}/metadata/{dataset}")
+        upsert(good.select(*SAMPLE_KEY[:3], *OUTPUT_COLUMNS), f"{out}/outputs/{dataset}")
+        errors = f"{out}/errors/{dataset}"
+        if exists(store.spark, errors):  # what succeeds now is no error any more
+            write_swapped(store.spark.read.parquet(errors).join(good.select(*SAMPLE_KEY), SAMPLE_KEY, "left_anti"), errors)
+        upsert(failed, errors)
+        tables = {}
+        if states is not None and save:
+            own = good.select(*SAMPLE_KEY, "sample_idx").join(states, SAMPLE_KEY)
+            size = own.select(F.max(F.greatest(F.size(F.get("step_states", F.lit(0))), F.size("prompt_states"))), F.max(F.size(F.get(F.get("step_states", F.lit(0)), F.lit(0))))).first()
+            made = state_tables(own, max(size[0] or 1, 1), max(size[1] or 1, 1))
+            tables = {name: made[name] for name in save}
+        store.save(rows.select("sample_idx", "sample_id", F.col("error").isNull().alias("valid"), "error"), **tables)
+        if "token_states" in tables:
+            store.finalize()
+    finally:
+        rows.unpersist()
+
+
 def main(argv: list[str] | None = None) -> dict:
     a = parser().parse_args(argv)
     spark = session()
     started = datetime.now()
-    run_id = a.run_id if a.resume and a.run_id else run_name(a.models, a.datasets, started)
+    resume = bool(a.resume and a.run_id)
+    run_id = a.run_id if resume else run_name(a.models, a.datasets, started)
     out = f"{a.output_dir.rstrip('/')}/{run_id}"
-    if a.resume and a.run_id and not exists(spark, out):
+    if resume and not exists(spark, out):
         raise ValueError(f"no run to resume at {out}")
-    wanted = spark.read.schema(GENERATIONS).parquet(a.generations).where(F.col("model").isin(a.models) & (F.col("language") == a.language))
+    wanted = spark.read.schema(GENERATIONS).parquet(a.generations).where(F.col("language") == a.language)
+    recorded = [spark.read.parquet(p) if p else None for p in (a.steps, a.states)]
+    save = [name for flag, name in ((a.save_per_token, "token_states"), (a.save_mean, "mean_states"), (a.save_prompt_last, "prompt_last_states")) if flag]
     for dataset in a.datasets:
         samples = load_samples(spark, a.data_root, dataset, a.language, a.max_samples)
-        rows = process(samples, wanted.where(F.col("dataset") == dataset))
-        good = rows.where("error is null")
-        upsert(metadata_rows(good), f"{out}/metadata/{dataset}")
-        upsert(good.select(*SAMPLE_KEY[:3], *OUTPUT_COLUMNS), f"{out}/outputs/{dataset}")
-        failed = rows.where("error is not null").select(*SAMPLE_KEY, "error")
-        upsert(failed, f"{out}/errors/{dataset}")
+        for model in a.models:
+            own = (F.col("dataset") == dataset) & (F.col("model") == model)
+            run_dataset(out, model, samples, wanted.where(own), *(t if t is None else t.where(own & (F.col("language") == a.language)) for t in recorded), save, resume)
     tables = [spark.read.parquet(f"{out}/metadata/{d}") for d in a.datasets if exists(spark, f"{out}/metadata/{d}")]
     done = [t.select("model", "dataset", F.lit(True).alias("processed"), F.lit(False).alias("error"), F.col("is_correct").alias("correct")) for t in tables]
     errors = [spark.read.parquet(f"{out}/errors/{d}").select("model", "dataset", F.lit(False).alias("processed"), F.lit(True).alias("error"), F.lit(False).alias("correct")) for d in a.datasets if exists(spark, f"{out}/errors/{d}")]
@@ -72,8 +106,7 @@ def main(argv: list[str] | None = None) -> dict:
         result = report(accuracy(union, ["model", "dataset"]), run_id, start_time=started.isoformat(), end_time=datetime.now().isoformat(), configuration=vars(a))
     text = json.dumps(result, indent=2, default=str)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/collection_results")
-    if a.verbose:
-        print(text)
+    print(text if a.verbose else summary(result))
     return result
 
 

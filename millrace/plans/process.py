@@ -30,6 +30,25 @@ def generate(prompted: DataFrame, hook: InferenceHook) -> DataFrame:
     return prompted.select("model", "dataset", "language", "sample_id", "prompt").mapInPandas(hook, GENERATIONS)
 
 
+def isolated(one: Callable[[dict], dict]) -> InferenceHook:
+    """A hook from a function of one row (a dict) to its generation (a dict of the GENERATIONS
+    columns it knows): where it raises, the row gets an error and the others go on."""
+    names = [f.split()[0] for f in GENERATIONS.split(", ")]
+
+    def hook(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                key = {k: row[k] for k in SAMPLE_KEY}
+                try:
+                    out.append({**dict(one(row)), **key})
+                except Exception as e:  # noqa: BLE001  one sample must not end the run
+                    out.append({**key, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
+
+    return hook
+
+
 def process(samples: DataFrame, generations: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Every generation with its sample, prompt, answer, label, metrics and finish reason; a row
     with an error has nulls there. ``steps``: (sample key, logits, token), one row per step.

@@ -53,6 +53,14 @@ SELECT o_orderkey AS sample_id,
     WHEN 3 THEN 'the answer is (C) or ' || {BS} || 'left yes, 2.50'
     ELSE 'The answer is 3.25 metres. Not 4'
   END AS text
+FROM {{orders}}""",
+    "latex": f"""
+SELECT o_orderkey AS sample_id, CASE o_orderkey % 5
+    WHEN 0 THEN {BS} || 'frac' || {LB} || {N_} || {RB} || {LB} || '4' || {RB} || '$'
+    WHEN 1 THEN {N_} || '*2'
+    WHEN 2 THEN '$' || {N_} || '*2.5' || {BS} || 'pi'
+    WHEN 3 THEN {BS} || 'frac' || {LB} || '1' || {RB} || {LB} || '0' || {RB} || ' of ' || {N_}
+    ELSE {BS} || 'frac' || {LB} || '1' || {RB} || {LB} || '4' || {RB} || ' ' || {N_} || '*2pi' END AS text
 FROM {{orders}}""",
     "pairs": f"""
 SELECT o_orderkey AS sample_id,
@@ -240,7 +248,15 @@ over("extract_generic", "gen", f"SELECT sample_id, {d_generic('text')} AS answer
 over("extract_last_number", "gen", f"SELECT sample_id, {d_last_number('text')} AS answer FROM {g}", answer=lambda: A.last_number(text()))
 over("extract_theorem", "theorem", d_theorem("text"), answer_type=lambda: F.col("answer_type"), answer=lambda: A.theorem(text(), F.col("answer_type")))
 over("clean_latex_native", "theorem", f"SELECT sample_id, {d_latex('text')} AS plain FROM {given('theorem')}", plain=lambda: T.clean_latex(text()))
-over("clean_latex_arith", "gen", None, plain=lambda: T.clean_latex(F.concat(F.lit("\\frac{1}{4} "), F.col("answer_gt"), F.lit("*2pi"))))
+_latex_sql = f"""
+SELECT o_orderkey AS sample_id, CASE o_orderkey % 5
+    WHEN 0 THEN CAST(CAST(o_custkey % 97 AS DOUBLE) / 4 AS VARCHAR)
+    WHEN 1 THEN CAST(o_custkey % 97 * 2 AS VARCHAR)
+    WHEN 2 THEN CAST(CAST(o_custkey % 97 AS DOUBLE) * CAST(2.5 AS DOUBLE) AS VARCHAR)
+    WHEN 3 THEN '10 of ' || CAST(o_custkey % 97 AS VARCHAR)
+    ELSE '0.25 ' || CAST(o_custkey % 97 AS VARCHAR) || '*2*3.14159' END AS plain
+FROM orders"""
+over("clean_latex_arith", "latex", _latex_sql, plain=lambda: T.clean_latex(text()))
 over("normalize_text_nfkc", "gen", f"SELECT sample_id, text || ':1.5 A' AS plain FROM {g}", plain=lambda: A.normalize_text(F.concat(text(), F.lit("：１．５ Ａ"))))
 over("normalize_answer", "pairs", f"SELECT sample_id, {d_normalize('a')} AS plain FROM {given('pairs')}", plain=lambda: A.normalize_answer(F.col("a")))
 _norm = f"(SELECT sample_id, {d_normalize('a')} AS a, {d_normalize('b')} AS b FROM {given('pairs')})"
@@ -428,9 +444,16 @@ def token_states_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.token_states(steps).select("sample_idx", "token_idx", "layer", F.size("vec").cast("long").alias("dims"))
 
 
-@query("half_round")
+_ulp = "power(2, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), -14) - 10)"
+_half_sql = f"""
+SELECT sample_idx, token_idx, layer, dim, CASE WHEN x = 0 THEN 0 ELSE round_even(CAST(x AS DOUBLE) / {_ulp}, 0) * {_ulp} END + 0 AS value
+FROM {_states}"""
+
+
+@query("half_round", _half_sql)
 def half_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).withColumn("vec", T.half_round("vec"))
+    each = _tokens(spark, sf_dir).select("sample_idx", "token_idx", "layer", F.posexplode(T.half_round("vec")).alias("dim", "value"))
+    return each.withColumn("value", F.col("value").cast("double") + 0)
 
 
 @query("pad_layers", f"SELECT s.sample_idx, CAST(l.layer AS INT) AS layer, coalesce(nullif(round(coalesce(sum(CAST(x AS DOUBLE)), 0), 4), 0), 0) AS total FROM (SELECT DISTINCT sample_idx FROM {_states}) s CROSS JOIN (SELECT unnest(range(0, 6)) AS layer) l LEFT JOIN (SELECT * FROM {_states} WHERE token_idx = 0) t ON t.sample_idx = s.sample_idx AND t.layer = l.layer GROUP BY ALL")

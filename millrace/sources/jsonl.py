@@ -9,8 +9,17 @@ from millrace.functions.text import stringify_json
 from millrace.operators.order import index_in_blocks
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(file_name, line_idx, raw): every line with its 0-based index within its file.
+def list_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> list[str]:
+    """Names of the files of a folder that match, sorted."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(f"{path.rstrip('/')}/{glob}")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(f.getPath().getName() for f in found or ())
+
+
+def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", as_one: bool = False) -> DataFrame:
+    """(file_name, line_idx, raw): every line with its 0-based index within its file, or with
+    ``as_one`` within all files in the order of their names.
 
     A split of a file is numbered on its own, in the order of its rows, and the splits by
     their offsets; so a large file is numbered by as many tasks as read it.
@@ -20,7 +29,10 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFra
         F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     )
-    indexed = index_in_blocks(meta, [F.col("block")], [F.col("row")], "line_idx", per=["file_path", "file_name"])
+    if as_one:
+        indexed = index_in_blocks(meta, [F.col("file_name"), F.col("block")], [F.col("row")], "line_idx")
+    else:
+        indexed = index_in_blocks(meta, [F.col("block")], [F.col("row")], "line_idx", per=["file_path", "file_name"])
     return indexed.select("file_name", "line_idx", "raw")
 
 
@@ -63,16 +75,18 @@ def parse_samples(lines: DataFrame, dataset: str, language: str = "en", max_samp
 
 
 def load_samples(spark: SparkSession, root: str, dataset: str, language: str = "en", max_samples: int | None = None) -> DataFrame:
-    """Samples of ``root/dataset.jsonl``; ValueError if there is no such file."""
+    """Samples of ``root/dataset.jsonl``, a file or a folder of parts; ValueError if there is none."""
     from millrace.operators.upsert import exists
 
     path = f"{root.rstrip('/')}/{dataset}.jsonl"
     if not exists(spark, path):
         raise ValueError(f"no dataset file at {path}")
-    return parse_samples(read_lines(spark, path), dataset, language, max_samples)
+    return parse_samples(read_lines(spark, path, "*", as_one=True), dataset, language, max_samples)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One JSON object per row, nulls left out; an empty table writes nothing."""
+def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
+    """One JSON object per row, nulls left out, as a folder of parts whose names follow ``order``
+    (dealt by range, so no task orders the whole); an empty table writes nothing."""
     if not df.isEmpty():
-        df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+        rows = df if order is None else df.repartitionByRange(order).sortWithinPartitions(order)
+        rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)

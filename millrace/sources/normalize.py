@@ -6,6 +6,7 @@ items; ``head`` keeps the first rows per source.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.answers import BOXED
 from millrace.functions.text import last_match, strip
+from millrace.sources.jsonl import write_jsonl
+
+log = logging.getLogger(__name__)
 
 
 def head(df: DataFrame, n: int | None) -> DataFrame:
@@ -140,13 +144,14 @@ def cap_in_order(df: DataFrame, order: list[str], n: int | None, config: str = "
 
 def first_with_rows(*sources: Callable[[], DataFrame]) -> DataFrame | None:
     """The first source that opens and has rows."""
-    for source in sources:
+    for k, source in enumerate(sources, 1):
         try:
             df = source()
             if not df.isEmpty():
                 return df
-        except Exception:  # noqa: BLE001, S112  a source that fails is passed over
-            continue
+            log.warning("source %d of %d has no rows", k, len(sources))
+        except Exception as e:  # noqa: BLE001  a source that fails is passed over
+            log.warning("source %d of %d failed: %s", k, len(sources), e)
     return None
 
 
@@ -163,6 +168,29 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def prepare(sources: dict[str, list[Callable[[], DataFrame]]], root: str, only: list[str] | None = None, most: int | None = None) -> dict[str, int | None]:
+    """Read, normalise and write the wanted datasets as ``root/name.jsonl``.
+
+    ``sources``: for each dataset what opens it, tried in turn; with ``most``, at most so
+    many of its first rows (by ``idx``) are taken. A dataset that fails is passed over. Returns
+    the number of items of each, None where it failed.
+    """
+    done: dict[str, int | None] = {}
+    for name in only or list(NORMALIZERS):
+        done[name] = None
+        try:
+            raw = first_with_rows(*sources.get(name, []))
+            if raw is None:
+                log.warning("%s: no source has rows", name)
+                continue
+            items = NORMALIZERS[name](head(raw, most))
+            write_jsonl(items, f"{root.rstrip('/')}/{name}.jsonl", "id")
+            done[name] = items.count()
+        except Exception as e:  # noqa: BLE001  the other datasets are still prepared
+            log.warning("%s failed: %s", name, e)
+    return done
+
+
 def register_dataset(name: str, normalizer: Callable[[DataFrame], DataFrame], template: str | None = None, extractor: str | None = None) -> None:
     """Add a dataset: its normaliser and, if given, its prompt template and extractor's name."""
     from millrace.functions import answers, prompts

@@ -10,7 +10,8 @@ from millrace.operators import report as R
 from millrace.operators import states as H
 from millrace.operators import upsert as U
 from millrace.plans import cli
-from millrace.schemas import GENERATIONS
+from millrace.plans.process import generate, isolated
+from millrace.schemas import GENERATIONS, LAYER_STATES, TOKEN_STATES
 from millrace.streaming.upserts import upsert_stream
 
 
@@ -93,18 +94,76 @@ def test_report(spark):
     assert [r.running_accuracy for r in R.running_accuracy(rows.where("processed"), ["model", "dataset"]).orderBy("sample_idx").collect()] == pytest.approx([100, 100, 200 / 3, 50])
 
 
+def test_store_keeps_the_last_attempt(spark, tmp_path):
+    store = U.StateStore(spark, str(tmp_path / "s"))
+    samples = spark.createDataFrame([(i, 10 + i) for i in range(3)], "sample_idx long, sample_id long")
+    status = lambda *rows: spark.createDataFrame(rows, "sample_idx long, sample_id long, valid boolean, error string")
+    tokens = lambda *rows: spark.createDataFrame([(i, t, layer, [v]) for i, t, layer, v in rows], TOKEN_STATES)
+    assert [r.sample_idx for r in store.remaining(samples).orderBy("sample_idx").collect()] == [0, 1, 2]
+    store.save(status((0, 10, True, None), (1, 11, False, "out of memory")), token_states=tokens((0, 0, 0, 1.0), (0, 1, 0, 2.0), (1, 0, 0, 9.0)))
+    assert [r.sample_idx for r in store.remaining(samples).orderBy("sample_idx").collect()] == [1, 2]
+    store.save(status((1, 11, True, None), (2, 12, True, None)), token_states=tokens((1, 0, 0, 3.0), (1, 0, 1, 4.0)))
+    assert store.remaining(samples).count() == 0
+    assert sorted((r.sample_idx, r.vec[0]) for r in store.states("token_states", TOKEN_STATES).collect()) == [(0, 1.0), (0, 2.0), (1, 3.0), (1, 4.0)]
+    assert [r.ptr for r in store.finalize().orderBy("sample_idx").collect()] == [0, 2, 3, 3]
+
+
+def test_rows_that_fail_alone(spark):
+    def one(row):
+        if row["sample_id"] == 1:
+            raise RuntimeError("out of memory")
+        return {"prompt_length": len(row["prompt"]), "generated_token_ids": [1, 2], "generated_text": "Answer: 2", "terminators": [2], "max_new_tokens": 8}
+
+    prompted = spark.createDataFrame([("m", "gsm8k", "en", i, "1+1?") for i in range(3)], "model string, dataset string, language string, sample_id long, prompt string")
+    got = {r.sample_id: (r.error, r.generated_text) for r in generate(prompted, isolated(one)).collect()}
+    assert got == {0: (None, "Answer: 2"), 1: ("RuntimeError: out of memory", None), 2: (None, "Answer: 2")}
+
+
+def test_later_rows_of_a_batch_win(spark, tmp_path):
+    U.upsert(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (1, "d")], "sample_id long, v string").coalesce(1), str(tmp_path / "t"), ["sample_id"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "d"), (2, "c")]
+
+
+def test_running_accuracy_in_blocks(spark):
+    rows = spark.createDataFrame([("m", i, None if i == 3 else i % 3 == 0) for i in range(10)], "model string, sample_idx int, correct boolean")
+    whole, parts = ([r.running_accuracy for r in R.running_accuracy(rows, ["model"], block=b).orderBy("sample_idx").collect()] for b in (65536, 2))
+    assert whole == parts
+    assert whole[4] == pytest.approx(25.0)
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "gsm8k.jsonl").write_text('{"question": "1+1?", "answer": "2"}\n{"question": "2+2?", "answer": "4"}\n{"question": "3+3?", "answer": "6"}\n')
-    rows = [("m", "gsm8k", "en", 0, 3, [5, 2], "Answer: 2", [2], 8, None), ("m", "gsm8k", "en", 1, 3, [5], "Answer: 5", [2], 8, None), ("m", "gsm8k", "en", 2, 3, None, None, [2], 8, "out of memory")]
-    spark.createDataFrame(rows, GENERATIONS).write.parquet(str(tmp_path / "g"))
-    argv = ["--data-root", str(tmp_path), "--generations", str(tmp_path / "g"), "--output-dir", str(tmp_path / "out"), "--models", "m", "--datasets", "gsm8k"]
-    got = cli.main(argv)
+    key = ("m", "gsm8k", "en")
+    rows = [(*key, 0, 3, [5, 2], "Answer: 2", [2], 8, None), (*key, 1, 3, [5], "Answer: 5", [2], 8, None), (*key, 2, 3, None, None, [2], 8, "out of memory")]
+    again = [(*key, 0, 3, [5, 2], "Answer: 99", [2], 8, None), rows[1], (*key, 2, 3, [7], "Answer: 6", [2], 8, None)]
+    names = "model string, dataset string, language string, sample_id long"
+    for name, data in (("g", rows), ("g2", again), ("all", [*rows[:2], again[2]])):
+        spark.createDataFrame(data, GENERATIONS).write.parquet(str(tmp_path / name))
+    spark.createDataFrame([(*key, i, s, [0.0, 0.0], 0) for i in range(3) for s in range(2)], f"{names}, step int, logits array<float>, token int").write.parquet(str(tmp_path / "steps"))
+    spark.createDataFrame([(*key, i, [[[1.0 * i, 2.0]], [[3.0, 4.0]]], [[[5.0, 6.0]]]) for i in range(3)], f"{names}, step_states array<array<array<float>>>, prompt_states array<array<array<float>>>").write.parquet(str(tmp_path / "states"))
+    argv = lambda g, out: ["--data-root", str(tmp_path), "--generations", str(tmp_path / g), "--steps", str(tmp_path / "steps"), "--states", str(tmp_path / "states"), "--output-dir", str(tmp_path / out), "--models", "m", "--datasets", "gsm8k"]
+    got = cli.main(argv("g", "out"))
     assert got["models"]["m"]["datasets"]["gsm8k"] == {"n_samples": 3, "n_processed": 2, "n_correct": 1, "n_errors": 1, "accuracy": 0.5}
-    again = cli.main([*argv, "--resume", "--run-id", got["run_id"]])
-    assert again["run_id"] == got["run_id"]
-    assert again["models"] == got["models"]
+    # The resumed run starts at the failed sample: what is stored stays, the error goes.
+    resumed = cli.main([*argv("g2", "out"), "--resume", "--run-id", got["run_id"]])
+    assert resumed["run_id"] == got["run_id"]
+    assert resumed["models"]["m"]["datasets"]["gsm8k"] == {"n_samples": 3, "n_processed": 3, "n_correct": 2, "n_errors": 0, "accuracy": 2 / 3}
+    whole = cli.main(argv("all", "out2"))
+    assert whole["models"] == resumed["models"]
+    run = {o: str(tmp_path / o / r["run_id"]) for o, r in (("out", got), ("out2", whole))}
+    for table in ("metadata/gsm8k", "outputs/gsm8k"):
+        a, b = (sorted(map(str, spark.read.parquet(f"{run[o]}/{table}").collect())) for o in ("out", "out2"))
+        assert a == b
+    assert [tuple(r) for r in spark.read.parquet(f"{run['out']}/outputs/gsm8k").select("max_probability", "perplexity", "entropy").distinct().collect()] == [(0.5, 2.0, 1.0)]
+    states = [U.StateStore(spark, f"{run[o]}/states/m/gsm8k") for o in ("out", "out2")]
+    for name, schema in (("token_states", TOKEN_STATES), ("mean_states", LAYER_STATES), ("prompt_last_states", LAYER_STATES)):
+        a, b = (sorted(map(str, s.states(name, schema).collect())) for s in states)
+        assert a == b
+        assert a
+    assert [r.ptr for r in spark.read.parquet(f"{run['out']}/states/m/gsm8k/pointers").orderBy("sample_idx").collect()] == [0, 2, 4, 6]
+    assert "gsm8k" in R.summary(whole)
     with pytest.raises(ValueError, match="no run to resume"):
-        cli.main([*argv, "--resume", "--run-id", "none"])
+        cli.main([*argv("g", "out"), "--resume", "--run-id", "none"])
 
 
 def test_stream(spark, tmp_path):

@@ -76,3 +76,23 @@ def test_write_jsonl(spark, tmp_path):
     J.write_jsonl(spark.range(0), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
     assert F is not None
+
+
+def test_prepare_and_load(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"q{i}", f"so #### {i}") for i in range(30)], "idx int, question string, answer string").repartition(3)
+
+    def broken():
+        raise OSError("no such source")
+
+    got = N.prepare({"gsm8k": [broken, lambda: rows], "mmlu": [broken], "mgsm": [lambda: rows]}, str(tmp_path), ["gsm8k", "mmlu", "mgsm"], most=20)
+    assert got == {"gsm8k": 20, "mmlu": None, "mgsm": None}
+    assert J.list_files(spark, str(tmp_path)) == ["gsm8k.jsonl"]
+    samples = J.load_samples(spark, str(tmp_path), "gsm8k").orderBy("sample_id").collect()
+    assert [(s.sample_id, s.question, s.answer_gt) for s in samples] == [(i, f"q{i}", str(i)) for i in range(20)]
+
+
+def test_digits_of_any_script(spark):
+    from millrace.functions import answers as A
+
+    df = spark.createDataFrame([("\u0661\u0662.5", "12.5"), ("\uff11\uff12", "12"), ("\U0001d7db", "3"), ("\u0661x", "1")], "a string, b string")
+    assert [r[0] for r in df.select(A.same_number(F.col("a"), F.col("b"))).collect()] == [True, True, True, False]
