@@ -13,6 +13,7 @@ rows are packed each; an empty table gives no pieces; other columns are left alo
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from millrace.llm.shared import table
 WINDOW = 1024
 #: Bytes of tails that are packed together.
 BLOCK_BYTES = 32 << 20
-#: Chunks whose ids a worker remembers.
-REMEMBER = 500_000
+# Fixed value: where byte-level tokenizers cut a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer texts go through the first library, whose cutting has no limit on blanks.
+LONG = 1 << 20
 PIECES = "id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -85,69 +88,61 @@ def best_fit_decreasing(sizes: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-class ChunkEncoder:
-    """Ids of texts from a byte-level tokenizer, remembering the ids of chunks.
-
-    The tokenizer's pre-tokenization always breaks before a blank that follows a
-    non-blank and precedes one, so a text whose blanks all stand so is the
-    concatenation of its chunks. A text with any other chunk is encoded whole.
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of the tokens of a tokenizer file, if it is a plain byte-level BPE whose merges come
+    in the order of their ids; else None."""
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    # Bytes that print stand for themselves in the file, the others for characters from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    added = {t["content"] for t in spec["added_tokens"]}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    whole = len(merged) + 256 == len(vocab) and merged == sorted(merged) and len(set(merged)) == len(merged)
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items()} if whole else None
+
+
+class Encoder:
+    """Ids of texts from a tokenizer file.
+
+    A plain byte-level BPE is run by a second library from the same file: its ids are the
+    same (the tests compare them on every code point) and take a quarter of the time. Texts
+    that spell an added token, and other tokenizers, go through the first.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.size[i] = len(token)  # each character of a token stands for a byte
-        #: None: a chunk that depends on what stands beside it.
-        self.known: dict[str, bytes | None] = {"": b""}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, chunks: list[str]) -> None:
-        calm = []
-        for c in chunks:
-            if c == " " or c[-1].isspace() or (c[0] == " " and c[1].isspace()) or "<|" in c:
-                self.known[c] = None
-            elif c[0] != " ":
-                self.known[c] = self._ids(c).tobytes()  # begins a text
-            else:
-                calm.append(c)
-        for k in range(0, len(calm), 5000):
-            part = calm[k : k + 5000]
-            ids = self._ids("".join(part))
-            ends = np.cumsum([len(c.encode()) for c in part])
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, side="left") + 1
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(part, cuts.tolist(), strict=True):
-                self.known[c] = raw[4 * a : 4 * b]
-                a = b
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        ranks = byte_ranks(spec)
+        self.fast = tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace(" ", "\x00 ").split("\x00") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        self._learn(new)
-        get, out = self.known.__getitem__, []
-        for t, s in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(get, s)) if "\x00" not in t else self._ids(t).tobytes())
-            except TypeError:
-                out.append(self._ids(t).tobytes())
-        if len(self.known) > REMEMBER:  # what came first is what comes often
-            for c in new:
-                del self.known[c]
+        out = []
+        for t in texts:
+            if self.fast is None or len(t) > LONG or any(a in t for a in self.added):
+                ids = self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids
+            else:
+                ids = self.fast.encode_ordinary(t)
+            out.append(np.array(ids, "<u4").tobytes())
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 

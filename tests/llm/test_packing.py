@@ -48,15 +48,29 @@ def test_pieces(spark, docs, clash, tokenizer):
     assert P.pack(docs(*texts).limit(0), P.byte_bpe_path()).collect() == []
 
 
-def test_blocks_and_forgetting(spark, docs, tokenizer, monkeypatch):
+def test_blocks(docs, tokenizer, monkeypatch):
     monkeypatch.setattr(P, "BLOCK_BYTES", 200)
     texts = [(i, f"word{i} " * (i % 9)) for i in range(50)]
     check(P.pack(docs(*texts).coalesce(1), P.byte_bpe_path(), window=16).collect(), texts, tokenizer, 16)
-    monkeypatch.setattr(P, "REMEMBER", 3)
-    enc = P.ChunkEncoder(P.byte_bpe_path())
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t for _, t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for _, t in texts]
-    assert len(enc.known) < 10
+
+
+def test_both_libraries_agree_on_code_points(tokenizer):
+    enc = P.encoder(P.byte_bpe_path())
+    assert enc.fast is not None
+    points = [c for c in (*range(0x3100), *range(0x3100, 0x110000, 37)) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1{chr(c)}, {chr(c)} {chr(c)}b {chr(c)}{chr(c)}\n{chr(c)}'s" for c in points]
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.array(w.ids, "<u4").tobytes() for w in want] == enc.encode(texts)
+
+
+def test_other_tokenizers_are_left_to_their_library(tmp_path, monkeypatch):
+    import public_tokenizers
+
+    assert P.Encoder(public_tokenizers.path("word_bpe_49k.json")).fast is None
+    enc, texts = P.Encoder(P.byte_bpe_path()), ["some words", " " * 5000 + "x", "\n" * 3000, "a" * 5000, "", "<|endoftext|>"]
+    fast = enc.encode(texts)
+    monkeypatch.setattr(P, "LONG", -1)
+    assert enc.encode(texts) == fast
 
 
 def test_encoder_on_odd_texts(tokenizer):
