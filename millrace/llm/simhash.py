@@ -33,6 +33,8 @@ SHARD = 2048
 LEAF = 192
 #: Texts with a hash in common above which not every two of them meet at once.
 MEET = 64
+#: Texts that a task remembers.
+REMEMBERED = 1 << 17
 _UNITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -318,12 +320,45 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(left)
 
 
+def _distinct(h: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Rows ordered by h and then id within equal sizes, each (h, id) once."""
+    new = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])] if len(h) else np.zeros(0, bool)
+    return [x[new] for x in (h, ids, *more)]
+
+
 def _columns(group: pa.Table, *names: str) -> list[np.ndarray]:
     return [group.column(c).to_numpy() for c in names]
 
 
+def _counts(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes end in each byte; nothing where some number takes more than a byte."""
+    n = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def _may_be_alike(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
+    """Whether the ``_counts`` of sets allow the similarity: sets have no more in common than the
+    lesser number for each byte."""
+    out = np.ones(len(a), bool)
+    known = np.nonzero([bool(x and y) for x, y in zip(a, b, strict=True)])[0]
+    if len(known):
+        x, y = (np.frombuffer(b"".join(c[i] for i in known), np.uint8).reshape(-1, 256) for c in (a, b))
+        total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+        out[known] = np.minimum(x, y).sum(1, dtype=np.int64) * (1 + similarity) >= similarity * total - 1e-6
+    return out
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) keys of the candidate pairs of short keys that are alike on their whole sets."""
+    """(a, b) keys of the candidate pairs of short keys that are alike on their whole sets.
+
+    First the counts of both sets meet, which are short; the sets themselves, only for the
+    pairs that these leave.
+    """
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("ca", "cb"))
+            yield batch.select(["a", "b"]).filter(pa.array(_may_be_alike(a, b, similarity)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +367,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) - both
             yield batch.select(["ka", "kb"]).filter(pa.array(both >= similarity * total - 1e-9)).rename_columns(["a", "b"])
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("set").alias("sa")), "a")
+    counts = sets.select("id", "counts").dropDuplicates(["id"])
+    met = pairs.join(counts.select(F.col("id").alias("a"), F.col("counts").alias("ca")), "a").join(counts.select(F.col("id").alias("b"), F.col("counts").alias("cb")), "b")
+    near = materialize(met.select("a", "b", "ca", "cb").mapInArrow(likely, "a long, b long"), "likely")
+    left = near.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("set").alias("sa")), "a")
     full = left.join(sets.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("set").alias("sb")), "b")
     return full.select("ka", "kb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
@@ -347,9 +385,19 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            sets = [shingle_hashes(t.encode(), width).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
+            rows = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                # A copy of a text need not be done again; other tasks may have one, which does no harm.
+                if key in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+                h = shingle_hashes(text, width).astype("<u8")
+                rows.append((key, h.tobytes(), _counts(h)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["key", "set", "counts"])
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,7 +409,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_groups(batches):
-            h, ids, n, place = _columns(group, "h", "id", "n", "place")
+            h, ids, n, place = _distinct(*_columns(group, "h", "id", "n", "place"))
             first, start, count = np.unique(h, return_index=True, return_counts=True)
             many = np.repeat(count > MEET, count)
             few = np.nonzero(~many & np.repeat(count > 1, count))[0]
@@ -380,17 +428,17 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_groups(batches):
-            h, ids, n, place = _columns(group, "h", "id", "n", "place")
             label = np.unique(group.column("root").combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            h, ids, n, place, label = _distinct(*_columns(group, "h", "id", "n", "place"), label)
             for i, j in _group_pairs(h, n, place, similarity, label):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = materialize(docs.select(text_digest(value).alias("key"), F.col(id_col).alias("id")), "rows")
-    texts = docs.select(text_digest(value).alias("key"), value.alias("text")).dropDuplicates(["key"])
-    sets = materialize(texts.mapInArrow(whole, "key binary, set binary"), "sets")
+    texts = docs.select(text_digest(value).alias("key"), value.cast("binary").alias("text"))
+    sets = materialize(texts.mapInArrow(whole, "key binary, set binary, counts binary"), "sets")
     # Candidates go by a 64-bit digest of the key.
-    sets = sets.select(F.xxhash64("key").alias("id"), "key", "set")
+    sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts")
     by_hash = sets.select("id", "set").mapInArrow(heads, "h long, id long, n int, place int").repartition("h").sortWithinPartitions("h", "n", "id")
     met = materialize(by_hash.mapInArrow(meet, "h long, a long, b long, n int, place int"), "met")
     edges = materialize(_alike(met.where("h IS NULL AND a <> b").select("a", "b").distinct(), sets, similarity), "edges")
@@ -405,7 +453,8 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         more = materialize(_alike(again.distinct(), sets, similarity), "edges")
         if more.limit(1).count():
             roots = materialize(components(edges.union(more)), "roots")
-    named = sets.join(roots, sets.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"))
+    keys = sets.select("key").distinct()
+    named = keys.join(roots, keys.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"))
     return rows, named
 
 
