@@ -5,7 +5,7 @@ dealt to shards by the upper levels of a vantage-point tree (fitted on a bounded
 sample, applied to every fingerprint); a fingerprint near the boundary of a shard
 is also sent there as a query, so that no close pair is lost. Inside a shard a
 vantage-point tree finds the exact pairs, and only a spanning forest of them
-leaves the task. Components come from distributed min-label propagation.
+leaves the task; a dense shard is compared in blocks. Components come from distributed min-label propagation.
 
 Defined results: a null text has no words; no words give fingerprint zero, which
 links like any other; repeated rows share a fingerprint; a component without any
@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import free_name, materialize, table, text_digest
+from millrace.llm.shared import free_name, hash_sample, materialize, table, text_digest
 
 #: Fingerprints of which the upper levels of the tree are fitted.
 SAMPLE = 8192
-#: Fingerprints that a shard owns, about.
-SHARD = 2048
+#: Fingerprints that a shard owns, about; the tree has at most LEVELS levels, as many as its sample fits.
+SHARD, LEVELS = 2048, 12
+#: Rows of a shard, or of a block of its points or queries, that one task takes.
+DENSE = 1 << 17
 #: Points below which a node is compared directly.
 LEAF = 192
 #: Texts with a hash in common above which not every two of them meet at once.
@@ -150,34 +152,50 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, within: int) -> Iterator
 
 
 class Forest:
-    """Union-find that keeps the edges which joined two trees."""
+    """Union-find over arrays of pairs, which keeps the edges that joined two trees."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
-def _shard_edges(fps: np.ndarray, own: np.ndarray, within: int) -> np.ndarray:
-    """Spanning forest of the close pairs between a shard's own points and all sent to it."""
-    points = np.nonzero(own)[0]
-    forest, edges = Forest(len(fps)), []
-    for q, p in near_pairs(fps[points], fps, within):
-        for i, j in zip(q.tolist(), points[p].tolist(), strict=True):
-            if i != j and forest.join(i, j):
-                edges.append((i, j))
-    return np.array(edges, np.int64).reshape(-1, 2)
+        self.up = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def _roots(self) -> np.ndarray:
+        while True:
+            top = self.up[self.up]
+            if (top == self.up).all():
+                return top
+            self.up = top
+
+    def _find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join pairs; only those of different trees are gone through one by one."""
+        while True:
+            root = self._roots()
+            apart = np.nonzero(root[a] != root[b])[0]
+            if not len(apart):
+                return
+            # One pair of each two trees is enough.
+            low, high = np.minimum(root[a[apart]], root[b[apart]]), np.maximum(root[a[apart]], root[b[apart]])
+            first = np.unique(low * len(root) + high, return_index=True)[1]
+            a, b = a[apart[first]], b[apart[first]]
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = self._find(i), self._find(j)
+                if x != y:
+                    self.up[max(x, y)] = min(x, y)
+                    self.edges.append((i, j))
+
+
+def _shard_edges(fps: np.ndarray, points: np.ndarray, queries: np.ndarray, within: int) -> np.ndarray:
+    """Spanning forest of the close pairs of a shard's points and queries (indexes into ``fps``)."""
+    forest = Forest(len(fps))
+    for q, p in near_pairs(fps[points], fps[queries], within):
+        forest.join(queries[q], points[p])
+    return np.array(forest.edges, np.int64).reshape(-1, 2)
 
 
 def link_edges(distinct_fps: DataFrame, within: int = 2) -> DataFrame:
@@ -190,8 +208,8 @@ def link_edges(distinct_fps: DataFrame, within: int = 2) -> DataFrame:
     n = distinct_fps.count()
     levels = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     # A sample by a hash order that no property of the text follows; bounded by SAMPLE rows.
-    picked = distinct_fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = ShardTree(picked, min(levels, 12))
+    picked = np.array([r.fp for r in hash_sample(distinct_fps.select("fp"), "fp", n, SAMPLE).collect()], np.int64).view(np.uint64)
+    tree = ShardTree(picked, min(levels, LEVELS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,12 +218,22 @@ def link_edges(distinct_fps: DataFrame, within: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[i].view(np.int64)), pa.array(own)], names=["shard", "fp", "own"])
 
     def pairs(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        e = _shard_edges(fps, group.column("own").to_numpy(zero_copy_only=False).astype(bool), within)
+        fps, at = np.unique(group.column("fp").to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
+        points, queries = (np.unique(at[group.column(c).to_numpy(zero_copy_only=False).astype(bool)]) for c in ("point", "query"))
+        e = _shard_edges(fps, points, queries, within)
         return pa.table({"a": fps[e[:, 0]].view(np.int64), "b": fps[e[:, 1]].view(np.int64)})
 
-    dealt = distinct_fps.select("fp").mapInArrow(deal, "shard long, fp long, own boolean")
-    return dealt.groupBy("shard").applyInArrow(pairs, "a long, b long")
+    dealt = materialize(distinct_fps.select("fp").mapInArrow(deal, "shard long, fp long, own boolean"), "dealt")
+    # A dense shard is compared block by block: each block of its points with each of its queries.
+    dense = dealt.groupBy("shard").agg(F.ceil(F.count("*") / DENSE).alias("m")).where("m > 1")
+    parted = dealt.join(dense, "shard", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("m")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("m") - 1)
+    row = lambda i, j, point, query: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), point.alias("point"), query.alias("query"))
+    yes, no, none = F.lit(True), F.lit(False), F.array().cast("array<struct<i:bigint,j:bigint,point:boolean,query:boolean>>")
+    as_points = F.when(F.col("own"), F.transform(every, lambda j: row(F.col("b"), j, yes, no))).otherwise(none)
+    tasks = F.when(F.col("m") == 1, F.array(row(F.lit(0), F.lit(0), F.col("own"), yes))).otherwise(F.concat(as_points, F.transform(every, lambda i: row(i, F.col("b"), no, yes))))
+    spread = parted.select("shard", "fp", F.explode(tasks).alias("t")).select("shard", "fp", "t.*")
+    return spread.groupBy("shard", "i", "j").applyInArrow(pairs, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

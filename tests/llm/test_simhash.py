@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from millrace.llm import simhash as S
@@ -40,7 +41,9 @@ def make(r, n):
     return rows
 
 
-def test_components(spark, docs, clash, monkeypatch):
+@pytest.mark.parametrize("dense", [10, 1 << 17])
+def test_components(spark, docs, clash, monkeypatch, dense):
+    monkeypatch.setattr(S, "DENSE", dense)
     monkeypatch.setattr(S, "SHARD", 16)
     monkeypatch.setattr(S, "LEAF", 4)
     rows = [*make(random.Random(4), 150), (500, None), (501, ""), (None, " \t"), (502, "A B\x0bc"), (503, "a b c"), (503, "a b c"), (504, "é " * 4000), (None, "only null id here")]
@@ -75,6 +78,20 @@ def test_shards_lose_no_pair():
     assert {(x, y) for x, y in got if x != y} == set(zip(a.tolist(), b.tolist(), strict=True))
 
 
+def test_forest_spans_what_pairs_span():
+    r = np.random.default_rng(5)
+    forest, all_pairs = S.Forest(200), []
+    for _ in range(6):
+        a, b = r.integers(0, 200, 40), r.integers(0, 200, 40)
+        all_pairs += zip(a.tolist(), b.tolist(), strict=True)
+        forest.join(a, b)
+    root = forest._roots()
+    both = {*all_pairs, *((b, a) for a, b in all_pairs)}
+    want = groups(200, lambda i, j: (i, j) in both)
+    assert [want[i] == want[j] for i in range(200) for j in range(i)] == [root[i] == root[j] for i in range(200) for j in range(i)]
+    assert len(forest.edges) == 200 - len(set(root.tolist()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)]
     got = dict(S.components(spark.createDataFrame(edges, "a long, b long")).collect())
