@@ -18,11 +18,13 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (a single
-    machine, as in tests) a temporary folder is made and remembered.
+    Read from ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made and
+    remembered on a single machine, as in tests; a cluster has to name one.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         base = getattr(spark, "_millrace_dir", None) or tempfile.mkdtemp(prefix="millrace-")
         spark._millrace_dir = base
     return base.rstrip("/")

@@ -275,28 +275,6 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
-def sketch(text: bytes, width: int, size: int | None = None) -> tuple[int, int, bytes]:
-    """(fingerprint, number of distinct shingles, the ``size`` smallest 32-bit hashes or all)."""
-    words = text.lower().split()
-    grams = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams))
-    if not words:
-        return 0, 0, b""
-    counts = sum((_bit_counts(h[k : k + 65536]) for k in range(0, len(h), 65536)), np.zeros(64, np.int64))
-    low = np.unique((h >> np.uint64(32)).astype("<u4"))[:size]
-    return int(_UNITS[counts * 2 > len(h)].sum(dtype=np.uint64)), len(grams), low.tobytes()
-
-
-def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int | None = None) -> float:
-    """Jaccard similarity from the smallest hashes: exact where both sets fit in a sketch, or without ``size``."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)
-    if size is not None and (len(a) == size or len(b) == size):
-        both = both[:size]
-    return float((np.isin(both, a) & np.isin(both, b)).sum()) / len(both)
-
-
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; a text without words has the empty one."""
     words = text.lower().split()

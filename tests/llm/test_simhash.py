@@ -110,10 +110,17 @@ def test_near_copies_keep_one(spark, docs, clash):
     assert S.drop_near_copies(docs(*rows).limit(0)).collect() == []
 
 
-def test_sketch_is_exact_for_small_sets():
-    a, b = [f"x{i}" for i in range(100)], [f"x{i}" for i in range(10, 110)]
-    sa, sb = (np.frombuffer(S.sketch(" ".join(t).encode(), 5, 256)[2], "<u4") for t in (a, b))
-    assert abs(S.sketch_similarity(sa, sb, 256) - 86 / 106) < 1e-9
+def test_counts_never_rule_out_a_pair_that_is_alike():
+    r = np.random.default_rng(8)
+    for n in (40, 400, 70000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, len(a) * 9 // 10)], r.integers(0, 1 << 63, len(a) // 10, dtype=np.uint64)]))
+        like = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        other = np.unique(r.integers(0, 1 << 63, len(a), dtype=np.uint64))
+        got = S._may_be_alike([S._counts(a), S._counts(a), b""], [S._counts(b), S._counts(other), S._counts(b)], 0.8)
+        assert got[0] or not like
+        assert got[1] == (n == 70000)
+        assert got[2]
 
 
 def shingle_sets(rows, width=5):
