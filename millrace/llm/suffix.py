@@ -36,8 +36,8 @@ from millrace.llm.shared import column_bytes, free_name, materialize, slices, ta
 DEPTH = 200
 #: Bytes of the strings among which a window's minimizer is chosen; a power of two from 8 on.
 GRAM = 32
-#: Bytes handled at once, and bytes of segments sorted at once.
-STEP, SORT_BYTES = 1 << 20, 2 << 20
+#: Bytes handled at once, bytes of segments sorted at once, and rows of texts taken at once.
+STEP, SORT_BYTES, ROWS = 1 << 19, 1 << 20, 512
 #: Distinct segments of a minimizer that one task takes.
 SALT_ROWS = 2048
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> D
     asked = mixed.join(dealt, "low").groupBy("at.key").agg(F.collect_list(F.struct("low", "content", "salts", "at.start", "at.n")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches):
             rows = {"low": [], "content": [], "salts": [], "n": [], "body": []}
             for t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = t.encode()
@@ -197,6 +197,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> D
     return placed.groupBy("key").agg(F.collect_set("s").alias("spans"))
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 def spark_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -256,8 +263,8 @@ def _sort_chunk(rows: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
     once = ~repeated
     once[index[np.unique(group, return_index=True)[1]]] = True
     shared = np.nonzero(once & (salts[seg] > 1))[0]
-    for k in range(0, len(shared), 65536):
-        w = shared[k : k + 65536]
+    for k in range(0, len(shared), 16384):
+        w = shared[k : k + 16384]
         a, b = _digest(raw, start[w], depth)
         yield pa.RecordBatch.from_arrays([pa.array(low[seg[w]]), pa.array(content[seg[w]]), pa.nulls(len(w), kind), pa.array(at[w]), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=names)
 
@@ -275,7 +282,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-        for b in batches:
+        for b in parts_of(batches):
             out = []
             for t, found in zip(b.column(text).to_pylist(), b.column(held).to_pylist(), strict=True):
                 raw, cuts, kept, at = t.encode(), [], [], 0
