@@ -68,7 +68,7 @@ WEAK = frozenset(
 )
 FRAME = frozenset(
     "site page main global top bottom left right primary secondary inner outer wrapper wrap container box block slot area section list item items bar unit link links posts row col column"
-    " holder module panel region view group post entry user reader author body text title form content message signup button buttons icon icons small large sticky fixed mobile desktop web privacy legal policy info js".split()
+    " holder module panel region view group post entry user reader author body text title form content message signup button buttons icon icons small large sticky fixed mobile desktop web privacy legal policy info js google dfp native inline leaderboard placeholder label".split()
 )
 GOOD = frozenset("article content post entry story main body text page".split())
 #: Share of a host's votes from which on a path is one of its own.

@@ -39,7 +39,7 @@ def test_against_brute_force(spark, docs, clash, monkeypatch, block):
     monkeypatch.setattr(D, "STEP", 64)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = D.mark_contamination(clash(docs(*TEXTS)), items, window=4, block_bytes=block if block > 1 else 30)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.contamination.n_words, sum(s.end - s.start for s in r.contamination.spans), list(r.contamination["items"])) for r in out.collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r["_contamination"].n_words, sum(s.end - s.start for s in r["_contamination"].spans), list(r["_contamination"]["items"])) for r in out.collect())
     assert got == brute(TEXTS, ITEMS, 4)
     kept = D.drop_contaminated(docs(*TEXTS), items, window=4)
     assert kept.columns == docs().columns if TEXTS is None else True
@@ -50,3 +50,14 @@ def test_empty_tables(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.mark_contamination(docs(*TEXTS).limit(0), items).collect() == []
     assert all(not r.contamination.spans for r in D.mark_contamination(docs(*TEXTS), items.limit(0)).collect())
+
+
+def test_one_index_at_a_time(spark, docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(D, "materialize", lambda df, name: made.append(name) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    items = spark.createDataFrame([(i, f"item number {i} of the benchmark") for i in range(40)], "item_id long, text string")
+    out = D.mark_contamination(docs((1, "the item number 7 of the benchmark"), (2, "clean")), items, window=4, block_bytes=300)
+    assert len(made) >= 3
+    assert out._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    assert {r.doc_id: list(r.contamination["items"]) for r in out.collect()}[2] == []
+    assert "7" in {r.doc_id: list(r.contamination["items"]) for r in out.collect()}[1]

@@ -1,3 +1,5 @@
+import heapq
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,51 @@ def test_recall(spark, monkeypatch, block):
         assert all(abs(g.score - np.dot(rows[q][1], rows[g.id][1])) < 1e-12 for g in own)
 
 
+def test_recall_of_a_small_share(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(N, "SAMPLE_ROWS", 900)
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(centres[r.integers(0, 40, 2000)] + 0.2 * r.normal(size=(2000, 24)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    truth = brute(rows, range(0, 2000, 20), 10)
+    got = {}
+    for g in N.nearest(df, F.col("id") % 20 == 0, k=10, share=0.2, least=0).collect():
+        got.setdefault(g.query_id, set()).add(g.id)
+    assert np.mean([len(got[q] & {i for _, i in t}) / 10 for q, t in truth.items()]) >= 0.9
+
+
+def test_leaves_are_reached_in_the_order_of_the_queue():
+    r = np.random.default_rng(7)
+    rows, queries = r.normal(size=(500, 8)), r.normal(size=(20, 8))
+    forest = N.Forest(rows, trees=4, leaf=16)
+    placed = forest.place(rows)
+    for wanted in (1, 60, 200, 500):
+        reached = forest.reached(queries, placed, wanted)
+        for q, own in zip(queries, reached, strict=True):
+            # One heap for all trees, nearest boundary first.
+            heap, seen, leaves = [(0.0, root) for root in forest.roots], set(), set()
+            while heap and len(seen) < wanted:
+                far, node = heapq.heappop(heap)
+                while node >= 0:
+                    m = float(q @ forest.normals[node] - forest.cuts[node])
+                    near, other = forest.sides[node][::-1] if m > 0 else forest.sides[node]
+                    heapq.heappush(heap, (max(far, abs(m)), other))
+                    node = near
+                leaves.add(~node)
+                seen |= set(np.nonzero((placed == ~node).any(axis=0))[0].tolist())
+            # Leaves as far as the last one are reached with it.
+            far = forest.bounds(q[None])[0]
+            want = far <= max(far[list(leaves)])
+            assert (own == want).all() or wanted == len(rows)
+
+
+def test_an_id_with_two_vectors_is_settled_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, N.nearest(df, F.col("id") % 20 == 0).collect())) == [(0, 1, 1, 1.0), (0, 2, 2, 0.5)]
+
+
 def test_defined_cases(spark, clash):
     one = [1.0, 0.0]
     rows = [(0, one), (0, one), *((i, one) for i in range(1, 40)), (40, [0.0, 1.0]), (41, None), (42, [0.0, 0.0]), (43, [float("nan"), 1.0]), (44, [float("inf"), 1.0]), (45, [None, 1.0]), (46, []), (47, [1.0, 2.0, 3.0]), (None, one), (60, [0.5, 0.5])]

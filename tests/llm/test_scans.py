@@ -57,8 +57,8 @@ def test_base_spans(spark, docs, clash, texts, scan, base, c, kinds):
     rows = [*enumerate(texts), (None, texts[0]), (0, texts[0])]
     df = clash(docs(*rows))
     out = scan(df)
-    assert out.columns == [*(x for x in df.columns if x != "text"), c]
-    got = [(a, i, [s for s in own if s[0] in kinds]) for a, i, own in spans(out.collect(), c)]
+    assert out.columns == [*(x for x in df.columns if x != "text"), f"_{c}"]
+    got = [(a, i, [s for s in own if s[0] in kinds]) for a, i, own in spans(out.collect(), f"_{c}")]
     assert got == sorted((i is None, i or 0, base(t or "")) for i, t in rows)
     assert scan(df.limit(0)).collect() == []
 
