@@ -42,6 +42,28 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are needed for a while only."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        out = materialize(df, name, compression)
+        self.paths += out.inputFiles()[:1]
+        return out
+
+    def clear(self) -> None:
+        """Delete the tables. What was made from them has to be stored by now."""
+        jvm = self.spark.sparkContext._jvm
+        for file in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []
+        # Shuffle files go when the driver's JVM collects the plans that made them.
+        jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

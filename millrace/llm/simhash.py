@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import free_name, hash_sample, materialize, table, text_digest
+from millrace.llm.shared import Scratch, free_name, hash_sample, materialize, table, text_digest
 
 #: Fingerprints of which the upper levels of the tree are fitted.
 SAMPLE = 8192
@@ -442,13 +442,14 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = materialize(docs.select(text_digest(value).alias("key"), F.col(id_col).alias("id")), "rows")
     texts = docs.select(text_digest(value).alias("key"), value.cast("binary").alias("text"))
-    sets = materialize(texts.mapInArrow(whole, "key binary, set binary, counts binary"), "sets")
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.table(texts.mapInArrow(whole, "key binary, set binary, counts binary"), "sets")
     # Candidates go by a 64-bit digest of the key.
     sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts")
     by_hash = sets.select("id", "set").mapInArrow(heads, "h long, id long, n int, place int").repartition("h").sortWithinPartitions("h", "n", "id")
-    met = materialize(by_hash.mapInArrow(meet, "h long, a long, b long, n int, place int"), "met")
-    edges = materialize(_alike(met.where("h IS NULL AND a <> b").select("a", "b").distinct(), sets, similarity), "edges")
-    roots = materialize(components(edges), "roots")
+    met = scratch.table(by_hash.mapInArrow(meet, "h long, a long, b long, n int, place int"), "met")
+    edges = scratch.table(_alike(met.where("h IS NULL AND a <> b").select("a", "b").distinct(), sets, similarity), "edges")
+    roots = scratch.table(components(edges), "roots")
     crowd = met.where("h IS NOT NULL").select("h", F.col("a").alias("id"), "n", "place")
     if crowd.limit(1).count():
         known = roots.select(F.xxhash64("node").alias("id"), "root").groupBy("id").agg(F.max("root").alias("root"))
@@ -456,11 +457,13 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         # Groups that are one component by now have nothing to compare.
         split = crowd.groupBy("h").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("h")
         again = crowd.join(split, "h").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(meet_again, "a long, b long")
-        more = materialize(_alike(again.distinct(), sets, similarity), "edges")
+        more = scratch.table(_alike(again.distinct(), sets, similarity), "edges")
         if more.limit(1).count():
-            roots = materialize(components(edges.union(more)), "roots")
+            roots = scratch.table(components(edges.union(more)), "roots")
     keys = sets.select("key").distinct()
     named = keys.join(roots, keys.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"))
+    named = materialize(named, "classes")
+    scratch.clear()
     return rows, named
 
 
