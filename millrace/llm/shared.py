@@ -36,10 +36,14 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     Cuts the lineage: a lost executor costs the tasks that were running, not
     the whole plan above this point.
     """
+    return _stored(df, name, compression)[0]
+
+
+def _stored(df: DataFrame, name: str, compression: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 class Scratch:
@@ -47,21 +51,25 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        self._collect()
+
+    def _collect(self) -> None:
+        """Shuffle files of finished jobs go when the driver's JVM collects the plans that made them."""
+        self.spark.sparkContext._jvm.System.gc()
 
     def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        out = materialize(df, name, compression)
-        self.paths += out.inputFiles()[:1]
+        out, path = _stored(df, name, compression)
+        self.paths.append(path)
         return out
 
     def clear(self) -> None:
         """Delete the tables. What was made from them has to be stored by now."""
         jvm = self.spark.sparkContext._jvm
-        for file in self.paths:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         self.paths = []
-        # Shuffle files go when the driver's JVM collects the plans that made them.
-        jvm.System.gc()
+        self._collect()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

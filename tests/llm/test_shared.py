@@ -1,5 +1,6 @@
 """The shared folder and bounded samples."""
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -26,3 +27,13 @@ def test_samples_are_the_smallest_hashes(spark):
     assert [r.k for r in shared.hash_sample(df, "k", 2000, 100).collect()] == first
     assert shared.hash_sample(df, "k", 2000, 5000).count() == 2000
     assert shared.hash_sample(df.limit(0), "k", 0, 5).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    scratch = shared.Scratch(spark)
+    tables = [scratch.table(spark.range(n), "scratch", "zstd") for n in (0, 5)]
+    assert [t.count() for t in tables] == [0, 5]
+    paths = list(scratch.paths)
+    assert all(os.path.isdir(p) for p in paths)
+    scratch.clear()
+    assert not any(os.path.exists(p) for p in paths)
