@@ -354,18 +354,25 @@ def _may_be_alike(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarr
     return out
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) keys of the candidate pairs of short keys that are alike on their whole sets.
+def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs (a, b) of short keys that the counts of both sets allow."""
 
-    First the counts of both sets meet, which are short; the sets themselves, only for the
-    pairs that these leave.
-    """
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("ca", "cb"))
             yield batch.select(["a", "b"]).filter(pa.array(_may_be_alike(a, b, similarity)))
 
+    counts = sets.select("id", "counts").dropDuplicates(["id"])
+    met = pairs.join(counts.select(F.col("id").alias("a"), F.col("counts").alias("ca")), "a").join(counts.select(F.col("id").alias("b"), F.col("counts").alias("cb")), "b")
+    return met.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b) keys of the pairs of short keys that are alike on their whole sets.
+
+    Of the sets only those of the pairs are moved.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
@@ -373,12 +380,24 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) - both
             yield batch.select(["ka", "kb"]).filter(pa.array(both >= similarity * total - 1e-9)).rename_columns(["a", "b"])
 
-    counts = sets.select("id", "counts").dropDuplicates(["id"])
-    met = pairs.join(counts.select(F.col("id").alias("a"), F.col("counts").alias("ca")), "a").join(counts.select(F.col("id").alias("b"), F.col("counts").alias("cb")), "b")
-    near = materialize(met.select("a", "b", "ca", "cb").mapInArrow(likely, "a long, b long"), "likely")
-    left = near.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("set").alias("sa")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("set").alias("sb")), "b")
-    return full.select("ka", "kb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    asked = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+    own = scratch.table(sets.select("id", "key", "set").join(asked, "id", "left_semi"), "own")
+    left = pairs.join(own.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("set").alias("sa")), "a")
+    full = left.join(own.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("set").alias("sb")), "b")
+    return scratch.table(full.select("ka", "kb", "sa", "sb").mapInArrow(run, "a binary, b binary").distinct(), "edges")
+
+
+def _roots_by_id(roots: DataFrame) -> DataFrame:
+    return roots.select(F.xxhash64("node").alias("id"), "root").groupBy("id").agg(F.max("root").alias("root"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two texts are not in one component yet."""
+    known = _roots_by_id(roots)
+    for c in ("a", "b"):
+        label = known.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        pairs = pairs.join(label, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", F.col(c).cast("string").cast("binary")))
+    return pairs.where("ra <> rb").select("a", "b")
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -448,16 +467,20 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts")
     by_hash = sets.select("id", "set").mapInArrow(heads, "h long, id long, n int, place int").repartition("h").sortWithinPartitions("h", "n", "id")
     met = scratch.table(by_hash.mapInArrow(meet, "h long, a long, b long, n int, place int"), "met")
-    edges = scratch.table(_alike(met.where("h IS NULL AND a <> b").select("a", "b").distinct(), sets, similarity), "edges")
+    near = scratch.table(_likely(met.where("h IS NULL AND a <> b").select("a", "b").distinct(), sets, similarity).distinct(), "likely")
+    # Each text first meets the smallest it may be like, which joins most groups; then only
+    # pairs of different components are left to be compared.
+    edges = _alike(scratch.table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"), sets, similarity, scratch)
+    rest = scratch.table(_apart(near, scratch.table(components(edges), "roots")), "rest")
+    edges = scratch.table(edges.union(_alike(rest, sets, similarity, scratch)), "edges")
     roots = scratch.table(components(edges), "roots")
     crowd = met.where("h IS NOT NULL").select("h", F.col("a").alias("id"), "n", "place")
     if crowd.limit(1).count():
-        known = roots.select(F.xxhash64("node").alias("id"), "root").groupBy("id").agg(F.max("root").alias("root"))
-        crowd = crowd.join(known, "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("string").cast("binary")))
+        crowd = crowd.join(_roots_by_id(roots), "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("string").cast("binary")))
         # Groups that are one component by now have nothing to compare.
         split = crowd.groupBy("h").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("h")
         again = crowd.join(split, "h").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(meet_again, "a long, b long")
-        more = scratch.table(_alike(again.distinct(), sets, similarity), "edges")
+        more = _alike(scratch.table(_likely(again.distinct(), sets, similarity).distinct(), "likely"), sets, similarity, scratch)
         if more.limit(1).count():
             roots = scratch.table(components(edges.union(more)), "roots")
     keys = sets.select("key").distinct()
