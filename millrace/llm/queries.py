@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.chat import SQL as CHAT_SQL
+from millrace.llm.chat import op11_chat_format
 from millrace.llm.decontaminate import SQL as WINDOWS_SQL
 from millrace.llm.decontaminate import op4_decontaminate
 from millrace.llm.html_text import op3_html
@@ -31,10 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op11_chat_format": op11_chat_format,
 }
 
 SQL: dict[str, str] = {
     "op1_suffix_dedup": REPEATS_SQL,
     "op4_decontaminate": WINDOWS_SQL,
     "op7_line_dedup": LINES_SQL,
+    "op11_chat_format": CHAT_SQL,
 }
