@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.align import op12_alignment
 from millrace.llm.chat import SQL as CHAT_SQL
 from millrace.llm.chat import op11_chat_format
 from millrace.llm.decontaminate import SQL as WINDOWS_SQL
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
     "op11_chat_format": op11_chat_format,
+    "op12_alignment": op12_alignment,
 }
 
 SQL: dict[str, str] = {
