@@ -22,6 +22,7 @@ from millrace.llm.secrets import op8_secrets
 from millrace.llm.simhash import op9_simhash
 from millrace.llm.suffix import SQL as REPEATS_SQL
 from millrace.llm.suffix import op1_suffix_dedup
+from millrace.llm.whiten import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_chat_format": op11_chat_format,
     "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
