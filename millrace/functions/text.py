@@ -10,11 +10,10 @@ import json
 import re
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType
+from pyspark.sql.types import StringType
 
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 
@@ -76,11 +75,22 @@ def stringify_json(raw: Column) -> Column:
     return F.when(plain, raw.substr(F.lit(2), F.length(raw) - 2)).when(whole & (raw != "-0"), raw).otherwise(_stringify(F.when(~plain & ~whole | (raw == "-0"), raw)))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def half_round(s: pd.Series) -> pd.Series:
-    """Each component rounded to half precision; the result is exact in single precision."""
-    with np.errstate(over="ignore"):
-        return s.map(lambda v: np.asarray(v, np.float32).astype(np.float16).astype(np.float32), na_action="ignore")
+def half_round(vector: Column) -> Column:
+    """Each component rounded to half precision, ties to even; exact in single precision.
+
+    A number is scaled by its last place in half precision, rounded to a whole number and scaled
+    back; all three are exact. What rounds beyond the largest number is infinite.
+    """
+
+    def one(x: Column) -> Column:
+        d = x.cast("double")
+        size = F.abs(d)
+        # For a power of two the logarithm may fall short, and the place is then finer than need be.
+        place = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
+        same = (size == 0) | F.isnan(d) | (size == float("inf"))
+        return F.when(same, d).when(size >= 65520, F.signum(d) * float("inf")).otherwise(F.rint(d / place) * place).cast("float")
+
+    return F.transform(vector.cast("array<float>") if isinstance(vector, Column) else F.col(vector).cast("array<float>"), one)
 
 
 _MOST_BITS = 20_000

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +32,14 @@ def running_accuracy(rows: DataFrame, keys: list[str], order: str = "sample_idx"
     """
     columns, right = rows.columns, F.coalesce(F.col("correct").cast("long"), F.lit(0))
     own = rows.withColumns({"_b": F.floor(F.col(order) / block), "_c": right, "_k": F.when(F.col("correct").isNotNull(), 1).otherwise(0)})
-    sums = own.groupBy(*keys, "_b").agg(F.sum("_c").alias("_sc"), F.sum("_k").alias("_sk"))
+    by = [*keys, "_b"]
+    sums = own.groupBy(*by).agg(F.sum("_c").alias("_sc"), F.sum("_k").alias("_sk"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*keys, "_b", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in ("_sc", "_sk")))
-    upto = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = own.withColumns({"_c": F.sum("_c").over(upto), "_k": F.sum("_k").over(upto)}).join(base, [*keys, "_b"])
+    base = sums.select(*(F.col(k).alias(f"_at{i}") for i, k in enumerate(by)), *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in ("_sc", "_sk")))
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Null keys are a group, and null positions a block of their own before the others.
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(by)))
+    inner = own.withColumns({"_c": F.sum("_c").over(upto), "_k": F.sum("_k").over(upto)}).join(base, same)
     share = F.try_divide((F.col("_sc") + F.col("_c")).cast("double"), (F.col("_sk") + F.col("_k")).cast("double"))
     return inner.select(*columns, (share * 100).alias("running_accuracy"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import half_round
+from millrace.operators.vectors import mean_vectors
 
 
 def zeros(layers: Column | int, width: Column | int) -> Column:
@@ -30,13 +31,10 @@ def token_states(steps: DataFrame, key: str = "sample_idx", states: str = "step_
 def mean_states(tokens: DataFrame, key: str = "sample_idx") -> DataFrame:
     """(key, layer, vec): mean over a sample's tokens, component by component.
 
-    Sums are kept per component with partial aggregation, so what is shuffled is one row
-    per (sample, layer, component) and task, whatever the number of tokens.
+    Tasks add vectors up before anything is shuffled, so that is a vector per sample, layer
+    and task, whatever the number of tokens; there is never a row per component.
     """
-    parts = tokens.select(key, "layer", F.posexplode("vec").alias("dim", "x"))
-    means = parts.groupBy(key, "layer", "dim").agg(F.avg("x").alias("m"))
-    packed = F.array_sort(F.collect_list(F.struct("dim", "m")))
-    return means.groupBy(key, "layer").agg(F.transform(packed, lambda d: d["m"].cast("float")).alias("vec"))
+    return mean_vectors(tokens, [key, "layer"])
 
 
 def pad_layers(states: DataFrame, samples: DataFrame, layers: int, width: int, key: str = "sample_idx", cut: bool = True) -> DataFrame:

@@ -2,83 +2,50 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.schemas import SAMPLE_KEY, TOKEN_STATES
-
-OUTPUT_COLUMNS = ["sample_id", "prompt", "generated_text", "extracted_answer", "max_probability", "perplexity", "entropy"]
-
+from millrace.operators import tensors
+from millrace.operators.store import VersionedTable, keep_last
+from millrace.schemas import SAMPLE_KEY
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+__all__ = ["OUTPUT_COLUMNS", "StateStore", "csr_pointers", "keep_last", "metadata_rows", "output_rows", "remaining", "resume_index", "stored", "upsert"]
 
+OUTPUT_COLUMNS = ["sample_id", "prompt", "generated_text", "extracted_answer", "max_probability", "perplexity", "entropy"]
 
-def swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a fully written table in the place of another; the old one goes last."""
-    jvm = spark.sparkContext._jvm
-    new, old, aside = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, path, f"{path}.old-{uuid.uuid4().hex}"))
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.rename(old, aside)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot move {staged} to {path}")
-    fs.delete(aside, True)
 
+def upsert(new: DataFrame, path: str, keys: list[str] | None = None, seq: str = "seq", order: list[str] | None = None, **how: object) -> None:
+    """Merge a batch into the table at ``path``, whose files are ranges of ``order`` (sample_id);
+    an empty batch changes nothing. ``how``: what ``VersionedTable`` takes besides."""
+    VersionedTable(new.sparkSession, path, order or ["sample_id"], **how).upsert(new, keys or SAMPLE_KEY, seq)
 
-def write_swapped(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside ``path``, then swap: ``df`` may read from ``path`` itself."""
-    staged = f"{path}.new-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    swap(df.sparkSession, staged, path)
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What upserts have made of the table at ``path``; None before the first."""
+    return VersionedTable(spark, path, ["sample_id"]).read()
 
-def keep_last(old: DataFrame | None, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Union by name; of each key the row of the newer table and, there, of the greatest ``seq``.
 
-    ``seq`` orders the rows of a batch and is not kept; a batch without it is in the order of
-    its rows, of which the later wins.
-    """
-    if seq not in new.columns:
-        new = new.withColumn(seq, F.monotonically_increasing_id())
-    fresh = new.withColumn("_gen", F.lit(1))
-    both = fresh if old is None else old.withColumn("_gen", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-    order = F.struct("_gen", F.coalesce(seq, F.lit(-1)).alias("s"))
-    columns = [c for c in both.columns if c not in ("_gen", seq)]
-    # max_by aggregates before the shuffle: a key that was written very often is one row a task.
-    picked = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row"))
-    return picked.select("_row.*")
-
-
-def upsert(new: DataFrame, path: str, keys: list[str] | None = None, seq: str = "seq") -> None:
-    """Merge a batch into the table at ``path``; an empty batch changes nothing."""
-    spark = new.sparkSession
-    if new.isEmpty():
-        return
-    old = spark.read.parquet(path) if exists(spark, path) else None
-    merged = keep_last(old, new, keys or SAMPLE_KEY, seq)
-    write_swapped(merged.repartitionByRange(F.col("sample_id")).sortWithinPartitions("sample_id"), path)
+def _with_order(processed: DataFrame) -> list[str]:
+    """The column that orders rows of one key, where there is one."""
+    return ["seq"] if "seq" in processed.columns else []
 
 
 def metadata_rows(processed: DataFrame) -> DataFrame:
-    """The 13 columns kept of each processed sample."""
+    """The 13 columns kept of each processed sample, and what orders rows of one sample."""
     return processed.select(
         "sample_id", "dataset", "language", "model", "question", "answer_gt", "answer_type", F.col("correct").alias("is_correct"),
-        F.col("generated_length").alias("answer_token_count"), "finish_reason", "generated_length", "prompt_length", "extracted_answer",
+        F.col("generated_length").alias("answer_token_count"), "finish_reason", "generated_length", "prompt_length", "extracted_answer", *_with_order(processed),
     )
 
 
 def output_rows(processed: DataFrame) -> DataFrame:
-    """The 7 columns of texts and metrics of each processed sample."""
-    return processed.select(*OUTPUT_COLUMNS)
+    """The 7 columns of texts and metrics of each processed sample, and what orders rows of one."""
+    return processed.select(*OUTPUT_COLUMNS, *_with_order(processed))
 
 
 class StateStore:
-    """Hidden states and sample status of a run, as appended Parquet tables.
+    """Hidden states and sample status of a run: packed chunks in versioned tables.
 
     Every write is an attempt with a number of its own. A sample's status is written after
     its states, so a status says that those of its attempt are whole; of several attempts
@@ -86,50 +53,68 @@ class StateStore:
     slices: a sample without tokens has no rows, and pointers are derived (``finalize``).
     """
 
-    TABLES = ("token_states", "mean_states", "prompt_last_states")
+    #: How each table's numbers are kept.
+    TABLES = {"token_states": "half", "mean_states": "single", "prompt_last_states": "single"}
     STATUS = "sample_idx long, sample_id long, valid boolean, error string, attempt long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def status(self) -> DataFrame:
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/{name}", ["sample_idx"])
+
+    def _rows(self, name: str, schema: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+        found = self.table(name).read(lo, hi)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
+    def status(self, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """The last status of each sample."""
-        rows = self.read("sample_status", self.STATUS)
+        rows = self._rows("sample_status", self.STATUS, lo, hi)
         last = F.max_by(F.struct(*rows.columns), "attempt").alias("_row")
         return rows.groupBy("sample_idx").agg(last).select("_row.*")
 
-    def states(self, name: str, schema: str) -> DataFrame:
-        """The states of the last attempt of each valid sample."""
-        done = self.status().where("valid").select("sample_idx", "attempt")
-        return self.read(name, f"{schema}, attempt long").join(done, ["sample_idx", "attempt"], "left_semi").drop("attempt")
+    def chunks(self, name: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+        """The chunks of the last attempt of each valid sample, of samples from ``lo`` to ``hi``."""
+        done = self.status(lo, hi).where("valid").select("sample_idx", "attempt")
+        return self._rows(name, f"{tensors.CHUNKS}, attempt long", lo, hi).join(done, ["sample_idx", "attempt"], "left_semi").drop("attempt")
+
+    def states(self, name: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+        """The states of the last attempt of each valid sample, a row a vector."""
+        rows = tensors.unpack(self.chunks(name, lo, hi))
+        return rows if name == "token_states" else rows.drop("token_idx")
+
+    def sample(self, name: str, sample_idx: int) -> np.ndarray:
+        """One sample's states as an array (token, layer, component)."""
+        return tensors.cube(self.chunks(name, sample_idx, sample_idx).collect())
 
     def remaining(self, samples: DataFrame) -> DataFrame:
         """Samples (by sample_idx) from the first one on that is not valid."""
         known = samples.select("sample_idx").join(self.status(), "sample_idx", "left")
         return remaining(samples, known)
 
-    def finalize(self) -> DataFrame:
-        """(sample_idx, ptr) over the token states, written beside them."""
-        counts = self.states("token_states", TOKEN_STATES).where("layer = 0").groupBy("sample_idx").agg(F.count("*").alias("n"))
-        write_swapped(csr_pointers(self.status(), counts), f"{self.path}/pointers")
-        return self.spark.read.parquet(f"{self.path}/pointers")
+    def pointers(self) -> DataFrame | None:
+        """What ``finalize`` wrote last."""
+        return self.table("pointers").read()
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        where = f"{self.path}/{name}"
-        return self.spark.read.schema(schema).parquet(where) if exists(self.spark, where) else self.spark.createDataFrame([], schema)
+    def finalize(self) -> DataFrame:
+        """(sample_idx, ptr) over the token states, from the chunks' sizes, written beside them."""
+        counts = self.chunks("token_states").groupBy("sample_idx").agg(F.sum("n_tokens").alias("n"))
+        ptr = csr_pointers(self.status(), counts)
+        self.table("pointers").overwrite(ptr.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx"))
+        return self.pointers()
 
     def save(self, status: DataFrame, **states: DataFrame) -> None:
         """Append states and then the status (sample_idx, sample_id, valid, and an error where it
         failed) of the samples of one attempt."""
         if unknown := set(states) - set(self.TABLES):
             raise ValueError(str(sorted(unknown)))
-        last = self.read("sample_status", self.STATUS).agg(F.max("attempt")).first()[0]
+        last = self._rows("sample_status", self.STATUS).agg(F.max("attempt")).first()[0]
         attempt = F.lit(0 if last is None else last + 1).cast("long")
         for name, df in states.items():
-            df.withColumn("attempt", attempt).write.mode("append").parquet(f"{self.path}/{name}")
+            self.table(name).append(tensors.pack(df, self.TABLES[name]).withColumn("attempt", attempt))
         error = F.col("error") if "error" in status.columns else F.lit(None).cast("string")
-        rows = status.select("sample_idx", "sample_id", "valid", error.alias("error"), attempt.alias("attempt"))
-        rows.write.mode("append").parquet(f"{self.path}/sample_status")
+        rows = status.select(F.col("sample_idx").cast("long"), F.col("sample_id").cast("long"), "valid", error.alias("error"), attempt.alias("attempt"))
+        self.table("sample_status").append(rows.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx"))
 
 
 def csr_pointers(status: DataFrame, counts: DataFrame, idx: str = "sample_idx", block: int = 65536) -> DataFrame:

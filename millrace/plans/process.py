@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.answers import add_labels
 from millrace.functions.metrics import finish_reason, generation_metrics
 from millrace.functions.prompts import render
+from millrace.operators.store import keep_last
 from millrace.schemas import GENERATIONS, SAMPLE_KEY
 
 #: An inference hook: batches of (model, dataset, language, sample_id, prompt) to GENERATIONS rows.
@@ -49,13 +50,16 @@ def isolated(one: Callable[[dict], dict]) -> InferenceHook:
     return hook
 
 
-def process(samples: DataFrame, generations: DataFrame, steps: DataFrame | None = None) -> DataFrame:
-    """Every generation with its sample, prompt, answer, label, metrics and finish reason; a row
-    with an error has nulls there. ``steps``: (sample key, logits, token), one row per step.
+def process(samples: DataFrame, generations: DataFrame, steps: DataFrame | None = None, seq: str = "seq") -> DataFrame:
+    """The last generation of each sample, with its sample, prompt, answer, label, metrics and finish
+    reason; a row with an error has nulls there. ``seq`` orders the generations of a sample;
+    without such a column the later row is the last. ``steps``: (sample key, logits, token), one row
+    per step.
     """
     key = ["dataset", "language", "sample_id"]
     ok = F.col("error").isNull()
-    rows = add_labels(generations.join(samples, key)).withColumns({
+    # Which generation is the last is settled before the join: after it, rows have no order.
+    rows = add_labels(keep_last(None, generations, SAMPLE_KEY, seq).join(samples, key)).withColumns({
         "prompt": render(F.col("dataset"), F.col("question"), F.col("answer_type"), F.col("language")),
         "extracted_answer": F.when(ok, F.col("extracted_answer")),
         "correct": F.when(ok, F.col("correct")),
@@ -66,3 +70,11 @@ def process(samples: DataFrame, generations: DataFrame, steps: DataFrame | None
         return rows.withColumns({"max_probability": F.lit(0.0), "perplexity": F.lit(float("inf")), "entropy": F.lit(0.0)})
     out = rows.join(generation_metrics(steps, SAMPLE_KEY), SAMPLE_KEY, "left")
     return out.fillna({"max_probability": 0.0, "perplexity": float("inf"), "entropy": 0.0})
+
+
+def require_states(generations: DataFrame, states: DataFrame, step_states: str = "step_states") -> DataFrame:
+    """Generations of which those that have tokens but no states are errors."""
+    there = states.where(F.size(step_states) > 0).select(*SAMPLE_KEY).distinct().withColumn("_there", F.lit(True))
+    lacking = F.col("error").isNull() & (F.coalesce(F.size("generated_token_ids"), F.lit(0)) > 0) & F.col("_there").isNull()
+    told = generations.join(there, SAMPLE_KEY, "left").withColumn("error", F.when(lacking, "hidden states are missing although there are tokens").otherwise(F.col("error")))
+    return told.drop("_there")

@@ -89,7 +89,8 @@ FROM {{documents}}""",
 SELECT CAST(floor(vec_id / 10) AS BIGINT) AS sample_id, CAST(vec_id % 10 AS BIGINT) AS step, embedding AS logits, CAST((vec_id * 11) % 70 AS BIGINT) AS token
 FROM {embeddings}""",
     "runs": """
-SELECT d.doc_id AS sample_idx, d.source AS model, d.lang AS dataset, l.doc_id IS NOT NULL AS processed, l.doc_id IS NULL AS error, coalesce(l.quality = 1, false) AS correct
+SELECT CASE WHEN d.doc_id % 50 = 7 THEN NULL ELSE d.doc_id END AS sample_idx, CASE WHEN d.doc_id % 50 = 7 THEN CAST(d.doc_id AS STRING) ELSE d.source END AS model,
+  CASE WHEN d.doc_id % 40 = 3 THEN NULL ELSE d.lang END AS dataset, l.doc_id IS NOT NULL AS processed, l.doc_id IS NULL AS error, coalesce(l.quality = 1, false) AS correct
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "status": """
 SELECT d.doc_id AS sample_idx, l.doc_id IS NOT NULL AS valid, CASE WHEN l.doc_id IS NOT NULL THEN CAST(d.doc_id % 5 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n
@@ -524,7 +525,7 @@ def accuracy_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.total_accuracy(R.accuracy(source(spark, sf_dir, "runs"), ["model", "dataset"])).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("running_accuracy", f"SELECT model, dataset, sample_idx, round(avg(CAST(correct AS DOUBLE)) OVER (PARTITION BY model, dataset ORDER BY sample_idx ROWS UNBOUNDED PRECEDING) * 100, 4) AS running_accuracy FROM {_r} WHERE processed")
+@query("running_accuracy", f"SELECT model, dataset, sample_idx, round(avg(CAST(correct AS DOUBLE)) OVER (PARTITION BY model, dataset ORDER BY sample_idx NULLS FIRST ROWS UNBOUNDED PRECEDING) * 100, 4) AS running_accuracy FROM {_r} WHERE processed")
 def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source(spark, sf_dir, "runs").where("processed")
     return R.running_accuracy(rows, ["model", "dataset"]).select("model", "dataset", "sample_idx", F.round("running_accuracy", 4).alias("running_accuracy"))

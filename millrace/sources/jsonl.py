@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import stringify_json
+from millrace.operators import files
 from millrace.operators.order import index_in_blocks
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> list[str]:
     """Names of the files of a folder that match, sorted."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(f"{path.rstrip('/')}/{glob}")
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    return sorted(f.getPath().getName() for f in found or ())
+    return [name for name, _ in files.listed(spark, path, glob)]
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", as_one: bool = False) -> DataFrame:
@@ -76,10 +74,8 @@ def parse_samples(lines: DataFrame, dataset: str, language: str = "en", max_samp
 
 def load_samples(spark: SparkSession, root: str, dataset: str, language: str = "en", max_samples: int | None = None) -> DataFrame:
     """Samples of ``root/dataset.jsonl``, a file or a folder of parts; ValueError if there is none."""
-    from millrace.operators.upsert import exists
-
     path = f"{root.rstrip('/')}/{dataset}.jsonl"
-    if not exists(spark, path):
+    if not files.exists(spark, path):
         raise ValueError(f"no dataset file at {path}")
     return parse_samples(read_lines(spark, path, "*", as_one=True), dataset, language, max_samples)
 

@@ -11,7 +11,7 @@ from millrace.operators import states as H
 from millrace.operators import upsert as U
 from millrace.plans import cli
 from millrace.plans.process import generate, isolated
-from millrace.schemas import GENERATIONS, LAYER_STATES, TOKEN_STATES
+from millrace.schemas import GENERATIONS, TOKEN_STATES
 from millrace.streaming.upserts import upsert_stream
 
 
@@ -63,7 +63,7 @@ def test_pointers_and_resume(spark):
 def test_upsert(spark, tmp_path):
     path, keys = str(tmp_path / "t"), ["sample_id"]
     batch = lambda *rows: spark.createDataFrame(rows, "sample_id long, v string, seq int")
-    read = lambda: [(r.sample_id, r.v) for r in spark.read.parquet(path).orderBy("sample_id").collect()]
+    read = lambda: [(r.sample_id, r.v) for r in U.stored(spark, path).orderBy("sample_id").collect()]
     U.upsert(batch((1, "a", 0), (2, "b", 1)), path, keys)
     second = batch((2, "c", 0), (0, "d", 1), (0, "e", 2))
     U.upsert(second, path, keys)
@@ -77,9 +77,9 @@ def test_upsert(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     store = U.StateStore(spark, str(tmp_path / "s"))
-    assert store.read("mean_states", "sample_idx long, layer int, vec array<float>").count() == 0
+    assert store.states("mean_states").count() == 0
     store.save(spark.createDataFrame([(0, 7, True)], "sample_idx long, sample_id long, valid boolean"), mean_states=spark.createDataFrame([(0, 0, [1.0])], "sample_idx long, layer int, vec array<float>"))
-    assert store.read("mean_states", "sample_idx long, layer int, vec array<float>").count() == 1
+    assert [tuple(r) for r in store.states("mean_states").collect()] == [(0, 0, [1.0])]
     with pytest.raises(ValueError, match="other"):
         store.save(spark.range(0), other=spark.range(1))
 
@@ -104,7 +104,7 @@ def test_store_keeps_the_last_attempt(spark, tmp_path):
     assert [r.sample_idx for r in store.remaining(samples).orderBy("sample_idx").collect()] == [1, 2]
     store.save(status((1, 11, True, None), (2, 12, True, None)), token_states=tokens((1, 0, 0, 3.0), (1, 0, 1, 4.0)))
     assert store.remaining(samples).count() == 0
-    assert sorted((r.sample_idx, r.vec[0]) for r in store.states("token_states", TOKEN_STATES).collect()) == [(0, 1.0), (0, 2.0), (1, 3.0), (1, 4.0)]
+    assert sorted((r.sample_idx, r.vec[0]) for r in store.states("token_states").collect()) == [(0, 1.0), (0, 2.0), (1, 3.0), (1, 4.0)]
     assert [r.ptr for r in store.finalize().orderBy("sample_idx").collect()] == [0, 2, 3, 3]
 
 
@@ -121,7 +121,7 @@ def test_rows_that_fail_alone(spark):
 
 def test_later_rows_of_a_batch_win(spark, tmp_path):
     U.upsert(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (1, "d")], "sample_id long, v string").coalesce(1), str(tmp_path / "t"), ["sample_id"])
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "d"), (2, "c")]
+    assert sorted(map(tuple, U.stored(spark, str(tmp_path / "t")).collect())) == [(1, "d"), (2, "c")]
 
 
 def test_running_accuracy_in_blocks(spark):
@@ -132,6 +132,7 @@ def test_running_accuracy_in_blocks(spark):
 
 
 def test_command_line(spark, tmp_path):
+    (tmp_path / "models" / "m").mkdir(parents=True)
     (tmp_path / "gsm8k.jsonl").write_text('{"question": "1+1?", "answer": "2"}\n{"question": "2+2?", "answer": "4"}\n{"question": "3+3?", "answer": "6"}\n')
     key = ("m", "gsm8k", "en")
     rows = [(*key, 0, 3, [5, 2], "Answer: 2", [2], 8, None), (*key, 1, 3, [5], "Answer: 5", [2], 8, None), (*key, 2, 3, None, None, [2], 8, "out of memory")]
@@ -141,7 +142,7 @@ def test_command_line(spark, tmp_path):
         spark.createDataFrame(data, GENERATIONS).write.parquet(str(tmp_path / name))
     spark.createDataFrame([(*key, i, s, [0.0, 0.0], 0) for i in range(3) for s in range(2)], f"{names}, step int, logits array<float>, token int").write.parquet(str(tmp_path / "steps"))
     spark.createDataFrame([(*key, i, [[[1.0 * i, 2.0]], [[3.0, 4.0]]], [[[5.0, 6.0]]]) for i in range(3)], f"{names}, step_states array<array<array<float>>>, prompt_states array<array<array<float>>>").write.parquet(str(tmp_path / "states"))
-    argv = lambda g, out: ["--data-root", str(tmp_path), "--generations", str(tmp_path / g), "--steps", str(tmp_path / "steps"), "--states", str(tmp_path / "states"), "--output-dir", str(tmp_path / out), "--models", "m", "--datasets", "gsm8k"]
+    argv = lambda g, out: ["--data-root", str(tmp_path), "--generations", str(tmp_path / g), "--steps", str(tmp_path / "steps"), "--states", str(tmp_path / "states"), "--output-dir", str(tmp_path / out), "--model-root", str(tmp_path / "models"), "--models", "m", "--datasets", "gsm8k"]
     got = cli.main(argv("g", "out"))
     assert got["models"]["m"]["datasets"]["gsm8k"] == {"n_samples": 3, "n_processed": 2, "n_correct": 1, "n_errors": 1, "accuracy": 0.5}
     # The resumed run starts at the failed sample: what is stored stays, the error goes.
@@ -152,18 +153,21 @@ def test_command_line(spark, tmp_path):
     assert whole["models"] == resumed["models"]
     run = {o: str(tmp_path / o / r["run_id"]) for o, r in (("out", got), ("out2", whole))}
     for table in ("metadata/gsm8k", "outputs/gsm8k"):
-        a, b = (sorted(map(str, spark.read.parquet(f"{run[o]}/{table}").collect())) for o in ("out", "out2"))
+        a, b = (sorted(map(str, U.stored(spark, f"{run[o]}/{table}").collect())) for o in ("out", "out2"))
         assert a == b
-    assert [tuple(r) for r in spark.read.parquet(f"{run['out']}/outputs/gsm8k").select("max_probability", "perplexity", "entropy").distinct().collect()] == [(0.5, 2.0, 1.0)]
+    assert [tuple(r) for r in U.stored(spark, f"{run['out']}/outputs/gsm8k").select("max_probability", "perplexity", "entropy").distinct().collect()] == [(0.5, 2.0, 1.0)]
     states = [U.StateStore(spark, f"{run[o]}/states/m/gsm8k") for o in ("out", "out2")]
-    for name, schema in (("token_states", TOKEN_STATES), ("mean_states", LAYER_STATES), ("prompt_last_states", LAYER_STATES)):
-        a, b = (sorted(map(str, s.states(name, schema).collect())) for s in states)
+    for name in U.StateStore.TABLES:
+        a, b = (sorted(map(str, s.states(name).collect())) for s in states)
         assert a == b
         assert a
-    assert [r.ptr for r in spark.read.parquet(f"{run['out']}/states/m/gsm8k/pointers").orderBy("sample_idx").collect()] == [0, 2, 4, 6]
+    assert [r.ptr for r in states[0].pointers().orderBy("sample_idx").collect()] == [0, 2, 4, 6]
     assert "gsm8k" in R.summary(whole)
     with pytest.raises(ValueError, match="no run to resume"):
         cli.main([*argv("g", "out"), "--resume", "--run-id", "none"])
+    for flag, name in (("--models", "n"), ("--datasets", "nothing")):
+        with pytest.raises(ValueError, match="unknown"):
+            cli.main([*argv("g", "out"), flag, name])
 
 
 def test_stream(spark, tmp_path):
@@ -173,4 +177,4 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         q = upsert_stream(spark, source, schema, target, marks, ["sample_id"])
         q.awaitTermination(120)
-    assert sorted((r.sample_id, r.v) for r in spark.read.parquet(target).collect()) == [(1, "b"), (2, "c")]
+    assert sorted((r.sample_id, r.v) for r in U.stored(spark, target).collect()) == [(1, "b"), (2, "c")]
