@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import stringify_json
 from millrace.operators import files
 from millrace.operators.order import index_in_blocks
+from millrace.sources.lines import readable, scan_lines
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> list[str]:
@@ -73,16 +74,22 @@ def parse_samples(lines: DataFrame, dataset: str, language: str = "en", max_samp
 
 
 def load_samples(spark: SparkSession, root: str, dataset: str, language: str = "en", max_samples: int | None = None) -> DataFrame:
-    """Samples of ``root/dataset.jsonl``, a file or a folder of parts; ValueError if there is none."""
+    """Samples of ``root/dataset.jsonl``, a file or a folder of parts; ValueError if there is none.
+    With ``max_samples`` no more is read than holds the first so many lines."""
     path = f"{root.rstrip('/')}/{dataset}.jsonl"
     if not files.exists(spark, path):
         raise ValueError(f"no dataset file at {path}")
-    return parse_samples(read_lines(spark, path, "*", as_one=True), dataset, language, max_samples)
+    if readable(path):
+        lines = scan_lines(spark, path, "*", as_one=True, head=max_samples or None)
+    else:
+        lines = read_lines(spark, path, "*", as_one=True)
+    return parse_samples(lines, dataset, language, max_samples)
 
 
-def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
+def write_jsonl(df: DataFrame, path: str, order: str | list[str] | None = None) -> None:
     """One JSON object per row, nulls left out, as a folder of parts whose names follow ``order``
     (dealt by range, so no task orders the whole); an empty table writes nothing."""
     if not df.isEmpty():
-        rows = df if order is None else df.repartitionByRange(order).sortWithinPartitions(order)
+        by = [order] if isinstance(order, str) else order
+        rows = df if by is None else df.repartitionByRange(*by).sortWithinPartitions(*by)
         rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
