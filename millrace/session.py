@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,14 @@ def session(app: str = "millrace", master: str | None = None, **more: str) -> Sp
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):  # noqa: ANN201
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the folder that driver and executors share (spark.checkpoint.dir); on a
+    single machine without one, in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="millrace-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

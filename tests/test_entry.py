@@ -10,7 +10,7 @@ import sys
 import duckdb
 import pytest
 
-from millrace.plans import queries as Q
+from millrace.plans import run_queries as Q
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
