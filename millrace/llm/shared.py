@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import files
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -47,15 +49,15 @@ def _stored(df: DataFrame, name: str, compression: str) -> tuple[DataFrame, str]
 
 
 class Scratch:
-    """Tables in the shared folder that are needed for a while only."""
+    """Tables in the shared folder that are needed for a while only. Meanwhile Spark deletes the shuffle
+    files of a query when it ends: what is read again is a table."""
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
-        self._collect()
-
-    def _collect(self) -> None:
-        """Shuffle files of finished jobs go when the driver's JVM collects the plans that made them."""
-        self.spark.sparkContext._jvm.System.gc()
+        self.before = spark.conf.get(self.CLEAN, "false")
+        spark.conf.set(self.CLEAN, "true")
 
     def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         out, path = _stored(df, name, compression)
@@ -64,12 +66,10 @@ class Scratch:
 
     def clear(self) -> None:
         """Delete the tables. What was made from them has to be stored by now."""
-        jvm = self.spark.sparkContext._jvm
         for path in self.paths:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            files.delete(self.spark, path)
         self.paths = []
-        self._collect()
+        self.spark.conf.set(self.CLEAN, self.before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,6 +35,9 @@ DENSE = 1 << 17
 LEAF = 192
 #: Texts with a hash in common above which not every two of them meet at once.
 MEET = 64
+#: How often hashes of many texts are looked for and put last; of these, how many go to every task;
+#: texts of one crowd, about, in a block.
+ROUNDS, CROWDED, CELL = 3, 1 << 20, 2048
 #: Texts that a task remembers.
 REMEMBERED = 1 << 17
 _UNITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -282,19 +285,31 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
 
 
-def _heads(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, hash, size, place) of the smallest hashes of every set: two sets of which each
-    holds ``similarity`` of the other have their smallest common hash among them."""
+def _heads(sets: list[np.ndarray], similarity: float, last: np.ndarray, wider: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, hash, size, place) of the first hashes of every set: two sets of which each holds
+    ``similarity`` of the other have their first common hash among them.
+
+    Any order of the hashes does, if it is one for all sets: here by value, but those in
+    ``last`` (ascending) after all others. ``wider`` takes so many times as many.
+    """
     size = np.array([len(x) for x in sets], np.int64)
     head = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    head = np.minimum(size, np.ceil(head * wider).astype(np.int64))
+    if not len(sets):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+    if len(last):
+        every = np.concatenate(sets)
+        late = last[np.minimum(np.searchsorted(last, every), len(last) - 1)] == every
+        order = np.argsort(np.repeat(np.arange(len(sets)) * 2, size) + late, kind="stable")
+        sets = np.split(every[order], np.cumsum(size)[:-1])
     at = np.repeat(np.arange(len(sets)), head)
     place = np.arange(len(at)) - np.repeat(np.cumsum(head) - head, head)
-    return at, np.concatenate([x[:k] for x, k in zip(sets, head, strict=True)]) if sets else np.zeros(0, np.uint64), size[at], place
+    return at, np.concatenate([x[:k] for x, k in zip(sets, head, strict=True)]), size[at], place
 
 
-def _group_pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (ordered by h and n) with the same hash, whose sizes, and whose hashes
-    from this one on, allow the similarity; with ``apart``, of different labels only."""
+def _group_pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, apart: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (ordered by h and n) with the same hash, whose sizes, and whose hashes from
+    this one on, allow the similarity; with different values in each array of ``apart``."""
     i = np.arange(len(h))
     for lag in range(1, len(h)):
         i = i[i + lag < len(h)]
@@ -305,20 +320,24 @@ def _group_pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: fl
         j = i + lag
         most = np.minimum(n[i] - place[i], n[j] - place[j])
         open_ = most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
-        if apart is not None:
-            open_ &= apart[i] != apart[j]
+        for label in apart:
+            open_ &= label[i] != label[j]
         yield i[open_], j[open_]
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches ordered by column h, cut where h changes."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("h",)) -> Iterator[pa.Table]:
+    """Batches ordered by some columns, cut where these change."""
     left: list[pa.RecordBatch] = []
     for b in batches:
-        h = b.column("h").to_numpy()
-        if not len(h):
+        keys = [b.column(c).to_numpy() for c in by]
+        if not b.num_rows:
             continue
-        cut = int(np.searchsorted(h, h[-1]))
-        if cut or (left and left[-1].column("h")[0].as_py() != h[0].item()):
+        changes = np.zeros(b.num_rows - 1, bool)
+        for k in keys:
+            changes |= k[1:] != k[:-1]
+        at = np.flatnonzero(changes)
+        cut = int(at[-1]) + 1 if len(at) else 0
+        if cut or (left and any(left[-1].column(c)[0].as_py() != k[0].item() for c, k in zip(by, keys, strict=True))):
             yield pa.Table.from_batches([*left, b.slice(0, cut)])
             left = []
         left.append(b.slice(cut))
@@ -400,88 +419,166 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("ra <> rb").select("a", "b")
 
 
-def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """((key, id) of every row, (key, root) of every distinct text).
-
-    Texts link when their sets of ``width``-word shingles are at least ``similarity`` alike.
-    Every such pair shares a hash among the first of both sets, so texts meet by those
-    hashes and no pair is lost; whole sets decide. Where more than MEET texts share a hash,
-    they first meet one of them only, and then those of other components.
-    """
+def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(key, set, counts) of texts: the digest of a text, its shingle hashes in order, and how many of
+    them end in each byte. A text is there once a task or so."""
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
             rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 # A copy of a text need not be done again; other tasks may have one, which does no harm.
                 if key in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(key)
-                h = shingle_hashes(text, width).astype("<u8")
+                h = shingle_hashes(value, width).astype("<u8")
                 rows.append((key, h.tobytes(), _counts(h)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["key", "set", "counts"])
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(text_digest(value).alias("key"), value.cast("binary").alias("text"))
+    return texts.mapInArrow(run, "key binary, set binary, counts binary")
+
+
+def _first_hashes(sets: DataFrame, similarity: float, crowded: DataFrame | None, few: np.ndarray, wider: float = 1.0) -> DataFrame:
+    """(h, id, n, place) of the first hashes of each set, those in ``few``, or in the table ``crowded``
+    where they are too many to send to the tasks, after all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, h, n, place = _heads([np.frombuffer(x, "<u8") for x in b.column("set").to_pylist()], similarity)
+            sets = [np.frombuffer(x, "<u8") for x in b.column("set").to_pylist()]
+            last = few
+            if "late" in b.schema.names:
+                late = [x for own in b.column("late").to_pylist() for x in own or ()]
+                last = np.unique(np.array(late, np.int64).view(np.uint64))
+            at, h, n, place = _heads(sets, similarity, last, wider)
             ids = b.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[at]), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "id", "n", "place"])
 
-    names = ["h", "a", "b", "n", "place"]
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x, "<i8") for x in b.column("set").to_pylist()]
+            ids = np.repeat(b.column("id").to_numpy(), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(ids)], names=["h", "id"])
+
+    own = sets.select("id", "set")
+    if crowded is not None:
+        late = own.mapInArrow(every, "h long, id long").join(crowded, "h").groupBy("id").agg(F.collect_set("h").alias("late"))
+        own = own.join(late, "id", "left")
+    return own.mapInArrow(run, "h long, id long, n int, place int")
+
+
+def _crowds(sets: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, np.ndarray]:
+    """(hashes that more than MEET texts have among their first, and which hashes go after all others:
+    a table or, where they are few, an array).
+
+    A hash that many texts share, of a passage that is quoted everywhere say, tells nothing
+    about any two of them. It goes to the end of the order, so texts meet by rarer ones; others may
+    come to the front by that and be crowded, so it is done a few times.
+    """
+    last, late, few = None, None, np.zeros(0, np.uint64)
+    for turn in range(ROUNDS):
+        first = _first_hashes(sets, similarity, late, few, 1.5 if turn < ROUNDS - 1 else 1.0)
+        found = scratch.table(first.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > MEET).select("h"), "crowded")
+        if turn == ROUNDS - 1:
+            return found, late, few
+        fresh = found if last is None else found.join(last, "h", "left_anti")
+        if fresh.isEmpty() and turn:
+            return found, late, few
+        last = found if last is None else scratch.table(last.union(fresh), "crowded")
+        many = last.count() > CROWDED
+        late, few = (last, np.zeros(0, np.uint64)) if many else (None, np.sort(last.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+    raise AssertionError
+
+
+def _meet(first: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that share one of their first hashes. No hash may be crowded."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_groups(batches):
             h, ids, n, place = _distinct(*_columns(group, "h", "id", "n", "place"))
-            first, start, count = np.unique(h, return_index=True, return_counts=True)
-            many = np.repeat(count > MEET, count)
-            few = np.nonzero(~many & np.repeat(count > 1, count))[0]
-            for i, j in _group_pairs(h[few], n[few], place[few], similarity):
-                yield _meeting(None, ids[few[i]], ids[few[j]])
-            # The text of the median size stands for the group; the members are kept for later.
-            lead = np.repeat(ids[start + count // 2], count)[many]
-            if many.any():
-                yield _meeting(None, ids[many], lead)
-                yield _meeting(h[many], ids[many], ids[many], n[many], place[many])
-
-    def _meeting(h, a, b, n=None, place=None) -> pa.RecordBatch:  # noqa: ANN001
-        none = lambda kind: pa.nulls(len(a), kind)
-        columns = [none(pa.int64()) if h is None else pa.array(h), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none(pa.int32()) if n is None else pa.array(n), none(pa.int32()) if place is None else pa.array(place)]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches):
-            label = np.unique(group.column("root").combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            h, ids, n, place, label = _distinct(*_columns(group, "h", "id", "n", "place"), label)
-            for i, j in _group_pairs(h, n, place, similarity, label):
+            for i, j in _group_pairs(h, n, place, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
+    return first.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long")
+
+
+def _meet_one(crowd: DataFrame) -> DataFrame:
+    """Pairs of each text of a crowd with one of about its size there: most groups are one
+    component by that."""
+    sized = crowd.withColumn("size", F.floor(F.log(F.col("n").cast("double")) * 8))
+    lead = sized.groupBy("h", "size").agg(F.min("id").alias("lead"))
+    met = sized.join(lead, ["h", "size"]).where("id <> lead")
+    return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+
+
+def _meet_crowd(crowd: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of texts of a crowd that are of different components and that sizes, places and counts of
+    hashes allow.
+
+    A crowd is cut into blocks by its texts' ids, and two blocks meet in a task, so a task holds two
+    blocks, however large the crowd. Nothing is sent on before all bounds are applied.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, ("h", "cell")):
+            h, cell, ids, n, place, block = _columns(group, "h", "cell", "id", "n", "place", "block")
+            label = np.unique(group.column("root").combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            counts = group.column("counts").to_pylist()
+            # A block that meets itself: every text is a block of its own.
+            block = np.where(group.column("own").to_numpy(), np.arange(len(h)), -1 - block)
+            g = np.cumsum(np.r_[0, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])
+            for i, j in _group_pairs(g, n, place, similarity, (label, block, ids)):
+                for k in range(0, len(i), 4096):
+                    p, q = i[k : k + 4096], j[k : k + 4096]
+                    ok = _may_be_alike([counts[x] for x in p], [counts[x] for x in q], similarity)
+                    p, q = ids[p[ok]], ids[q[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    rooted = crowd.join(_roots_by_id(roots), "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("string").cast("binary")))
+    # Crowds that are one component by now have nothing to compare.
+    open_ = rooted.groupBy("h").agg((F.min("root") < F.max("root")).alias("open"), F.ceil(F.count("*") / CELL).alias("k")).where("open").select("h", "k")
+    own = rooted.join(open_, "h").join(sets.select("id", "counts").dropDuplicates(["id"]), "id")
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")))
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.struct((F.least("block", j) * F.col("k") + F.greatest("block", j)).alias("cell"), (F.col("block") == j).alias("own"))))
+    dealt = own.withColumn("pair", pair).select("h", "pair.cell", "pair.own", "id", "n", "place", "block", "root", "counts")
+    return dealt.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "id").mapInArrow(run, "a long, b long")
+
+
+def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """((key, id) of every row, (key, root) of every distinct text).
+
+    Texts link when their sets of ``width``-word shingles are at least ``similarity`` alike.
+    Every such pair shares a hash among the first of both sets, in an order that puts hashes of many
+    texts last; so texts meet by those hashes and no pair is lost; whole sets decide. Where more
+    than MEET texts still share a hash, they first meet one of them only, and then those of other
+    components.
+    """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = materialize(docs.select(text_digest(value).alias("key"), F.col(id_col).alias("id")), "rows")
-    texts = docs.select(text_digest(value).alias("key"), value.cast("binary").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    sets = scratch.table(texts.mapInArrow(whole, "key binary, set binary, counts binary"), "sets")
+    sets = scratch.table(_sets(docs, text, width), "sets")
     # Candidates go by a 64-bit digest of the key.
     sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts")
-    by_hash = sets.select("id", "set").mapInArrow(heads, "h long, id long, n int, place int").repartition("h").sortWithinPartitions("h", "n", "id")
-    met = scratch.table(by_hash.mapInArrow(meet, "h long, a long, b long, n int, place int"), "met")
-    near = scratch.table(_likely(met.where("h IS NULL AND a <> b").select("a", "b").distinct(), sets, similarity).distinct(), "likely")
+    crowded, late, few = _crowds(sets, similarity, scratch)
+    first = _first_hashes(sets, similarity, late, few)
+    # Copies of a text in several tasks are one text.
+    crowd = scratch.table(first.join(crowded, "h", "left_semi").distinct(), "crowd")
+    met = _meet(first.join(crowded, "h", "left_anti"), similarity).union(_meet_one(crowd)).where("a <> b").distinct()
+    near = scratch.table(_likely(scratch.table(met, "met"), sets, similarity), "likely")
     # Each text first meets the smallest it may be like, which joins most groups; then only
     # pairs of different components are left to be compared.
     edges = _alike(scratch.table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"), sets, similarity, scratch)
     rest = scratch.table(_apart(near, scratch.table(components(edges), "roots")), "rest")
     edges = scratch.table(edges.union(_alike(rest, sets, similarity, scratch)), "edges")
     roots = scratch.table(components(edges), "roots")
-    crowd = met.where("h IS NOT NULL").select("h", F.col("a").alias("id"), "n", "place")
-    if crowd.limit(1).count():
-        crowd = crowd.join(_roots_by_id(roots), "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("string").cast("binary")))
-        # Groups that are one component by now have nothing to compare.
-        split = crowd.groupBy("h").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("h")
-        again = crowd.join(split, "h").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(meet_again, "a long, b long")
-        more = _alike(scratch.table(_likely(again.distinct(), sets, similarity).distinct(), "likely"), sets, similarity, scratch)
-        if more.limit(1).count():
+    if not crowd.isEmpty():
+        again = scratch.table(_meet_crowd(crowd, sets, roots, similarity).distinct(), "again")
+        more = _alike(again, sets, similarity, scratch)
+        if not more.isEmpty():
             roots = scratch.table(components(edges.union(more)), "roots")
     keys = sets.select("key").distinct()
     named = keys.join(roots, keys.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"))

@@ -171,3 +171,63 @@ def test_no_near_copy_is_lost(spark, docs, monkeypatch):
     want = groups(len(rows), lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
     assert len(set(want[600:])) > 5
     assert len({(g, root[i]) for i, g in enumerate(want)}) == len(set(want)) == len(set(root.values()))
+
+
+def links_found(docs, rows):
+    keys, named = S.near_copy_classes(docs(*rows))
+    root = {x.id: x.root for x in keys.join(named, "key").collect()}
+    return [root[i] for i, _ in rows]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_a_passage_in_many_texts_makes_no_pairs_of_them(spark, docs, monkeypatch, sent):
+    monkeypatch.setattr(S, "CROWDED", sent)
+    r, own = random.Random(11), lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage, made = own(5), []
+    # A passage whose hash comes before nearly all others.
+    for _ in range(3000):
+        p = own(5)
+        if S.shingle_hashes(" ".join(p).encode(), 5)[0] < S.shingle_hashes(" ".join(passage).encode(), 5)[0]:
+            passage = p
+    rows = [(i, " ".join([*own(30), *passage, *own(30)])) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " more words") for i in range(40)]
+    meet, crowd = S._meet, S._meet_crowd
+    monkeypatch.setattr(S, "_meet", lambda *a: made.append(meet(*a)) or made[-1])
+    monkeypatch.setattr(S, "_meet_crowd", lambda *a: made.append(crowd(*a)) or made[-1])
+    counted = []
+    alike = S._alike
+    monkeypatch.setattr(S, "_alike", lambda pairs, *a: counted.append(sum(m.count() for m in made)) or alike(pairs, *a))
+    got = links_found(docs, rows)
+    assert max(counted) < 20_000
+    assert len(set(got)) == 2000 and all(got[i] == got[2000 + i] for i in range(40))
+
+
+def test_crowds_in_blocks_lose_no_pair(spark, docs, monkeypatch):
+    for name, value in (("MEET", 3), ("CELL", 7), ("ROUNDS", 2)):
+        monkeypatch.setattr(S, name, value)
+    r = random.Random(12)
+    common = [[f"c{k}_{i}" for i in range(40)] for k in range(6)]
+    rows = []
+    for i in range(150):  # texts made of passages that many share, so hashes stay crowded
+        parts = r.sample(range(6), 3)
+        t = [w for k in parts for w in common[k]]
+        for _ in range(r.randint(0, 2)):
+            t[r.randrange(len(t))] = f"x{r.randrange(50)}"
+        rows.append((i, " ".join(t)))
+    got = links_found(docs, rows)
+    sets = shingle_sets(rows)
+    want = groups(len(rows), lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    assert len({(g, x) for g, x in zip(want, got, strict=True)}) == len(set(want)) == len(set(got))
+
+
+def test_any_order_of_hashes_keeps_a_common_one():
+    r = np.random.default_rng(13)
+    for _ in range(300):
+        base = np.unique(r.integers(0, 1 << 63, r.integers(1, 60), dtype=np.uint64))
+        other = np.unique(np.concatenate([base[r.random(len(base)) < 0.9], r.integers(0, 1 << 63, r.integers(0, 6), dtype=np.uint64)]))
+        if not len(other) or 10 * len(np.intersect1d(base, other)) < 8 * len(np.union1d(base, other)):
+            continue
+        last = np.sort(r.choice(base, r.integers(0, len(base) + 1), replace=False))
+        at, h, _, place = S._heads([base, other], 0.8, last)
+        assert set(h[at == 0].tolist()) & set(h[at == 1].tolist())
+        assert (place[at == 0] == np.arange((at == 0).sum())).all()
