@@ -14,6 +14,12 @@ stand in the texts that hold that entity.
 
 Only entities and terms of ``support`` documents are paired, and only where
 n(t) <= n(e)^g N^(1-g) with g = ``generalise``: as n(e,t) <= n(e), no other term reaches g.
+Entities of the same texts are one class, and so are terms of the same texts and number; classes
+are paired, so a text of many addresses and words is not their product.
+
+``support`` is a part of the definition: a term that met an entity once discloses all by
+the formula, as would any other word of that text. An entity that all documents hold has nothing
+to disclose.
 
 Defined results: a null text is empty; every row counts as a document, repeated ones
 too; equal texts get equal spans; an empty table gives no rows; other columns are kept,
@@ -73,6 +79,13 @@ def entities(text: Column) -> Column:
     )
 
 
+def classed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (k, name, ...), each (k, name) once, with a class of two columns: equal for values that have
+    the same set of k, by 128 bits."""
+    one, two = F.bit_xor(F.xxhash64("k")).alias(f"{name}_1"), F.bit_xor(F.xxhash64(F.lit(name), "k")).alias(f"{name}_2")
+    return rows.join(rows.groupBy(name).agg(one, two), name)
+
+
 def scan_pii(docs: DataFrame, text: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95, into: str = "pii") -> DataFrame:
     """``docs`` without the text, and with ``into``: array of (kind, start, end) in code
     points by kind and start, base ones and disclosing terms."""
@@ -88,7 +101,8 @@ def scan_pii(docs: DataFrame, text: str = "text", support: int = 3, generalise:
     texts = scanned.where(F.size(ents) > 0).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("times"), F.first(names).alias("names"))
     held = texts.select("k", "times", F.explode("names").alias("entity"))
     holds = held.groupBy("entity").agg(F.sum("times").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < total))
-    held = materialize(held.join(holds, "entity"), "held")
+    held = classed(materialize(held.join(holds, "entity"), "held"), "entity").select("k", "times", "entity_1", "entity_2", "n_e").distinct()
+    held = materialize(held, "held-classes")
     bound = lambda n: F.pow(n.cast("double"), F.lit(generalise)) * float(total) ** (1 - generalise) * (1 + 1e-9)
     most = held.agg(F.max("n_e")).first()[0] or 0
 
@@ -98,12 +112,15 @@ def scan_pii(docs: DataFrame, text: str = "text", support: int = 3, generalise:
     # One row a text that holds a counted entity.
     whole = scanned.where(F.size(ents) > 0).select(F.col(key).alias("k"), F.col(held_text).alias("t")).join(held.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
     used = materialize(whole.select("k", F.explode(terms_of(F.col("t"))).alias("term")).join(spread, "term"), "used")
-    near = held.join(used, "k").where(F.col("n_t") <= bound(F.col("n_e")))
-    pairs = near.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("times").alias("n_et")).where(F.col("n_et") >= support)
+    used = materialize(classed(used, "term"), "used-classes")
+    pair = ["entity_1", "entity_2", "n_e", "term_1", "term_2", "n_t"]
+    near = held.join(used.select("k", "term_1", "term_2", "n_t").distinct(), "k").where(F.col("n_t") <= bound(F.col("n_e")))
+    pairs = near.groupBy(*pair).agg(F.sum("times").alias("n_et")).where(F.col("n_et") >= support)
     told = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-    strong = materialize(pairs.withColumn("told", told).where(F.col("told") >= generalise).select("entity", "term", "told"), "strong")
-    hits = held.select("k", "entity").join(strong, "entity").join(used.select("k", "term"), ["k", "term"]).groupBy("k", "term").agg(F.max("told").alias("told"))
-    hits = materialize(hits, "hits")
+    strong = materialize(pairs.withColumn("told", told).where(F.col("told") >= generalise).select(*pair, "told"), "strong")
+    # Which terms of a text a class of its entities tells of.
+    of_text = held.join(strong, pair[:3]).select("k", *pair[3:], "told").join(used, ["k", *pair[3:]])
+    hits = materialize(of_text.groupBy("k", "term").agg(F.max("told").alias("told")), "hits")
 
     # A word starts after all gaps and words before it.
     told_texts = whole.join(hits.select("k").distinct(), "k", "left_semi")

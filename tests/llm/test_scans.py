@@ -1,11 +1,14 @@
 """Secret and personal-data scans, and line dedup."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from millrace.llm import lines as L
@@ -99,6 +102,64 @@ def test_terms_far_from_the_entity_disclose(docs):
     assert all(out[10 + i] == [] for i in range(60))
 
 
+def slow_terms(rows, support=3, generalise=0.8, remove=0.95):
+    """The definition in the module's head: {id: spans}, every entity with every term."""
+    texts = [t or "" for _, t in rows]
+    ents = [{f"{k}:{t[a:b].lower()}" for k, a, b in base_pii(t)} for t in texts]
+    words = [[(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+", t)] for t in texts]
+    total, n_e, n_t, n_et = len(rows), Counter(), Counter(), Counter()
+    for e, w in zip(ents, words, strict=True):
+        terms = {x for x, _, _ in w}
+        n_e.update(e)
+        n_t.update(terms)
+        n_et.update((x, y) for x in e for y in terms)
+    out = []
+    for t, e, w in zip(texts, ents, words, strict=True):
+        base, spans = base_pii(t), []
+        told = {}
+        for x in e:
+            if not support <= n_e[x] < total:
+                continue
+            for y in {y for y, _, _ in w}:
+                if n_et[x, y] >= support:
+                    told[y] = max(told.get(y, 0), math.log2(total * n_et[x, y] / (n_e[x] * n_t[y])) / math.log2(total / n_e[x]))
+        for y, a, b in w:
+            if told.get(y, 0) >= generalise and not any(p < b and a < q for _, p, q in base):
+                spans.append(("removed" if told[y] >= remove else "term", a, b))
+        out.append(spans)
+    return out
+
+
+def test_terms_like_the_plain_version(docs):
+    r = random.Random(21)
+    names, places = [f"name{chr(97 + i)}" for i in range(12)], ["harbour", "office", "market", "station", "bridge"]
+    rows = []
+    for i in range(160):
+        who = r.sample(range(12), r.choice([0, 0, 1, 2]))
+        parts = [f"{names[k]} writes to {names[k]}@mail{k % 3}.org from the {places[(k + r.randrange(3)) % 5]}" for k in who]
+        parts += [f"about the {r.choice(places)} and {names[r.randrange(12)] if r.random() < 0.1 else 'others'}"] * r.randint(1, 3)
+        r.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(200, rows[5][1]), (201, rows[5][1]), (202, None), (203, "")]
+    out = {x.doc_id: [(s.kind, s.start, s.end) for s in x.pii if s.kind not in P.BASE] for x in P.scan_pii(docs(*rows)).collect()}
+    want = slow_terms(rows)
+    assert sum(map(len, want)) > 100
+    assert [sorted(out[i]) for i, _ in rows] == [sorted(w) for w in want]
+
+
+def test_many_addresses_and_words_are_not_multiplied(docs, monkeypatch):
+    r, written = random.Random(22), {}
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    archive = " ".join(f"{word()}@x{i}.org {' '.join(word() for _ in range(5))}" for i in range(400))
+    rows = [(i, archive) for i in range(3)] + [(10 + i, f"other text {word()}") for i in range(60)]
+    real = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name, *a: written.setdefault(name, real(df, name, *a)))
+    out = {x.doc_id: x.pii for x in P.scan_pii(docs(*rows)).collect()}
+    terms = written["hits"].count()
+    assert terms >= 2000 and written["strong"].count() < 10 and written["held-classes"].count() == 1
+    assert sum(s.kind == "removed" for s in out[0]) > 1900
+
+
 def test_redact(spark):
     df = spark.createDataFrame([("ab\U0001f600cdef", [("x", 1, 3), ("y", 2, 4), ("z", 5, 6)]), ("q", [])], f"t string, s {native.SPAN}")
     assert [r[0] for r in df.select(native.redact(F.col("t"), F.col("s"))).collect()] == ["a[x]d[z]f", "q"]
