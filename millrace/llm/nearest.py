@@ -6,12 +6,15 @@ difference of two random vectors. Every vector is indexed by its leaf in every t
 query descends all trees through one shared priority queue, nearest boundary first,
 until the leaves it has reached hold ``share`` of the sample, and at least ``least``
 vectors where the sample is the table; as the order of that queue is the order of a
-leaf's farthest boundary, the leaves are found for many queries at once.
+leaf's farthest boundary, the leaves are found for many queries at once. The share is
+fitted to the table: PROBES vectors of the sample are searched in it by brute force, and
+the share is what the queue has to hold to reach ``recall`` of their neighbours. Vectors with
+structure need little of the table, directions at random most of it.
 
 Vectors are dealt into blocks by a hash of their id, queries into chunks; each (block,
-chunk) is a task. For every leaf it ranks the block's vectors in that leaf against the
-queries that reached it by one product of the original vectors; the best of each block
-meet in a window per query. Inner products become angles in the trees by one added
+chunk) is a task. It takes queries of a leaf together and scores the vectors that they reached,
+a vector and a query once: by a product for each query, or, where queries reach much of the
+block, by one for all. The best of each block meet in a window per query. Inner products become angles in the trees by one added
 component that makes all vectors equally long.
 
 Equal vectors are kept once with their ``k + 1`` smallest ids, which is all that can ever
@@ -37,11 +40,14 @@ from millrace.llm.shared import hash_sample, materialize, table
 
 #: Trees, rows of a leaf at most, and rows of which the planes are fitted.
 TREES, LEAF, SAMPLE_ROWS = 16, 64, 8192
-#: Share of the rows, and least number of them, with which a query is compared.
-SHARE, LEAST = 0.55, 4096
+#: Share of neighbours that the queue shall reach, by vectors of the sample that are searched to fit
+#: that; least number of rows with which a query is compared.
+RECALL, PROBES, LEAST = 0.95, 256, 512
 BLOCK_ROWS, CHUNK_ROWS = 8192, 8192
-#: Queries that a task scores at once.
-AT_ONCE = 512
+#: Queries that a task places, and scores, at once.
+AT_ONCE, TOGETHER = 512, 64
+#: Share of a block's vectors below which queries are scored one by one.
+SPARSE = 0.25
 
 
 class Forest:
@@ -122,29 +128,53 @@ def longer(rows: np.ndarray, longest: float) -> np.ndarray:
     return np.c_[rows, np.sqrt(np.maximum(longest**2 - (rows**2).sum(1), 0))]
 
 
-def scores(rows: np.ndarray, placed: np.ndarray, queries: np.ndarray, reached: np.ndarray) -> np.ndarray:
-    """Products of queries and the rows in leaves that they reached; -inf elsewhere."""
-    out = np.full((len(queries), len(rows)), -np.inf)
+def scores(rows: np.ndarray, placed: np.ndarray, queries: np.ndarray, reached: np.ndarray) -> tuple[np.ndarray, int]:
+    """Products of queries and the rows in leaves that they reached, -inf elsewhere; and how many
+    products were made."""
+    found, by_leaf = np.zeros((len(rows), len(queries)), bool), np.ascontiguousarray(reached.T)
     for own in placed:
-        order = np.argsort(own, kind="stable")
-        leaf, start = np.unique(own[order], return_index=True)
-        for n, a, b in zip(leaf.tolist(), start.tolist(), [*start[1:].tolist(), len(own)], strict=True):
-            q = np.nonzero(reached[:, n])[0]
-            if len(q):
-                out[q[:, None], order[a:b]] = queries[q] @ rows[order[a:b]].T
-    return out
+        found |= by_leaf[own]
+    out = np.full((len(queries), len(rows)), -np.inf)
+    if found.mean() < SPARSE:  # each query has few rows, and others than its neighbours
+        for i, own in enumerate(found.T):
+            out[i, own] = rows[own] @ queries[i]
+        return out, int(found.sum())
+    some = np.flatnonzero(found.any(axis=1))
+    out[:, some] = np.where(found[some].T, queries @ rows[some].T, -np.inf)
+    return out, len(some) * len(queries)
+
+
+def fitted_share(forest: Forest, sample: np.ndarray, placed: np.ndarray, k: int, recall: float) -> float:
+    """The share of the sample that the queue has to hold to reach ``recall`` of the ``k`` nearest others
+    of some of its vectors. ``k`` neighbours in the table are fewer in a sample of it."""
+    probes = sample[:PROBES].copy()
+    probes[:, -1] = 0
+    near = probes[:, :-1] @ sample[:, :-1].T
+    near[np.arange(len(probes)), np.arange(len(probes))] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1.0
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    needed = np.empty(best.shape)
+    for i, bounds in enumerate(forest.bounds(probes)):
+        first = bounds[placed].min(axis=0)
+        needed[i] = np.searchsorted(np.sort(first), first[best[i]], side="right") / len(sample)
+    return float(np.quantile(needed, recall))
 
 
 def search_block(forest: Forest, ids: list[list[int]], rows: np.ndarray, longest: float, query_ids: np.ndarray, queries: np.ndarray, reached: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query id, id, score) of the best ``k`` found in a block for each query."""
     placed, out = forest.place(longer(rows, longest)), []
-    for b in range(0, len(queries), AT_ONCE):
-        part = queries[b : b + AT_ONCE]
-        all_scores = scores(rows, placed, part, reached[b : b + AT_ONCE])
+    # Queries of one leaf reach much the same leaves.
+    order = np.argsort(forest.place(np.c_[queries, np.zeros(len(queries))])[0], kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        some = order[at : at + TOGETHER]
+        part = queries[some]
+        all_scores, _ = scores(rows, placed, part, reached[some])
         # One more than k, as the query itself may be among them; ties at the border stay.
         border = np.partition(all_scores, -k - 1, axis=1)[:, -k - 1] if len(rows) > k + 1 else np.full(len(part), -np.inf)
         slack = 1e-12 * longest * np.linalg.norm(part, axis=1)
-        for q, v, own, least in zip(query_ids[b : b + AT_ONCE].tolist(), part, all_scores, border - slack, strict=True):
+        for q, v, own, least in zip(query_ids[some].tolist(), part, all_scores, border - slack, strict=True):
             found = np.nonzero((own >= least) & (own > -np.inf))[0]
             exact = np.einsum("ij,j->i", rows[found], v).tolist()
             near = [(-s, i) for f, s in zip(found.tolist(), exact, strict=True) for i in ids[f] if i != q]
@@ -164,9 +194,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, share: float | None = None, least: int = LEAST, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id, score): for each row that ``is_query`` (an expression over the column
-    "id") its ``k`` nearest others by inner product, as far as found."""
+    "id") its ``k`` nearest others by inner product, as far as found. Without a ``share`` it is
+    fitted for ``recall``."""
     spark = vectors.sparkSession
     good = usable(vectors, id_col, vector)
     schema = "query_id long, rank int, id long, score double"
@@ -182,7 +213,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     sample = longer(np.array([r.v for r in hash_sample(rows.select("v"), "v", n, SAMPLE_ROWS).collect()]), longest)
     forest = Forest(sample)
     placed = forest.place(sample)
-    wanted = int(np.ceil(max(share * len(sample), least * len(sample) / n)))
+    share = fitted_share(forest, sample, placed, -(-k * len(sample) // n), recall) if share is None else share
+    wanted = min(len(sample), int(np.ceil(max(share * len(sample), least * len(sample) / n))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

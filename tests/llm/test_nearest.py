@@ -46,7 +46,7 @@ def test_recall_of_a_small_share(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     truth = brute(rows, range(0, 2000, 20), 10)
     got = {}
-    for g in N.nearest(df, F.col("id") % 20 == 0, k=10, share=0.2, least=0).collect():
+    for g in N.nearest(df, F.col("id") % 20 == 0, k=10, least=0).collect():
         got.setdefault(g.query_id, set()).add(g.id)
     assert np.mean([len(got[q] & {i for _, i in t}) / 10 for q, t in truth.items()]) >= 0.9
 
@@ -106,3 +106,50 @@ def test_query_recall_on_the_table(spark):
     for r in N.op6_nearest(spark, sf).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {i for _, i in t}) / 20 for q, t in truth.items()]) >= 0.9
+
+
+def searched(x, k=20, every=20):
+    """(recall, products made as a share of all) of the trees over a matrix, in blocks."""
+    r = np.random.default_rng(0)
+    longest = np.sqrt((x**2).sum(1).max())
+    sample = N.longer(x[r.permutation(len(x))[: N.SAMPLE_ROWS]], longest)
+    forest = N.Forest(sample)
+    placed = forest.place(sample)
+    share = N.fitted_share(forest, sample, placed, -(-k * len(sample) // len(x)), N.RECALL)
+    wanted = min(len(sample), int(np.ceil(max(share * len(sample), N.LEAST * len(sample) / len(x)))))
+    at = np.arange(0, len(x), every)[:400]
+    queries = x[at]
+    reached = forest.reached(np.c_[queries, np.zeros(len(at))], placed, wanted)
+    order = np.argsort(forest.place(np.c_[queries, np.zeros(len(at))])[0], kind="stable")
+    best, made = [[] for _ in at], 0
+    for b in range(0, len(x), N.BLOCK_ROWS):
+        rows = x[b : b + N.BLOCK_ROWS]
+        leaves = forest.place(N.longer(rows, longest))
+        for k0 in range(0, len(order), N.TOGETHER):
+            some = order[k0 : k0 + N.TOGETHER]
+            got, n = N.scores(rows, leaves, queries[some], reached[some])
+            made += n
+            for q, s in zip(some, got, strict=True):
+                best[q] += [(-v, b + j) for j, v in enumerate(s) if v > -np.inf and b + j != at[q]]
+    hits = []
+    for q, own in zip(at, best, strict=True):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len({j for _, j in heapq.nsmallest(k, own)} & set(np.argsort(-s, kind="stable")[:k].tolist())) / k)
+    return np.mean(hits), made / (len(at) * len(x))
+
+
+@pytest.mark.parametrize("n", [500, 2000, 10_000, 50_000])
+@pytest.mark.parametrize("kind", ["plain", "clustered"])
+def test_recall_and_products_by_size(n, kind):
+    r = np.random.default_rng(n)
+    if kind == "plain":
+        x = r.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    else:
+        centres = r.normal(size=(max(4, n // 50), 64))
+        x = centres[r.integers(0, len(centres), n)] + 0.2 * r.normal(size=(n, 64))
+    recall, made = searched(x)
+    print(n, kind, round(recall, 3), round(made, 3))
+    assert recall >= 0.9
+    assert kind == "plain" or n <= 2000 or made < 0.5
