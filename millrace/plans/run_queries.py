@@ -16,8 +16,10 @@ from millrace.functions import decode as D
 from millrace.functions import templates as T
 from millrace.operators import states as H
 from millrace.operators import upsert as U
+from millrace.operators.order import index_in_blocks
 from millrace.operators.report import report
 from millrace.operators.store import VersionedTable
+from millrace.plans import cli
 from millrace.plans import queries as Q
 from millrace.plans.batches import LACKING, generate_batched
 from millrace.plans.process import process
@@ -206,6 +208,38 @@ def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process(samples, first.unionByName(last)).select("sample_id", "dataset", "extracted_answer", "correct", "generated_length", "finish_reason")
 
 
+_CLI = ["gsm8k", "mmlu"]
+
+
+@query(
+    "cli_run",
+    f"""
+SELECT 'm' AS model, dataset, count(*) AS n_samples, count(*) FILTER (WHERE sample_id % 11 <> 0) AS n_processed,
+  count(*) FILTER (WHERE sample_id % 11 <> 0 AND correct) AS n_correct, count(*) FILTER (WHERE sample_id % 11 = 0) AS n_errors,
+  round(count(*) FILTER (WHERE sample_id % 11 <> 0 AND correct) / count(*) FILTER (WHERE sample_id % 11 <> 0), 6) AS accuracy
+FROM ({Q._label_sql}) WHERE dataset IN ('gsm8k', 'mmlu') GROUP BY dataset""",
+)
+def cli_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line over two written datasets and recorded generations, of which some are errors."""
+    folder = scratch(spark, "cli")
+    own = source(spark, sf_dir, "gen").withColumn("dataset", F.get(F.array(*map(F.lit, Q._NAMES)), (F.floor(F.col("sample_id") / 10) % 8).cast("int")))
+    write = []
+    for dataset in _CLI:
+        rows = index_in_blocks(own.where(F.col("dataset") == dataset), [F.floor(F.col("sample_id") / 65536)], [F.col("sample_id")], "line")
+        write_jsonl(rows.select("line", F.lit("q").alias("question"), F.col("answer_gt").alias("answer")), f"{folder}/{dataset}.jsonl", "line")
+        write.append(rows)
+    fails = F.col("sample_id") % 11 == 0
+    recorded = write[0].unionByName(write[1]).select(
+        F.lit("m").alias("model"), "dataset", F.lit("en").alias("language"), F.col("line").alias("sample_id"), F.lit(1).alias("prompt_length"), F.array(F.lit(1)).alias("generated_token_ids"),
+        F.col("text").alias("generated_text"), F.array(F.lit(2)).alias("terminators"), F.lit(9).alias("max_new_tokens"), F.when(fails, "failed").alias("error"),
+    )
+    recorded.write.parquet(f"{folder}/generations")
+    spark.range(1).write.parquet(f"{folder}/models/m")
+    argv = ["--data-root", folder, "--generations", f"{folder}/generations", "--output-dir", f"{folder}/runs", "--model-root", f"{folder}/models", "--models", "m", "--datasets", *_CLI]
+    run = cli.main(argv)["run_id"]
+    return cli.run_statistics(spark, f"{folder}/runs/{run}", _CLI).withColumn("accuracy", F.round("accuracy", 6))
+
+
 # Tables of a run.
 @query("upsert_versions", SQL["upsert_keep_last"])
 def upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
