@@ -11,7 +11,12 @@
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
 are left out wherever they stand, by their tag or role, or by a class or id that names
-one and nothing else; an article's own header stays.
+one and nothing else; an article's own header stays, and so does a form that holds the page. A
+class or id that names one beside something else ("newsletter-history"), or that only hints at
+readers' words ("user-feedback"), makes an element a suspect: whether it goes is for the host to
+say. Pages name their suspects' paths as they vote, and a path that is a suspect on
+``RECURS`` of a host's pages, and two at least, belongs to its template; what stands on one
+page belongs to that page. An id that is an anchor's name ("search") tells nothing inside an article.
 
 Parsing takes time in proportion to a page's length: the scan never goes back, open
 elements are found by tag, paths and containers are known from the parent, and an
@@ -68,8 +73,14 @@ WEAK = frozenset(
 )
 FRAME = frozenset(
     "site page main global top bottom left right primary secondary inner outer wrapper wrap container box block slot area section list item items bar unit link links posts row col column"
-    " holder module panel region view group post entry user reader author body text title form content message signup button buttons icon icons small large sticky fixed mobile desktop web privacy legal policy info js google dfp native inline leaderboard placeholder label".split()
+    " holder module panel region view group post entry user reader author body text title form content message signup button buttons icon icons small large sticky fixed mobile desktop web privacy legal law policy info js google dfp native inline leaderboard placeholder label".split()
 )
+#: Words that hint at what readers wrote, or at what goes with every page of a host.
+HINTS = frozenset("feedback reviews testimonials reactions opinions discussion discussions conversation replies responses readers visitors teaser teasers trending popular recirc outbrain taboola syndication".split())
+#: Share of a host's pages from which on a suspect's path is of its template.
+RECURS = 0.3
+#: How many paragraphs make a form one around a whole page, if it has no article or main heading.
+PARAGRAPHS = 3
 GOOD = frozenset("article content post entry story main body text page".split())
 #: Share of a host's votes from which on a path is one of its own.
 LEAST_SHARE = 0.05
@@ -84,12 +95,12 @@ def _step(tag: str, names: tuple[str, ...]) -> str:
 
 class Node:
     """An element: its number in page order, the last number inside it, whether it is left out,
-    the key of its path, and the nearest block and container around it."""
+    the key of its path, the nearest block and container around it, and whether it is a suspect."""
 
-    __slots__ = ("tag", "names", "parent", "out", "score", "at", "last", "key", "block", "holder")
+    __slots__ = ("tag", "names", "parent", "out", "score", "at", "last", "key", "block", "holder", "suspect")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, out: bool, at: int):
-        self.tag, self.names, self.parent, self.out, self.score, self.at, self.last = tag, names, parent, out, 0.0, at, at
+        self.tag, self.names, self.parent, self.out, self.score, self.at, self.last, self.suspect = tag, names, parent, out, 0.0, at, at, False
         self.key = xxh64_intdigest(f"{parent.key} {self.step()}") if parent is not None else 0
         self.block = self if parent is None or tag in BLOCK else parent.block
         self.holder = self if parent is None or tag in HOLDERS else parent.holder
@@ -113,19 +124,30 @@ def path_key(path: str) -> int:
     return key
 
 
-def names_noise(value: str) -> bool:
-    """Whether a class or id names what is not the article."""
+CLEAR, SUSPECT, ANCHOR, SURE = range(4)
+
+
+def names_noise(value: str) -> int:
+    """What a class or id says: SURE, it names what is not the article; ANCHOR, it does so by words that
+    a heading may have too; SUSPECT, it has such a word beside others; or CLEAR."""
+    found = CLEAR
     for name in value.lower().split():
         words = set(re.split(r"[^a-z]+", name)) - {""}
-        if words & NOISE or (words & WEAK and words <= WEAK | FRAME | GOOD and not (words & GOOD and words & WEAK <= {"header"})):
-            return True
-    return False
+        if words & NOISE:
+            # One letter is no word of its own.
+            found = max(found, SURE if all(len(w) == 1 or w in NOISE | WEAK | FRAME | GOOD for w in words) else SUSPECT)
+        elif words & WEAK and words <= WEAK | FRAME | GOOD and not (words & GOOD and words & WEAK <= {"header"}):
+            found = max(found, ANCHOR)
+        elif words & HINTS:
+            found = max(found, SUSPECT)
+    return found
 
 
 @lru_cache(4096)
-def _classes(tag: str, rest: str) -> tuple[tuple[str, ...], bool]:
-    """(class names, whether the element is left out)."""
-    out, names = tag in LEFT_OUT, ()
+def _classes(tag: str, rest: str) -> tuple[tuple[str, ...], bool, bool, bool]:
+    """(class names, whether the element is left out, whether it is so outside of articles only,
+    whether it is a suspect)."""
+    out, names, anchor, suspect = tag in LEFT_OUT, (), False, False
     if rest.strip():
         for m in ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -133,12 +155,14 @@ def _classes(tag: str, rest: str) -> tuple[tuple[str, ...], bool]:
                 names = tuple(value.lower().split())
             if key in ("class", "id"):
                 # A page's frame may be called after what it holds; only its parts are judged by name.
-                out = out or (tag not in ("html", "body", "main", "article") and names_noise(value))
+                found = CLEAR if tag in ("html", "body", "main", "article") else names_noise(value)
+                out = out or found == SURE or (found == ANCHOR and key == "class")
+                anchor, suspect = anchor or (found == ANCHOR and key == "id"), suspect or found == SUSPECT
             elif key == "role":
                 out = out or value.lower() in LEFT_OUT_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 out = True
-    return names, out
+    return names, out, anchor, suspect
 
 
 def markup(html: str) -> Iterator[tuple[str, int, int, bool, str, str]]:
@@ -187,6 +211,25 @@ def markup(html: str) -> Iterator[tuple[str, int, int, bool, str, str]]:
                 yield "tag", at, at, ends, tag, rest
 
 
+STORY = frozenset("article post entry story".split())
+
+
+def _whole_forms(html: str) -> list[bool]:
+    """For each form of a page whether it holds an article, a main heading or several paragraphs."""
+    out, ends, paragraphs = [], False, 0
+    for m in re.finditer(r"<(form|/form|article|main|h1|p)\b", html, re.I):
+        tag = m[1].lower()
+        if tag == "form":
+            out.append(False)
+            ends, paragraphs = False, 0
+        elif tag == "/form":
+            ends = True
+        elif out and not ends:
+            paragraphs += tag == "p"
+            out[-1] |= tag != "p" or paragraphs >= PARAGRAPHS
+    return out
+
+
 class Page:
     """The elements of a page in order, and its blocks: (element, text, length of link text)."""
 
@@ -195,6 +238,10 @@ class Page:
         self.nodes, self.blocks = [self.root], []
         self.stack = [self.root]
         self.places: dict[str, list[int]] = defaultdict(list)  # of open elements, by tag
+        self.suspects: list[Node] = []
+        self.stories = 0  # open elements whose class says that they are an article
+        self.whole_forms = _whole_forms(html) if "<form" in html or "<FORM" in html or "<Form" in html else []
+        self.forms = 0
         self.block_places, self.bound_places = [0], [0]
         self.text: list[str] = []
         self.linked = 0
@@ -234,6 +281,7 @@ class Page:
             if node.tag in BOUNDS:
                 self.bound_places.pop()
             self.places[node.tag].pop()
+            self.stories -= bool(STORY.intersection(node.names))
             node.last = len(self.nodes) - 1
             self.stack.pop()
 
@@ -253,18 +301,27 @@ class Page:
             if after:
                 self._close(min(after))
         # Only short attribute lists are worth remembering.
-        names, out = (_classes if len(rest) <= 200 else _classes.__wrapped__)(tag, rest) if rest else ((), tag in LEFT_OUT)
-        parent = self.stack[-1]
+        names, out, anchor, suspect = (_classes if len(rest) <= 200 else _classes.__wrapped__)(tag, rest) if rest else ((), tag in LEFT_OUT, False, False)
+        parent, inside = self.stack[-1], self.places["article"] or self.places["main"]
+        if tag == "form":
+            self.forms += 1
+            if self.forms <= len(self.whole_forms) and self.whole_forms[self.forms - 1]:
+                out = (_classes if len(rest) <= 200 else _classes.__wrapped__)("div", rest)[1]
+        out = out or (anchor and not inside)
         if tag == "header":  # a page's header; an article's own stays
-            out = out or not (self.places["article"] or self.places["main"])
+            out = out or not (inside or self.stories)
         if tag in BLOCK:
             self._flush()
         node = Node(tag, names, parent, out or parent.out, len(self.nodes))
         self.nodes.append(node)
+        if suspect and not node.out:
+            node.suspect = True
+            self.suspects.append(node)
         if rest.endswith("/") and tag not in BLOCK:
             return
         place = len(self.stack)
         self.stack.append(node)
+        self.stories += bool(STORY.intersection(names))
         self.places[tag].append(place)
         if tag in BLOCK:
             self.block_places.append(place)
@@ -286,34 +343,49 @@ class Page:
                 n = n.parent.holder if n.parent is not None else None
         return sorted(seen.values(), key=lambda n: (-n.score, n.at))
 
-    def under(self, roots: list[Node]) -> list[str]:
-        """Texts of the blocks inside any of ``roots``, which are in page order."""
+    def under(self, roots: list[Node], without: list[Node] = ()) -> list[str]:
+        """Texts of the blocks inside any of ``roots``, which are in page order, less those inside of
+        ``without``."""
         inside, last = bytearray(len(self.nodes)), -1
         for r in roots:
             if r.at > last:
                 last = r.last
                 inside[r.at : last + 1] = b"\1" * (last + 1 - r.at)
+        last = -1
+        for w in without:
+            if w.at > last:
+                last = w.last
+                inside[w.at : last + 1] = b"\0" * (last + 1 - w.at)
         return [t for node, t, _ in self.blocks if inside[node.at]]
 
 
-def main_text(html: str | None, paths: list[str] = ()) -> str:
+def main_text(html: str | None, paths: list[str] = (), template: list[str] = ()) -> str:
     """The text under the elements on the first of ``paths`` that has some, or else under the
-    page's best container."""
+    page's best container; without the suspects on a path of ``template``, unless nothing is left."""
     page = Page(html or "")
     on: dict[int, list[Node]] = {path_key(p): [] for p in paths}
     for n in page.nodes[1:]:
         if n.key in on and not n.out:
             on[n.key].append(n)
+    known = {path_key(p) for p in template}
+    without = [n for n in page.suspects if n.key in known]
     for roots in on.values():
-        if roots and (found := page.under(roots)):
+        if roots and (found := page.under(roots, without) or page.under(roots)):
             return "\n".join(found)
-    return "\n".join(page.under(page.containers()[:1] or [page.root]))
+    roots = page.containers()[:1] or [page.root]
+    return "\n".join(page.under(roots, without) or page.under(roots))
 
 
 def best_path(html: str | None) -> str | None:
     """Path of a page's best container."""
-    best = Page(html or "").containers()
-    return best[0].path() if best and best[0].parent is not None else None
+    return said(html)[0]
+
+
+def said(html: str | None) -> tuple[str | None, list[str]]:
+    """What a page tells its host: the path of its best container and those of its suspects."""
+    page = Page(html or "")
+    best = page.containers()
+    return best[0].path() if best and best[0].parent is not None else None, sorted({n.path() for n in page.suspects})
 
 
 def host_of(url: Column) -> Column:
@@ -321,27 +393,35 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, paths): the paths for which a host's pages vote, best first."""
+    """(host, paths, template): the paths for which a host's pages vote, best first, and those on
+    which suspects recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(best_path, b.column(1).to_pylist()), pa.string())], names=["host", "path"])
+            told = [said(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.list_(pa.string()))], names=["host", "path", "suspects"])
 
     cast = pages.select(host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
-    each = cast.mapInArrow(run, "host string, path string").where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    told = cast.mapInArrow(run, "host string, path string, suspects array<string>")
+    vote = F.struct(F.lit("vote").alias("kind"), F.col("path").alias("path"))
+    every = F.concat(F.array(vote), F.transform("suspects", lambda p: F.struct(F.lit("suspect").alias("kind"), p.alias("path"))))
+    each = told.select("host", F.explode(every).alias("x")).groupBy("host", "x.kind", "x.path").agg(F.count("*").alias("votes"))
     each = materialize(each, "votes")
-    total = each.groupBy("host").agg(F.sum("votes").alias("total"))
-    own = each.join(total, "host").where(F.col("votes") >= LEAST_SHARE * F.col("total"))
+    votes = F.when(F.col("kind") == "vote", F.col("votes"))
+    total = each.groupBy("host").agg(F.sum(votes).alias("pages"), F.sum(F.when(F.col("path").isNotNull(), votes)).alias("total"))
+    own = each.join(total, "host").where("path IS NOT NULL")
     # At most 1 / LEAST_SHARE paths a host. Ties go to the deeper, then to the greater path.
-    ranked = F.struct("votes", F.size(F.split("path", "/")).alias("depth"), "path")
-    return own.groupBy("host").agg(F.sort_array(F.collect_list(ranked), asc=False)["path"].alias("paths"))
+    ranked = F.when((F.col("kind") == "vote") & (F.col("votes") >= LEAST_SHARE * F.col("total")), F.struct("votes", F.size(F.split("path", "/")).alias("depth"), "path"))
+    recurs = F.when((F.col("kind") == "suspect") & (F.col("votes") >= 2) & (F.col("votes") >= RECURS * F.col("pages")), F.col("path"))
+    out = own.groupBy("host").agg(F.sort_array(F.collect_list(ranked), asc=False)["path"].alias("paths"), F.sort_array(F.collect_list(recurs)).alias("template"))
+    return out.where((F.size("paths") > 0) | (F.size("template") > 0))
 
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url", into: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` without the html and with the main text, never null."""
-    host, paths, other, salt, into = (free_name(pages, n) for n in ("_host", "_paths", "_h", "_salt", into))
-    best = materialize(host_paths(pages, html, url).withColumnsRenamed({"host": other, "paths": paths}), "host-paths")
-    size = best.agg(F.sum(F.octet_length(other) + F.octet_length(F.array_join(paths, "/")))).first()[0] or 0
+    host, paths, other, salt, template, into = (free_name(pages, n) for n in ("_host", "_paths", "_h", "_salt", "_template", into))
+    best = materialize(host_paths(pages, html, url).withColumnsRenamed({"host": other, "paths": paths, "template": template}), "host-paths")
+    size = best.agg(F.sum(F.octet_length(other) + F.octet_length(F.array_join(paths, "/")) + F.octet_length(F.array_join(template, "/")))).first()[0] or 0
     keyed = pages.withColumn(host, host_of(F.col(url).cast("string")))
     if size <= broadcast_bytes:
         joined = keyed.join(F.broadcast(best), keyed[host] == best[other], "left")
@@ -354,10 +434,10 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", into: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [main_text(h, p or ()) for h, p in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], names=[*others, into])
+            out = [main_text(h, p or (), t or ()) for h, p, t in zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(out, pa.string())], names=[*others, into])
 
-    return joined.select(*(keyed[c] for c in others), keyed[html].cast("string"), joined[paths]).mapInArrow(run, schema)
+    return joined.select(*(keyed[c] for c in others), keyed[html].cast("string"), joined[paths], joined[template]).mapInArrow(run, schema)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

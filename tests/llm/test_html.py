@@ -37,7 +37,7 @@ def test_hosts_vote(spark, clash, size):
     rows.append((6, "https://host.example/6", "<div class='list'><p>" + "Another text that goes on for a very long time. " * 9 + "</p></div><div class='x'><div class='story6'><p>Short.</p></div></div>"))
     rows += [(7, None, rows[0][2]), (8, "no address", None), (None, None, None), (6, *rows[6][1:])]
     pages = clash(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    paths = dict(H.host_paths(pages).collect())
+    paths = {r.host: r.paths for r in H.host_paths(pages).collect()}
     assert paths["host.example"] == ["div.x/div.story", "div.list"]
     pages = pages.withColumn("text", F.lit("own"))
     out = H.extract_text(pages, broadcast_bytes=size)
@@ -80,3 +80,42 @@ def test_long_odd_pages_take_linear_time(page):
     began = time.process_time()
     H.main_text(page, ["no/such/path", H.best_path(page) or ""])
     assert time.process_time() - began < 12
+
+
+WORDS = "Words that run on for long enough to be the text of this page, and then some."
+
+
+@pytest.mark.parametrize("open_", ["<div class='cookie-recipe'>", "<section class='newsletter-history'>", "<p class='comments-on-policy'>", "<section id='search'>", "<div id='related'>", "<div class='user-feedback'>"])
+def test_what_one_page_names_is_kept(open_):
+    tag = open_[1:].split()[0]
+    page = f"<body><article><p>{WORDS}</p>{open_}{WORDS}</{tag}></article></body>"
+    assert H.main_text(page) == f"{WORDS}\n{WORDS}"
+
+
+def test_an_anchor_outside_of_an_article_is_a_part_of_the_frame():
+    assert H.main_text(f"<body><div class='x'><p>{WORDS}</p><div id='search'>Find {WORDS}</div></div></body>") == WORDS
+
+
+def test_a_form_around_the_page():
+    field = "<label>Name</label><input name=x>"
+    for body in (f"<h1>Head</h1><p>{WORDS}</p>", f"<p>{WORDS}</p>" * 3, f"<article><p>{WORDS}</p></article>"):
+        got = H.main_text(f"<body><form id='aspnetForm'>{field}<div class='post'>{body}</div></form></body>")
+        assert WORDS in got and "Name" not in got
+    assert H.main_text(f"<body><div class='post'><p>{WORDS}</p><form>{field}<p>Write to us</p></form></div></body>") == WORDS
+
+
+def test_the_header_of_a_post():
+    page = f"<body><header><h1>Site</h1></header><div class='post'><header><h1>Head</h1></header><p>{WORDS}</p></div></body>"
+    assert H.main_text(page, ["body/div.post"]) == f"Head\n{WORDS}"
+    assert H.main_text(f"<body><div class='post'><header class='site-header'>Site</header><p>{WORDS}</p></div></body>", ["body/div.post"]) == WORDS
+
+
+def test_a_host_tells_its_template_from_what_one_page_has(spark):
+    body = lambda i, more: f"<body><div class='story'><p>{WORDS} {i}</p>{more}</div></body>"
+    comments = "<div class='user-feedback'><p>A reader says that number {i} is rather long for a page like this.</p></div>"
+    rows = [(i, f"https://a.example/{i}", body(i, comments.format(i=i))) for i in range(10)]
+    rows += [(10, "https://a.example/10", body(10, f"<div class='cookie-recipe'>{WORDS}</div>")), (11, "https://b.example/", body(11, comments.format(i=11)))]
+    out = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"{WORDS} {i}" for i in range(10))
+    assert out[10] == f"{WORDS} 10\n{WORDS}"
+    assert "A reader says" in out[11]  # one page tells nothing about its host
