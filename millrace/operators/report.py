@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.store import VersionedTable
+
 
 def accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_samples, n_processed, n_correct, n_errors, accuracy); rows hold processed, error
@@ -44,6 +46,26 @@ def running_accuracy(rows: DataFrame, keys: list[str], order: str = "sample_idx"
     return inner.select(*columns, (share * 100).alias("running_accuracy"))
 
 
+#: What a table has to keep for ``stored_running_accuracy``.
+RUNNING = {"n_right": "count_if(correct)", "n_told": "count(correct)"}
+
+
+def stored_running_accuracy(table: VersionedTable) -> DataFrame:
+    """``running_accuracy`` of a versioned table that keeps ``RUNNING`` for its groups and is ordered by
+    them and then by position: what comes before a file is known from the manifest."""
+    keys, order = table.groups, table.order[len(table.groups) :]
+    base = table.stats_before().withColumnsRenamed({k: f"_at{i}" for i, k in enumerate(["_name", *keys])})
+    own = table.read_with_files()
+    columns = [c for c in own.columns if c != "_name"]
+    upto = Window.partitionBy("_name", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = own.withColumns({"_c": F.sum(F.coalesce(F.col("correct").cast("long"), F.lit(0))).over(upto), "_k": F.count("correct").over(upto)})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(["_name", *keys])))
+    # A row a file and group: no more than the manifest holds.
+    found = counted.join(F.broadcast(base), same)
+    share = F.try_divide((F.col("n_right") + F.col("_c")).cast("double"), (F.col("n_told") + F.col("_k")).cast("double"))
+    return found.select(*columns, (share * 100).alias("running_accuracy"))
+
+
 def line_counts(lines: DataFrame, file: str = "file_name") -> DataFrame:
     """(file, n): lines of each file, and of all with a null name."""
     return lines.rollup(file).agg(F.count("*").alias("n"))

@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 from millrace.operators import files
 
 ROWS_PER_FILE = 1 << 20
+#: The name that the manifest has for a row's file.
+NAME = "element_at(split(_metadata.file_path, '/files/'), -1)"
 
 
 class ConcurrentChangeError(RuntimeError):
@@ -113,6 +115,25 @@ class VersionedTable:
         rows = rows if lo is None else rows.where(first >= F.lit(lo))
         return rows if hi is None else rows.where(first <= F.lit(hi))
 
+    def read_with_files(self, version: int | None = None) -> DataFrame | None:
+        """The table with the manifest's name of each row's file in ``_name``."""
+        rows = self.read(version=version)
+        return None if rows is None else rows.withColumn("_name", F.expr(NAME))
+
+    def stats_before(self, version: int | None = None) -> DataFrame:
+        """(_name, groups, statistics): for each file and group that it has rows of, the sums over all
+        files before it in the table's order. Files must not overlap."""
+        upto: dict[tuple, list] = {}
+        rows = []
+        for f in sorted(self.manifest(version)["files"], key=lambda f: _ranked(f["lo"])):
+            for row in f["stats"]:
+                key, own = tuple(row[: len(self.groups)]), row[len(self.groups) :]
+                before = upto.get(key, [0] * len(own))
+                rows.append((f["name"], *key, *before))
+                upto[key] = [a + b for a, b in zip(before, own, strict=True)]
+        schema = ", ".join(["_name string", *(f"`{g}` string" for g in self.groups), *(f"`{s}` long" for s in self.sums)])
+        return self.spark.createDataFrame(rows, schema)
+
     def stats(self, version: int | None = None) -> DataFrame:
         """(groups, statistics), from the manifest alone."""
         total: dict[tuple, list] = {}
@@ -134,7 +155,7 @@ class VersionedTable:
     def _described(self, folder: str, schema: StructType) -> list[dict]:
         place = f"{self.path}/files/{folder}"
         back = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(place)
-        name = F.expr("element_at(split(_metadata.file_path, '/files/'), -1)").alias("_name")
+        name = F.expr(NAME).alias("_name")
         key = F.struct(*self.order)
         sums = [F.expr(e).cast("long").alias(f"_s{i}") for i, e in enumerate(self.sums.values())]
         grouped = back.groupBy(name, *(F.col(g).cast("string").alias(f"_g{i}") for i, g in enumerate(self.groups)))

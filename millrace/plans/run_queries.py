@@ -17,7 +17,7 @@ from millrace.functions import templates as T
 from millrace.operators import states as H
 from millrace.operators import upsert as U
 from millrace.operators.order import index_in_blocks
-from millrace.operators.report import report
+from millrace.operators.report import RUNNING, report, stored_running_accuracy
 from millrace.operators.store import VersionedTable
 from millrace.plans import cli
 from millrace.plans import queries as Q
@@ -265,6 +265,17 @@ def manifest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.stats()
 
 
+@query("running_accuracy_stored", SQL["running_accuracy"])
+def running_accuracy_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's rows, first all wrong and then corrected; the running accuracy over small files."""
+    rows = source(spark, sf_dir, "runs").where("processed")
+    keys = ["model", "dataset", "sample_idx"]
+    t = VersionedTable(spark, scratch(spark, "running"), keys, keys[:2], RUNNING, rows_per_file=20_000)
+    for batch in (rows.withColumn("correct", F.lit(False)), rows):
+        t.upsert(batch, keys)
+    return stored_running_accuracy(t).select(*keys, F.round("running_accuracy", 4).alias("running_accuracy"))
+
+
 @query("report_tree", f"SELECT model, dataset, n_samples, n_correct FROM ({Q._stats}) WHERE model IS NOT NULL AND dataset IS NOT NULL")
 def report_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested report as JSON, read back."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import half_round
 from millrace.operators import files, tensors
+from millrace.operators import report as R
 from millrace.operators import states as H
 from millrace.operators import store as S
 from millrace.operators import upsert as U
@@ -222,3 +223,17 @@ def test_means_have_no_row_per_component(spark):
     keys = ["sample_idx", "layer"]
     assert V.partial_sums(tokens, keys).count() == 4 * 20
     assert V.partial_sums(tokens, keys, held=0).agg(F.sum("n")).first()[0] == 4000
+
+
+def test_running_accuracy_follows_upserts(spark, tmp_path):
+    rng = random.Random(7)
+    t = S.VersionedTable(spark, str(tmp_path / "t"), ["model", "at"], ["model"], R.RUNNING, rows_per_file=30)
+    schema = "model string, at long, correct boolean, seq int"
+    for n in (200, 40, 7):
+        rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(90)]), rng.choice([True, False, None]), k) for k in range(n)]
+        t.upsert(spark.createDataFrame(rows, schema), ["model", "at"])
+        want = R.running_accuracy(t.read(), ["model"], "at")
+        assert len(t.manifest()["files"]) > 3
+        got = R.stored_running_accuracy(t)
+        show = lambda df: sorted((repr(r.model), repr(r.at), r.correct, r.running_accuracy) for r in df.collect())
+        assert show(got) == show(want)
