@@ -75,8 +75,11 @@ class StateStore:
 
     def chunks(self, name: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """The chunks of the last attempt of each valid sample, of samples from ``lo`` to ``hi``."""
+        return self._counting(name, lo, hi).drop("attempt")
+
+    def _counting(self, name: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
         done = self.status(lo, hi).where("valid").select("sample_idx", "attempt")
-        return self._rows(name, f"{tensors.CHUNKS}, attempt long", lo, hi).join(done, ["sample_idx", "attempt"], "left_semi").drop("attempt")
+        return self._rows(name, f"{tensors.CHUNKS}, attempt long", lo, hi).join(done, ["sample_idx", "attempt"], "left_semi")
 
     def states(self, name: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """The states of the last attempt of each valid sample, a row a vector."""
@@ -103,6 +106,18 @@ class StateStore:
         self.table("pointers").overwrite(ptr.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx"))
         return self.pointers()
 
+    def compact(self) -> None:
+        """Leave out what no longer counts: chunks of earlier attempts and of samples that are not valid,
+        and all but the last status of each sample. Files are then ranges that do not overlap."""
+        for name in self.TABLES:
+            if self.table(name).version() >= 0:
+                self._rewritten(name, self._counting(name), ["sample_idx", "first_token"])
+        if self.table("sample_status").version() >= 0:
+            self._rewritten("sample_status", self.status(), ["sample_idx"])
+
+    def _rewritten(self, name: str, rows: DataFrame, by: list[str]) -> None:
+        self.table(name).overwrite(rows.repartitionByRange(*by).sortWithinPartitions(*by))
+
     def save(self, status: DataFrame, **states: DataFrame) -> None:
         """Append states and then the status (sample_idx, sample_id, valid, and an error where it
         failed) of the samples of one attempt."""

@@ -534,21 +534,3 @@ def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("line_counts", "SELECT source AS file_name, count(*) AS n FROM documents GROUP BY ROLLUP (source)")
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.line_counts(read_table(spark, sf_dir, "documents").select(F.col("source").alias("file_name")))
-
-
-def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
-    return rows.withColumns({
-        "language": F.lit("en"), "model": F.lit("m"), "question": F.lit("q"), "answer_gt": F.lit("7"), "answer_type": F.lit(None).cast("string"), "finish_reason": F.lit("eos"),
-        "generated_length": F.length("extracted_answer"), "prompt_length": F.lit(5), "prompt": F.lit("p"), "generated_text": F.col("extracted_answer"), "max_probability": F.lit(0.5), "perplexity": F.lit(2.0), "entropy": F.lit(1.0),
-    })
-
-
-@query("metadata_projection", f"SELECT sample_id, dataset, 'en' AS language, 'm' AS model, 'q' AS question, '7' AS answer_gt, CAST(NULL AS VARCHAR) AS answer_type, correct AS is_correct, CAST(length(extracted_answer) AS INT) AS answer_token_count, 'eos' AS finish_reason, CAST(length(extracted_answer) AS INT) AS generated_length, CAST(5 AS INT) AS prompt_length, extracted_answer FROM ({_label_sql})")
-def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.metadata_rows(_processed(spark, sf_dir))
-
-
-@query("outputs_projection", f"SELECT sample_id, 'p' AS prompt, extracted_answer AS generated_text, extracted_answer, CAST(0.5 AS DOUBLE) AS max_probability, CAST(2 AS DOUBLE) AS perplexity, CAST(1 AS DOUBLE) AS entropy FROM ({_label_sql})")
-def outputs_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.output_rows(_processed(spark, sf_dir))

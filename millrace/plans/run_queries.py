@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import decode as D
+from millrace.functions import prompts as P
 from millrace.functions import templates as T
 from millrace.operators import states as H
 from millrace.operators import upsert as U
@@ -185,27 +186,69 @@ def batched_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_batched(prompted, _echo, area=1 << 16, need_states=True).select("sample_id", "generated_text", "error")
 
 
-_N_TOKENS = "CAST(sample_id % 4 AS INT)"
+#: What the runs below derive from the generations: a sample's model, language, question and tokens.
+_MODEL = "'m' || CAST(sample_id % 3 AS VARCHAR)"
+_LANGUAGE = "CASE WHEN dataset = 'mgsm' THEN 'de' ELSE 'en' END"
+_QUESTION = "'What is ' || answer_gt || '? ' || CAST(sample_id AS VARCHAR)"
+_DE_LABELS = Q._label_sql.replace(f"WHEN 'mgsm' THEN {Q.d_numeric('text')}", f"WHEN 'mgsm' THEN {Q.d_numeric('text', 'Antwort')}")
+assert _DE_LABELS != Q._label_sql
+_PROCESSED = f"""
+(SELECT l.sample_id, l.dataset, l.extracted_answer, l.correct, g.answer_gt, g.text, {_MODEL.replace('sample_id', 'l.sample_id')} AS model, {_LANGUAGE.replace('dataset', 'l.dataset')} AS language,
+  {_QUESTION.replace('answer_gt', 'g.answer_gt').replace('sample_id', 'l.sample_id')} AS question, CAST(l.sample_id % 4 AS INT) AS n_tokens,
+  CASE l.sample_id % 4 WHEN 0 THEN 'empty' WHEN 2 THEN 'eos' WHEN 3 THEN 'length' ELSE 'other' END AS finish_reason, CAST(l.sample_id % 50 AS INT) AS prompt_length
+FROM ({_DE_LABELS}) l JOIN {given('gen')} g ON l.sample_id = g.sample_id)"""
 
 
-@query(
-    "process_samples",
-    f"""
-SELECT sample_id, dataset, extracted_answer, correct, {_N_TOKENS} AS generated_length,
-  CASE sample_id % 4 WHEN 0 THEN 'empty' WHEN 2 THEN 'eos' WHEN 3 THEN 'length' ELSE 'other' END AS finish_reason
-FROM ({Q._label_sql})""",
-)
-def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two generations of each sample, of which the later counts."""
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations of each sample, of which the later counts, with their steps."""
     own = source(spark, sf_dir, "gen")
     dataset = F.get(F.array(*map(F.lit, Q._NAMES)), (F.floor(F.col("sample_id") / 10) % 8).cast("int"))
-    key = [F.lit("m").alias("model"), dataset.alias("dataset"), F.lit("en").alias("language"), "sample_id"]
-    samples = own.select("sample_id", F.col("sample_id").alias("sample_idx"), F.lit("q").alias("question"), "answer_gt", dataset.alias("dataset"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("answer_type"))
+    own = own.withColumns({"dataset": dataset, "model": F.concat(F.lit("m"), F.col("sample_id") % 3)})
+    own = own.withColumn("language", F.when(F.col("dataset") == "mgsm", "de").otherwise("en"))
+    question = F.concat(F.lit("What is "), F.col("answer_gt"), F.lit("? "), F.col("sample_id"))
+    key = ["model", "dataset", "language", "sample_id"]
+    samples = own.select(*key[1:], F.col("sample_id").alias("sample_idx"), question.alias("question"), "answer_gt", F.lit(None).cast("string").alias("answer_type"))
     tokens = F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (F.col("sample_id") % 4).cast("int"))
     rest = [F.array(F.lit(2)).alias("terminators"), F.lit(3).alias("max_new_tokens"), F.lit(None).cast("string").alias("error")]
-    last = own.select(*key, F.lit(5).alias("prompt_length"), tokens.alias("generated_token_ids"), F.col("text").alias("generated_text"), *rest, F.lit(1).alias("seq"))
+    last = own.select(*key, (F.col("sample_id") % 50).cast("int").alias("prompt_length"), tokens.alias("generated_token_ids"), F.col("text").alias("generated_text"), *rest, F.lit(1).alias("seq"))
     first = last.withColumns({"generated_text": F.lit("Answer: 0"), "seq": F.lit(0)})
-    return process(samples, first.unionByName(last)).select("sample_id", "dataset", "extracted_answer", "correct", "generated_length", "finish_reason")
+    logits = F.array(F.lit(0.0), (F.col("sample_id") % 7).cast("double"))
+    steps = own.where("sample_id % 5 <> 0").select(*key, logits.alias("logits"), (F.col("sample_id") % 2).alias("token"))
+    return process(samples, first.unionByName(last), steps)
+
+
+@query("process_samples", f"SELECT sample_id, dataset, extracted_answer, correct, n_tokens AS generated_length, finish_reason FROM {_PROCESSED}")
+def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _processed(spark, sf_dir).select("sample_id", "dataset", "extracted_answer", "correct", "generated_length", "finish_reason")
+
+
+@query(
+    "metadata_projection",
+    f"""
+SELECT sample_id, dataset, language, model, question, answer_gt, CAST(NULL AS VARCHAR) AS answer_type, correct AS is_correct, n_tokens AS answer_token_count,
+  finish_reason, n_tokens AS generated_length, prompt_length, extracted_answer
+FROM {_PROCESSED}""",
+)
+def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.metadata_rows(_processed(spark, sf_dir))
+
+
+_TEMPLATE = " ".join(f"WHEN '{d}' THEN {Q.lit(P.TEMPLATES[d].replace('Answer:', 'Antwort:') if d == 'mgsm' else P.TEMPLATES[d])}" for d in P.TEMPLATES)
+_P = "exp(CAST(sample_id % 7 AS DOUBLE)) / (1 + exp(CAST(sample_id % 7 AS DOUBLE)))"
+
+
+@query(
+    "outputs_projection",
+    f"""
+SELECT sample_id, replace(CASE dataset {_TEMPLATE} ELSE '{{question}}' END, '{{question}}', question) AS prompt, text AS generated_text, extracted_answer,
+  round(CASE WHEN sample_id % 5 = 0 THEN 0 ELSE p END, 6) AS max_probability,
+  CASE WHEN sample_id % 5 = 0 THEN CAST('inf' AS DOUBLE) WHEN sample_id % 2 = 1 THEN round(1 / p, 4) ELSE round(1 / greatest(1 - p, 1e-12), 4) END AS perplexity,
+  round(CASE WHEN sample_id % 5 = 0 THEN 0 ELSE -p * log2(p) - (1 - p) * log2(1 - p) END, 6) AS entropy
+FROM (SELECT *, {_P} AS p FROM {_PROCESSED})""",
+)
+def outputs_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = {"max_probability": F.round("max_probability", 6), "perplexity": F.round("perplexity", 4), "entropy": F.round("entropy", 6)}
+    return U.output_rows(_processed(spark, sf_dir)).withColumns(rounded)
 
 
 _CLI = ["gsm8k", "mmlu"]

@@ -108,6 +108,35 @@ def test_store_keeps_the_last_attempt(spark, tmp_path):
     assert [r.ptr for r in store.finalize().orderBy("sample_idx").collect()] == [0, 2, 3, 3]
 
 
+def test_compacting_a_store_keeps_what_counts(spark, tmp_path):
+    store = U.StateStore(spark, str(tmp_path / "s"))
+    store.compact()
+    status = lambda *rows: spark.createDataFrame(rows, "sample_idx long, sample_id long, valid boolean")
+    for k in range(3):
+        rows = [(i, t, 0, [float(10 * k + i)]) for i in range(6) for t in range(3)]
+        store.save(status(*((i, i, i != k) for i in range(6) if i != 5 or k == 0)), token_states=spark.createDataFrame(rows, TOKEN_STATES))
+    before = sorted(map(tuple, store.states("token_states").collect()))
+    assert {r[0] for r in before} == {0, 1, 3, 4, 5} and store.table("token_states").read().count() == 18
+    store.compact()
+    assert sorted(map(tuple, store.states("token_states").collect())) == before
+    assert store.table("token_states").read().count() == 5 and store.table("sample_status").read().count() == 6
+    assert sorted(r.sample_idx for r in store.status().where("not valid").collect()) == [2]
+    store.table("token_states").vacuum()
+    assert sorted(map(tuple, store.states("token_states").collect())) == before
+
+
+def test_the_last_generation_of_a_sample_counts(spark, tmp_path):
+    (tmp_path / "models" / "m").mkdir(parents=True)
+    (tmp_path / "gsm8k.jsonl").write_text('{"question": "1+1?", "answer": "2"}\n{"question": "2+2?", "answer": "4"}\n')
+    rows = [("m", "gsm8k", "en", i, 3, [5, 2], f"Answer: {k}", [2], 8, None) for k in (9, 2, 4) for i in (0, 1)]
+    spark.createDataFrame(rows, GENERATIONS).coalesce(1).write.parquet(str(tmp_path / "g"))
+    argv = ["--data-root", str(tmp_path), "--generations", str(tmp_path / "g"), "--output-dir", str(tmp_path / "out"), "--model-root", str(tmp_path / "models"), "--models", "m", "--datasets", "gsm8k"]
+    got = cli.main(argv)
+    assert got["models"]["m"]["datasets"]["gsm8k"] == {"n_samples": 2, "n_processed": 2, "n_correct": 1, "n_errors": 0, "accuracy": 0.5}
+    out = U.stored(spark, f"{tmp_path}/out/{got['run_id']}/outputs/gsm8k").collect()
+    assert {r.sample_id: r.extracted_answer for r in out} == {0: "4", 1: "4"}
+
+
 def test_rows_that_fail_alone(spark):
     def one(row):
         if row["sample_id"] == 1:

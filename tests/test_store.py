@@ -118,6 +118,13 @@ def test_removal_new_columns_and_null_keys(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect()), key=repr) == [(1, "a", None), (9, None, 4), (None, "m", None)]
     t.remove(t.read().select("sample_id"))
     assert [r.sample_id for r in t.read().collect()] == [None]  # a null equals nothing
+    u = S.VersionedTable(spark, str(tmp_path / "u"), ["sample_id"])
+    u.remove(spark.createDataFrame([(2,)], "sample_id long"))
+    u.upsert(batch(spark, [(1, "a"), (2, "b")]), ["sample_id"])
+    u.remove(u.read().select("sample_id"))
+    assert u.read().columns == ["sample_id", "v"] and u.read().count() == 0 and u.stats().count() == 0
+    u.upsert(batch(spark, [(3, "c")]), ["sample_id"])
+    assert held(u) == {3: "c"}
 
 
 def test_statistics_follow_random_upserts(spark, tmp_path):
