@@ -38,6 +38,8 @@ MEET = 64
 #: How often hashes of many texts are looked for and put last; of these, how many go to every task;
 #: texts of one crowd, about, in a block.
 ROUNDS, CROWDED, CELL = 3, 1 << 20, 2048
+#: Texts of a crowd that are out of the common run, up to which they go to all its blocks.
+STAR = 1 << 13
 #: Texts that a task remembers.
 REMEMBERED = 1 << 17
 _UNITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -285,9 +287,9 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
 
 
-def _heads(sets: list[np.ndarray], similarity: float, last: np.ndarray, wider: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, hash, size, place) of the first hashes of every set: two sets of which each holds
-    ``similarity`` of the other have their first common hash among them.
+def _heads(sets: list[np.ndarray], similarity: float, last: np.ndarray, wider: float = 1.0) -> tuple[np.ndarray, ...]:
+    """(set, hash, size, place, hash before it) of the first hashes of every set: two sets of which
+    each holds ``similarity`` of the other have their first common hash among them.
 
     Any order of the hashes does, if it is one for all sets: here by value, but those in
     ``last`` (ascending) after all others. ``wider`` takes so many times as many.
@@ -296,7 +298,7 @@ def _heads(sets: list[np.ndarray], similarity: float, last: np.ndarray, wider: f
     head = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
     head = np.minimum(size, np.ceil(head * wider).astype(np.int64))
     if not len(sets):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     if len(last):
         every = np.concatenate(sets)
         late = last[np.minimum(np.searchsorted(last, every), len(last) - 1)] == every
@@ -304,12 +306,13 @@ def _heads(sets: list[np.ndarray], similarity: float, last: np.ndarray, wider: f
         sets = np.split(every[order], np.cumsum(size)[:-1])
     at = np.repeat(np.arange(len(sets)), head)
     place = np.arange(len(at)) - np.repeat(np.cumsum(head) - head, head)
-    return at, np.concatenate([x[:k] for x, k in zip(sets, head, strict=True)]), size[at], place
+    h = np.concatenate([x[:k] for x, k in zip(sets, head, strict=True)])
+    return at, h, size[at], place, np.where(place > 0, np.r_[h[:1], h[:-1]], np.uint64(0))
 
 
-def _group_pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, apart: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _group_pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (ordered by h and n) with the same hash, whose sizes, and whose hashes from
-    this one on, allow the similarity; with different values in each array of ``apart``."""
+    this one on, allow the similarity."""
     i = np.arange(len(h))
     for lag in range(1, len(h)):
         i = i[i + lag < len(h)]
@@ -320,8 +323,6 @@ def _group_pairs(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: fl
         j = i + lag
         most = np.minimum(n[i] - place[i], n[j] - place[j])
         open_ = most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
-        for label in apart:
-            open_ &= label[i] != label[j]
         yield i[open_], j[open_]
 
 
@@ -443,32 +444,39 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     return texts.mapInArrow(run, "key binary, set binary, counts binary")
 
 
-def _first_hashes(sets: DataFrame, similarity: float, crowded: DataFrame | None, few: np.ndarray, wider: float = 1.0) -> DataFrame:
-    """(h, id, n, place) of the first hashes of each set, those in ``few``, or in the table ``crowded``
-    where they are too many to send to the tasks, after all others."""
+def _first_hashes(sets: DataFrame, similarity: float, late: DataFrame | None, few: np.ndarray, wider: float = 1.0, marked: np.ndarray | None = None) -> DataFrame:
+    """(h, id, n, place, before, crowded) of the first hashes of each set, those in ``few``, or in the
+    table ``late`` where they are too many to send to the tasks, after all others; ``crowded`` are
+    those in ``marked``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.frombuffer(x, "<u8") for x in b.column("set").to_pylist()]
-            last = few
-            if "late" in b.schema.names:
-                late = [x for own in b.column("late").to_pylist() for x in own or ()]
-                last = np.unique(np.array(late, np.int64).view(np.uint64))
-            at, h, n, place = _heads(sets, similarity, last, wider)
-            ids = b.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[at]), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "id", "n", "place"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                last = few
+                if "late" in b.schema.names:
+                    held = [x for own in b.column("late").to_pylist() for x in own or ()]
+                    last = np.unique(np.array(held, np.int64).view(np.uint64))
+                at, h, n, place, before = _heads([np.frombuffer(x, "<u8") for x in b.column("set").to_pylist()], similarity, last, wider)
+                crowded = np.zeros(len(h), bool)
+                if marked is not None and len(marked):
+                    crowded = marked[np.minimum(np.searchsorted(marked, h), len(marked) - 1)] == h
+                ids = b.column("id").to_numpy()
+                columns = [h.view(np.int64), ids[at], n.astype(np.int32), place.astype(np.int32), before.view(np.int64), crowded]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "id", "n", "place", "before", "crowded"])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.frombuffer(x, "<i8") for x in b.column("set").to_pylist()]
-            ids = np.repeat(b.column("id").to_numpy(), [len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(ids)], names=["h", "id"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                parts = [np.frombuffer(x, "<i8") for x in b.column("set").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(b.column("id").to_numpy(), [len(x) for x in parts]))], names=["h", "id"])
 
     own = sets.select("id", "set")
-    if crowded is not None:
-        late = own.mapInArrow(every, "h long, id long").join(crowded, "h").groupBy("id").agg(F.collect_set("h").alias("late"))
-        own = own.join(late, "id", "left")
-    return own.mapInArrow(run, "h long, id long, n int, place int")
+    if late is not None:
+        holds = own.mapInArrow(every, "h long, id long").join(late, "h").groupBy("id").agg(F.collect_set("h").alias("late"))
+        own = own.join(holds, "id", "left")
+    return own.mapInArrow(run, "h long, id long, n int, place int, before long, crowded boolean")
 
 
 def _crowds(sets: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, np.ndarray]:
@@ -503,7 +511,7 @@ def _meet(first: DataFrame, similarity: float) -> DataFrame:
             for i, j in _group_pairs(h, n, place, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
-    return first.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long")
+    return first.select("h", "id", "n", "place").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long")
 
 
 def _meet_one(crowd: DataFrame) -> DataFrame:
@@ -515,37 +523,81 @@ def _meet_one(crowd: DataFrame) -> DataFrame:
     return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
 
 
+def _cell_pairs(n: np.ndarray, place: np.ndarray, labels: tuple[np.ndarray, ...], plain: np.ndarray, own: np.ndarray, block: np.ndarray, star: bool, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell whose sizes and places allow the similarity and that differ in each of
+    ``labels``. Two ``plain`` rows never do.
+
+    In a ``star`` cell all rows that are not plain stand beside a block of plain ones; two that
+    are not plain are compared where the first is at home (``own``). Else the rows of two blocks stand
+    there, and rows of one block are compared where it meets itself.
+    """
+    for r in np.flatnonzero(~plain):
+        most = np.minimum(n[r] - place[r], n - place)
+        open_ = most * (1 + similarity) >= similarity * (n[r] + n) - 1e-6
+        open_ &= np.minimum(n, n[r]) >= similarity * np.maximum(n, n[r]) - 1e-9
+        for label in labels:
+            open_ &= label != label[r]
+        if star:
+            open_ &= plain | own[r]
+        else:
+            open_ &= own | (block != block[r])
+        q = np.flatnonzero(open_)
+        if len(q):
+            yield np.full(len(q), r), q
+
+
 def _meet_crowd(crowd: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs of texts of a crowd that are of different components and that sizes, places and counts of
     hashes allow.
 
-    A crowd is cut into blocks by its texts' ids, and two blocks meet in a task, so a task holds two
-    blocks, however large the crowd. Nothing is sent on before all bounds are applied.
+    Two texts that have the same hash before the common one met there, so they are passed over. Most
+    texts of a crowd are of its largest component and have its most frequent hash before: these
+    plain ones are never compared with each other. A crowd is cut into blocks; its plain texts go
+    to their block only, the others to every block, or, where these are many, two blocks meet
+    in a task. So a task holds a bounded number of texts, however large the crowd, and nothing is
+    sent on before all bounds are applied.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_groups(batches, ("h", "cell")):
-            h, cell, ids, n, place, block = _columns(group, "h", "cell", "id", "n", "place", "block")
-            label = np.unique(group.column("root").combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            h, cell, ids, n, place, before, block, plain, own, star = _columns(group, "h", "cell", "id", "n", "place", "before", "block", "plain", "own", "star")
+            root = np.unique(group.column("root").combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
             counts = group.column("counts").to_pylist()
-            # A block that meets itself: every text is a block of its own.
-            block = np.where(group.column("own").to_numpy(), np.arange(len(h)), -1 - block)
-            g = np.cumsum(np.r_[0, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])
-            for i, j in _group_pairs(g, n, place, similarity, (label, block, ids)):
-                for k in range(0, len(i), 4096):
-                    p, q = i[k : k + 4096], j[k : k + 4096]
-                    ok = _may_be_alike([counts[x] for x in p], [counts[x] for x in q], similarity)
-                    p, q = ids[p[ok]], ids[q[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            # At the first place there is no hash before: every text differs there.
+            before = np.where(place > 0, before, ids)
+            edges = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1]), True])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                w = slice(int(lo), int(hi))
+                for i, j in _cell_pairs(n[w], place[w], (root[w], before[w], ids[w]), plain[w], own[w], block[w], bool(star[lo]), similarity):
+                    for k in range(0, len(i), 4096):
+                        p, q = i[k : k + 4096] + lo, j[k : k + 4096] + lo
+                        ok = _may_be_alike([counts[x] for x in p], [counts[x] for x in q], similarity)
+                        p, q = ids[p[ok]], ids[q[ok]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    def most(column: str) -> DataFrame:
+        counted = rooted.groupBy("h", column).agg(F.count("*").alias("m"))
+        return counted.groupBy("h").agg(F.max_by(column, F.struct("m", column)).alias(f"most_{column}"), F.sum("m").alias("size"), F.count("*").alias("kinds"))
 
     rooted = crowd.join(_roots_by_id(roots), "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("string").cast("binary")))
     # Crowds that are one component by now have nothing to compare.
-    open_ = rooted.groupBy("h").agg((F.min("root") < F.max("root")).alias("open"), F.ceil(F.count("*") / CELL).alias("k")).where("open").select("h", "k")
-    own = rooted.join(open_, "h").join(sets.select("id", "counts").dropDuplicates(["id"]), "id")
-    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.struct((F.least("block", j) * F.col("k") + F.greatest("block", j)).alias("cell"), (F.col("block") == j).alias("own"))))
-    dealt = own.withColumn("pair", pair).select("h", "pair.cell", "pair.own", "id", "n", "place", "block", "root", "counts")
-    return dealt.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "id").mapInArrow(run, "a long, b long")
+    open_ = most("root").where("kinds > 1").drop("kinds")
+    usual = open_.join(most("before").select("h", "most_before"), "h")
+    own = rooted.join(usual, "h").withColumn("plain", (F.col("root") == F.col("most_root")) & (F.col("before") == F.col("most_before")) & (F.col("place") > 0))
+    # Plain texts meet only those that differ from them in both.
+    odd = (F.col("root") != F.col("most_root")) & ((F.col("before") != F.col("most_before")) | (F.col("place") == 0))
+    dealt = own.groupBy("h").agg(F.count_if(odd).alias("odd"), F.count_if(~F.col("plain")).alias("rest"))
+    own = own.join(dealt.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).where(~F.col("plain") | (F.col("odd") > 0))
+    own = own.join(sets.select("id", "counts").dropDuplicates(["id"]), "id")
+    k = F.ceil(F.col("size") / CELL)
+    own = own.withColumns({"k": k, "block": F.pmod(F.xxhash64("id"), k), "star": F.col("rest") <= STAR})
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)
+    here = F.array(F.struct(F.col("block").alias("cell"), F.lit(True).alias("own")))
+    everywhere = F.transform(blocks, lambda j: F.struct(j.alias("cell"), (F.col("block") == j).alias("own")))
+    by_two = F.transform(blocks, lambda j: F.struct((F.least("block", j) * F.col("k") + F.greatest("block", j)).alias("cell"), (F.col("block") == j).alias("own")))
+    pair = F.explode(F.when(F.col("star") & F.col("plain"), here).when(F.col("star"), everywhere).otherwise(by_two))
+    cells = own.withColumn("pair", pair).select("h", "pair.cell", "pair.own", "id", "n", "place", "before", "block", "plain", "star", "root", "counts")
+    return cells.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "id").mapInArrow(run, "a long, b long")
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -564,10 +616,15 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     # Candidates go by a 64-bit digest of the key.
     sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts")
     crowded, late, few = _crowds(sets, similarity, scratch)
-    first = _first_hashes(sets, similarity, late, few)
+    if late is None and crowded.count() <= CROWDED:
+        first = _first_hashes(sets, similarity, late, few, marked=np.sort(crowded.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+        crowd, others = first.where("crowded"), first.where("NOT crowded")
+    else:
+        first = _first_hashes(sets, similarity, late, few)
+        crowd, others = (first.join(crowded, "h", how) for how in ("left_semi", "left_anti"))
     # Copies of a text in several tasks are one text.
-    crowd = scratch.table(first.join(crowded, "h", "left_semi").distinct(), "crowd")
-    met = _meet(first.join(crowded, "h", "left_anti"), similarity).union(_meet_one(crowd)).where("a <> b").distinct()
+    crowd = scratch.table(crowd.drop("crowded").distinct(), "crowd")
+    met = _meet(others, similarity).union(_meet_one(crowd)).where("a <> b").distinct()
     near = scratch.table(_likely(scratch.table(met, "met"), sets, similarity), "likely")
     # Each text first meets the smallest it may be like, which joins most groups; then only
     # pairs of different components are left to be compared.

@@ -202,8 +202,9 @@ def test_a_passage_in_many_texts_makes_no_pairs_of_them(spark, docs, monkeypatch
     assert len(set(got)) == 2000 and all(got[i] == got[2000 + i] for i in range(40))
 
 
-def test_crowds_in_blocks_lose_no_pair(spark, docs, monkeypatch):
-    for name, value in (("MEET", 3), ("CELL", 7), ("ROUNDS", 2)):
+@pytest.mark.parametrize("star", [0, 5, 1 << 13])
+def test_crowds_in_blocks_lose_no_pair(spark, docs, monkeypatch, star):
+    for name, value in (("MEET", 3), ("CELL", 7), ("ROUNDS", 2), ("STAR", star)):
         monkeypatch.setattr(S, name, value)
     r = random.Random(12)
     common = [[f"c{k}_{i}" for i in range(40)] for k in range(6)]
@@ -228,6 +229,7 @@ def test_any_order_of_hashes_keeps_a_common_one():
         if not len(other) or 10 * len(np.intersect1d(base, other)) < 8 * len(np.union1d(base, other)):
             continue
         last = np.sort(r.choice(base, r.integers(0, len(base) + 1), replace=False))
-        at, h, _, place = S._heads([base, other], 0.8, last)
+        at, h, _, place, before = S._heads([base, other], 0.8, last)
+        assert (before[1:][place[1:] > 0] == h[:-1][place[1:] > 0]).all()
         assert set(h[at == 0].tolist()) & set(h[at == 1].tolist())
         assert (place[at == 0] == np.arange((at == 0).sum())).all()
