@@ -50,14 +50,16 @@ def _stored(df: DataFrame, name: str, compression: str) -> tuple[DataFrame, str]
 
 class Scratch:
     """Tables in the shared folder that are needed for a while only. Meanwhile Spark deletes the shuffle
-    files of a query when it ends: what is read again is a table."""
+    files of a query when it ends: what is read again is a table. ``settings`` hold meanwhile too."""
 
     CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, settings: dict[str, str] | None = None):
         self.spark, self.paths = spark, []
-        self.before = spark.conf.get(self.CLEAN, "false")
-        spark.conf.set(self.CLEAN, "true")
+        settings = {self.CLEAN: "true", **(settings or {})}
+        self.before = {k: spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
 
     def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         out, path = _stored(df, name, compression)
@@ -69,7 +71,11 @@ class Scratch:
         for path in self.paths:
             files.delete(self.spark, path)
         self.paths = []
-        self.spark.conf.set(self.CLEAN, self.before)
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,6 +40,10 @@ MEET = 64
 ROUNDS, CROWDED, CELL = 3, 1 << 20, 2048
 #: Texts of a crowd that are out of the common run, up to which they go to all its blocks.
 STAR = 1 << 13
+#: Partners that a text of a crowd is compared with before all others.
+BEST = 4
+#: Rows that go to Python at once: a row may hold two whole sets.
+ROWS = "1024"
 #: Texts that a task remembers.
 REMEMBERED = 1 << 17
 _UNITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -362,18 +366,24 @@ def _counts(hashes: np.ndarray) -> bytes:
     return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
 
 
-def _may_be_alike(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
-    """Whether the ``_counts`` of sets allow the similarity: sets have no more in common than the
-    lesser number for each byte."""
-    out = np.ones(len(a), bool)
+def _most_common(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Of two sets each, the most hashes that they can have in common as a share of all, by their
+    ``_counts``: no more than the lesser number for each byte. 1 where counts are not known."""
+    out = np.ones(len(a))
     known = np.nonzero([bool(x and y) for x, y in zip(a, b, strict=True)])[0]
     if len(known):
         x, y = (np.frombuffer(b"".join(c[i] for i in known), np.uint8).reshape(-1, 256) for c in (a, b))
-        total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
-        out[known] = np.minimum(x, y).sum(1, dtype=np.int64) * (1 + similarity) >= similarity * total - 1e-6
+        common = np.minimum(x, y).sum(1, dtype=np.int64)
+        total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64) - common
+        out[known] = common / np.maximum(total, 1)
     return out
 
 
+def _may_be_alike(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
+    """Whether the ``_counts`` of sets allow the similarity."""
+    return _most_common(a, b) >= similarity - 1e-9
+
+
 def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The candidate pairs (a, b) of short keys that the counts of both sets allow."""
 
@@ -546,9 +556,9 @@ def _cell_pairs(n: np.ndarray, place: np.ndarray, labels: tuple[np.ndarray, ...]
             yield np.full(len(q), r), q
 
 
-def _meet_crowd(crowd: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _meet_crowd(crowd: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, best: int | None = None) -> DataFrame:
     """Pairs of texts of a crowd that are of different components and that sizes, places and counts of
-    hashes allow.
+    hashes allow; with ``best`` so many of each text at most, those whose counts have most in common.
 
     Two texts that have the same hash before the common one met there, so they are passed over. Most
     texts of a crowd are of its largest component and have its most frequent hash before: these
@@ -569,11 +579,12 @@ def _meet_crowd(crowd: DataFrame, sets: DataFrame, roots: DataFrame, similarity:
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 w = slice(int(lo), int(hi))
                 for i, j in _cell_pairs(n[w], place[w], (root[w], before[w], ids[w]), plain[w], own[w], block[w], bool(star[lo]), similarity):
-                    for k in range(0, len(i), 4096):
-                        p, q = i[k : k + 4096] + lo, j[k : k + 4096] + lo
-                        ok = _may_be_alike([counts[x] for x in p], [counts[x] for x in q], similarity)
-                        p, q = ids[p[ok]], ids[q[ok]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                    share = np.concatenate([_most_common([counts[i[0] + lo]] * len(q), [counts[x] for x in q]) for k in range(0, len(j), 4096) for q in (j[k : k + 4096] + lo,)])
+                    ok = np.flatnonzero(share >= similarity - 1e-9)
+                    if best is not None and len(ok) > best:
+                        ok = ok[np.argsort(-share[ok], kind="stable")[:best]]
+                    p, q = ids[i[ok] + lo], ids[j[ok] + lo]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     def most(column: str) -> DataFrame:
         counted = rooted.groupBy("h", column).agg(F.count("*").alias("m"))
@@ -611,7 +622,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = materialize(docs.select(text_digest(value).alias("key"), F.col(id_col).alias("id")), "rows")
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS})
     sets = scratch.table(_sets(docs, text, width), "sets")
     # Candidates go by a 64-bit digest of the key.
     sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts")
@@ -633,10 +644,13 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     edges = scratch.table(edges.union(_alike(rest, sets, similarity, scratch)), "edges")
     roots = scratch.table(components(edges), "roots")
     if not crowd.isEmpty():
-        again = scratch.table(_meet_crowd(crowd, sets, roots, similarity).distinct(), "again")
-        more = _alike(again, sets, similarity, scratch)
-        if not more.isEmpty():
-            roots = scratch.table(components(edges.union(more)), "roots")
+        # First each text's likeliest partners, which joins most of what is alike; then all that is left.
+        for best in (BEST, None):
+            again = scratch.table(_meet_crowd(crowd, sets, roots, similarity, best).distinct(), "again")
+            more = _alike(again, sets, similarity, scratch)
+            if not more.isEmpty():
+                edges = scratch.table(edges.union(more), "edges")
+                roots = scratch.table(components(edges), "roots")
     keys = sets.select("key").distinct()
     named = keys.join(roots, keys.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"))
     named = materialize(named, "classes")
