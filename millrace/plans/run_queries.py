@@ -294,6 +294,17 @@ def upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read()
 
 
+@query("stored_in_order", f"SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS place FROM ({SQL['upsert_keep_last']})")
+def stored_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's rows with their places: files in the order of the manifest, rows in that of the file."""
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("dataset"), F.col("event_id").alias("seq"))
+    t = VersionedTable(spark, scratch(spark, "ordered"), ["sample_id"], [], {"n": "count(*)"}, rows_per_file=50_000)
+    for batch in (e.where("seq % 2 = 0"), e.where("seq % 2 = 1")):
+        t.upsert(batch, ["sample_id", "dataset"])
+    rows = t.read_with_files().withColumn("row", F.col("_metadata.row_index"))
+    return rows.join(F.broadcast(t.stats_before()), "_name").select("sample_id", (F.col("n") + F.col("row")).alias("place"))
+
+
 _SUMS = {"n_samples": "count(*)", "n_processed": "count_if(processed)", "n_correct": "count_if(correct)", "n_errors": "count_if(error)"}
 
 
