@@ -36,11 +36,12 @@ def keep_last(old: DataFrame | None, new: DataFrame, keys: list[str], seq: str)
 
     ``seq`` orders the rows of a batch and is not kept; a batch without it is in the order of
     its rows, of which the later wins. Rows that a join has moved have no order: number them before.
+    ``old`` may be a batch of its own, with ``seq``; without it there is one row of each key.
     """
     if seq not in new.columns:
         new = new.withColumn(seq, F.monotonically_increasing_id())
     fresh = new.withColumn("_gen", F.lit(1))
-    both = fresh if old is None else old.drop(seq).withColumn("_gen", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
+    both = fresh if old is None else old.withColumn("_gen", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
     columns = [c for c in both.columns if c not in ("_gen", seq)]
     # max_by aggregates before the shuffle: a key that was written very often is one row a task.
     picked = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("_gen", seq)).alias("_row"))

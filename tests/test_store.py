@@ -75,6 +75,13 @@ def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
     assert held(t) == {1: "c", 2: "b"} and held(t, version=0) == {1: "a", 2: "b"}
 
 
+def test_the_last_of_a_key_that_only_the_old_batch_has(spark):
+    rows = lambda *r: spark.createDataFrame(r, ROW).coalesce(1)
+    got = S.keep_last(rows((1, "a", 9), (1, "b", 3), (2, "c", 8), (2, "d", 6)), rows((2, "e", 1), (2, "f", 0)), ["sample_id"], "seq")
+    assert got.columns == ["sample_id", "v"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "e")]
+
+
 def test_a_manifest_that_is_half_written_is_not_seen(spark, tmp_path):
     t = table(spark, tmp_path)
     t.upsert(batch(spark, [(1, "a")]), ["sample_id"])
