@@ -69,7 +69,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(_UNITS[counts * 2 > n].sum(dtype=np.uint64))
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return bits.sum(axis=0, dtype=np.int64)
 
@@ -431,8 +431,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(key, set, counts) of texts: the digest of a text, its shingle hashes in order, and how many of
-    them end in each byte. A text is there once a task or so."""
+    """(key, set, counts, fp) of texts: the digest of a text, its shingle hashes in order, how many of
+    them end in each byte, and their SimHash. A text is there once a task or so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -446,12 +446,25 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
                     seen.clear()
                 seen.add(key)
                 h = shingle_hashes(value, width).astype("<u8")
-                rows.append((key, h.tobytes(), _counts(h)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["key", "set", "counts"])
+                rows.append((key, h.tobytes(), _counts(h), int(_UNITS[_bit_counts(h) * 2 > len(h)].sum(dtype=np.uint64))))
+            fps = np.array([r[3] for r in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.binary()) for k in range(3)), pa.array(fps)], names=["key", "set", "counts", "fp"])
 
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(text_digest(value).alias("key"), value.cast("binary").alias("text"))
-    return texts.mapInArrow(run, "key binary, set binary, counts binary")
+    return texts.mapInArrow(run, "key binary, set binary, counts binary, fp long")
+
+
+def _by_fingerprint(sets: DataFrame, scratch: Scratch, within: int = 2) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints link: those of one fingerprint with the smallest key
+    there, and these along a spanning forest of the links."""
+    prints = scratch.table(sets.select("id", "fp").distinct(), "prints")
+    leads = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("lead")), "leads")
+    same = prints.join(leads, "fp").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"l{c}"))
+    ends = link_edges(leads.select("fp"), within).join(of("a"), "a").join(of("b"), "b")
+    linked = ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    return scratch.table(same.union(linked).where("a <> b").distinct(), "linked")
 
 
 def _first_hashes(sets: DataFrame, similarity: float, late: DataFrame | None, few: np.ndarray, wider: float = 1.0, marked: np.ndarray | None = None) -> DataFrame:
@@ -614,8 +627,9 @@ def _meet_crowd(crowd: DataFrame, sets: DataFrame, roots: DataFrame, similarity:
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """((key, id) of every row, (key, root) of every distinct text).
 
-    Texts link when their sets of ``width``-word shingles are at least ``similarity`` alike.
-    Every such pair shares a hash among the first of both sets, in an order that puts hashes of many
+    Texts link when their sets of ``width``-word shingles are at least ``similarity`` alike. Those whose
+    SimHashes link by the vantage-point trees are compared first. The fingerprint is no bound at this
+    similarity, so what is left in different components is found exactly. Every such pair shares a hash among the first of both sets, in an order that puts hashes of many
     texts last; so texts meet by those hashes and no pair is lost; whole sets decide. Where more
     than MEET texts still share a hash, they first meet one of them only, and then those of other
     components.
@@ -625,7 +639,9 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     scratch = Scratch(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS})
     sets = scratch.table(_sets(docs, text, width), "sets")
     # Candidates go by a 64-bit digest of the key.
-    sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts")
+    sets = sets.select(F.xxhash64("key").alias("id"), "key", "set", "counts", "fp")
+    close = _alike(_by_fingerprint(sets, scratch), sets, similarity, scratch)
+    known = scratch.table(components(close), "roots")
     crowded, late, few = _crowds(sets, similarity, scratch)
     if late is None and crowded.count() <= CROWDED:
         first = _first_hashes(sets, similarity, late, few, marked=np.sort(crowded.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
@@ -636,10 +652,10 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     # Copies of a text in several tasks are one text.
     crowd = scratch.table(crowd.drop("crowded").distinct(), "crowd")
     met = _meet(others, similarity).union(_meet_one(crowd)).where("a <> b").distinct()
-    near = scratch.table(_likely(scratch.table(met, "met"), sets, similarity), "likely")
-    # Each text first meets the smallest it may be like, which joins most groups; then only
+    near = scratch.table(_likely(scratch.table(_apart(met, known), "met"), sets, similarity), "likely")
+    # Each text then meets the smallest it may be like, which joins most groups; then only
     # pairs of different components are left to be compared.
-    edges = _alike(scratch.table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"), sets, similarity, scratch)
+    edges = close.union(_alike(scratch.table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"), sets, similarity, scratch))
     rest = scratch.table(_apart(near, scratch.table(components(edges), "roots")), "rest")
     edges = scratch.table(edges.union(_alike(rest, sets, similarity, scratch)), "edges")
     roots = scratch.table(components(edges), "roots")

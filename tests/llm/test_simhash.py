@@ -173,6 +173,23 @@ def test_no_near_copy_is_lost(spark, docs, monkeypatch):
     assert len({(g, root[i]) for i, g in enumerate(want)}) == len(set(want)) == len(set(root.values()))
 
 
+def test_near_copies_meet_by_their_fingerprints(spark, docs, monkeypatch):
+    none = spark.createDataFrame([], "a long, b long")
+    for name in ("_meet", "_meet_one", "_meet_crowd"):
+        monkeypatch.setattr(S, name, lambda *a: none)
+    r, rows = random.Random(8), []
+    for i in range(40):  # a word is added to a long text
+        t = [f"v{r.randrange(90000)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join([*t, "more"]))]
+    prints = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own)) for own in (S.shingle_hashes(t.encode(), 5) for _, t in rows)]
+    close = [(prints[i] ^ prints[i + 1]).bit_count() <= 2 for i in range(0, 80, 2)]
+    got = links_found(docs, rows)
+    assert sum(close) > 20 and [got[i] == got[i + 1] for i in range(0, 80, 2)] == close
+    # Fingerprints that are all alike link nothing by themselves.
+    monkeypatch.setattr(S, "_bit_counts", lambda h: np.zeros(64, np.int64))
+    assert len(set(links_found(docs, rows[::2]))) == 40
+
+
 def links_found(docs, rows):
     keys, named = S.near_copy_classes(docs(*rows))
     root = {x.id: x.root for x in keys.join(named, "key").collect()}
