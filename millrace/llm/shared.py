@@ -50,13 +50,19 @@ def _stored(df: DataFrame, name: str, compression: str) -> tuple[DataFrame, str]
 
 class Scratch:
     """Tables in the shared folder that are needed for a while only. Meanwhile Spark deletes the shuffle
-    files of a query when it ends: what is read again is a table. ``settings`` hold meanwhile too."""
+    files of a query when it ends: what is read again is a table. Rows go to Python and come from files
+    in batches of few bytes: workers and the JVM's buffers keep the size of the largest they had.
+    ``settings`` hold meanwhile too."""
 
-    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    SETTINGS = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+        "spark.sql.parquet.columnarReaderBatchSize": "512",
+    }
 
     def __init__(self, spark: SparkSession, settings: dict[str, str] | None = None):
         self.spark, self.paths = spark, []
-        settings = {self.CLEAN: "true", **(settings or {})}
+        settings = {**self.SETTINGS, **(settings or {})}
         self.before = {k: spark.conf.get(k, None) for k in settings}
         for k, v in settings.items():
             spark.conf.set(k, v)

@@ -44,6 +44,8 @@ STAR = 1 << 13
 BEST = 4
 #: Rows that go to Python at once: a row may hold two whole sets.
 ROWS = "1024"
+#: Texts of candidate pairs, up to which their keys go to every task; above it the sets are shuffled.
+ASKED = 1 << 18
 #: Texts that a task remembers.
 REMEMBERED = 1 << 17
 _UNITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -411,7 +413,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratc
             yield batch.select(["ka", "kb"]).filter(pa.array(both >= similarity * total - 1e-9)).rename_columns(["a", "b"])
 
     asked = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
-    own = scratch.table(sets.select("id", "key", "set").join(asked, "id", "left_semi"), "own")
+    sent = F.broadcast(asked) if asked.count() <= ASKED else asked
+    own = scratch.table(sets.select("id", "key", "set").join(sent, "id", "left_semi"), "own")
     left = pairs.join(own.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("set").alias("sa")), "a")
     full = left.join(own.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("set").alias("sb")), "b")
     return scratch.table(full.select("ka", "kb", "sa", "sb").mapInArrow(run, "a binary, b binary").distinct(), "edges")

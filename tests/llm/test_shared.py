@@ -3,10 +3,11 @@
 import os
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import shared
+from millrace.llm import lines, shared, simhash
 
 
 def fake(master, folder=None):
@@ -37,3 +38,25 @@ def test_scratch_tables_go(spark):
     assert all(os.path.isdir(p) for p in paths)
     scratch.clear()
     assert not any(os.path.exists(p) for p in paths)
+
+
+def test_rows_go_to_python_in_batches_of_few_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    before = {k: spark.conf.get(k, None) for k in shared.Scratch.SETTINGS}
+    scratch = shared.Scratch(spark)
+    got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    scratch.clear()
+    assert sum(got) > 39_000_000 and max(got) < 5_000_000
+    assert before == {k: spark.conf.get(k, None) for k in shared.Scratch.SETTINGS}
+
+
+@pytest.mark.parametrize("run", [lines.drop_lines, simhash.near_copy_classes])
+def test_dedup_hands_texts_over_in_batches_of_few_bytes(docs, monkeypatch, run):
+    held, stored = [], shared.Scratch.table
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, *a: held.append(self.spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)) or stored(self, *a))
+    run(docs((1, "a b c d e f"), (2, "a b c d e f g")))
+    assert set(held) == {"2m"}

@@ -156,6 +156,21 @@ def test_near_copies_are_decided_on_whole_sets(spark, docs):
     assert [root[i] == root[i + 1] for i in range(0, 160, 2)] == want
 
 
+@pytest.mark.parametrize("asked", [1 << 18, -1])
+def test_sets_stay_where_they_are_if_few_are_asked_for(spark, docs, monkeypatch, asked):
+    monkeypatch.setattr(S, "ASKED", asked)
+    plans, stored = [], S.Scratch.table
+    monkeypatch.setattr(S.Scratch, "table", lambda self, df, name, *a: (name == "own" and plans.append(df._jdf.queryExecution().executedPlan().toString())) or stored(self, df, name, *a))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = links_found(docs, [(0, "a b c d e f g h i j"), (1, "a b c d e f g h i j k"), (2, "q w e r t y"), (3, "a b c d e f g h i j k l m n o p")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans and all(("hashpartitioning" in p) == (asked < 0) for p in plans)
+    assert got[0] == got[1] and len(set(got)) == 3
+
+
 def test_no_near_copy_is_lost(spark, docs, monkeypatch):
     monkeypatch.setattr(S, "MEET", 3)
     r, rows = random.Random(6), []
